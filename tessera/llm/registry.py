@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.llm.jaccard_join import op3_jaccard_join
 from tessera.llm.suffix_dedup import op2_suffix_dedup
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
+QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_jaccard_join": op3_jaccard_join}
 ORACLES: dict[str, str] = {}
