@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from tessera.llm.jaccard_join import op3_jaccard_join
+from tessera.llm.packing import op10_packing
 from tessera.llm.suffix_dedup import op2_suffix_dedup
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_jaccard_join": op3_jaccard_join}
+QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op10_packing": op10_packing,
+}
 ORACLES: dict[str, str] = {}
