@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.jaccard_join import op3_jaccard_join
 from tessera.llm.packing import op10_packing
+from tessera.llm.pii import op9_pii
 from tessera.llm.quality import op7_quality
 from tessera.llm.suffix_dedup import op2_suffix_dedup
 from tessera.llm.toxicity import op8_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
