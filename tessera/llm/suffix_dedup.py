@@ -5,9 +5,9 @@ The method merges Burrows-Wheeler transforms. Spark deals the work so that a mer
 1. **Deal.** Every window of ``length`` bytes has a minimiser, the smallest hash of its
    ``gram``-byte substrings. Equal windows have equal minimisers, so neighbouring windows with one
    minimiser make a segment, and all copies of a window meet in the bucket of that minimiser.
-   Minimisers that occur once cannot hold a repeat and go no further. Equal segments are one row
-   (the earliest place) before they are shuffled by minimiser, so a passage that a third of the
-   rows hold is one row from each task.
+   Minimisers that occur once cannot hold a repeat and go no further. A minimiser is dealt once
+   from each step of a task, and equal segments are one row (the earliest place) from each, so a
+   passage that a third of the rows hold doesn't gather in one task.
 2. **Merge.** In a bucket, runs of segments are shards. A shard's transform lists, for every round,
    the symbol before each of its sorted suffixes; a symbol is ``length / 5`` bytes. The merge
    refines an interleave (which shard does the next suffix come from): a round reads the next symbol
@@ -76,19 +76,72 @@ def segments_of(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: in
     return rows[begin], place[begin], size, marks[low[begin] & np.uint64(0xFFFFFFFF)]
 
 
-def _anchors(length: int, gram: int):
+#: Kinds of a dealt block: minimisers that occur once in their step, the first places of those that
+#: occur more often there, and these ones' other places.
+ONCE, OFTEN, REST = 0, 1, 2
+
+
+def _deal(length: int, gram: int, buckets: int):
+    """Blocks of (minimiser, row_id, place), one for each bucket, kind and step.
+
+    What occurs twice in a step is known to be shared: one place of it goes to the bucket of the
+    minimiser, so that others learn of it, and the rest to a bucket of the step's own.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in text_steps(batches):
             raw, off = utf8(step.column(1))
             row, start, size, low = segments_of(raw, off, length, gram)
-            ids = step.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row], pa.int64()), pa.array((start << 8) | size, pa.int64()), pa.array(low.view(np.int64))], ["row_id", "place", "h"]
-            )
+            if len(row) == 0:
+                continue
+            ids = step.column(0).to_numpy(zero_copy_only=False)[row]
+            place = (start << 8) | size
+            order = np.argsort(low, kind="stable")
+            low, ids, place = low[order], ids[order], place[order]
+            first = np.ones(len(low), bool)
+            first[1:] = low[1:] != low[:-1]
+            alone = first & np.append(first[1:], True)
+            kind = np.where(alone, ONCE, np.where(first, OFTEN, REST))
+            bucket = np.where(kind == REST, int(low[len(low) // 2] % np.uint64(buckets)), (low % np.uint64(buckets)).astype(np.int64))
+            part = bucket * 3 + kind
+            order = np.argsort(part, kind="stable")
+            names, begin = np.unique(part[order], return_index=True)
+            cuts = [order[a:b] for a, b in zip(begin, np.append(begin[1:], len(order)))]
+            columns = [pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (low.view(np.int64), ids.astype(np.int64), place)]
+            yield pa.RecordBatch.from_arrays([pa.array(names // 3), pa.array(names % 3), *columns], ["bucket", "kind", "h", "row_id", "place"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places whose minimiser occurs more than once, of blocks in bucket order."""
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        kind = np.concatenate([np.full(len(h) // 8, k, np.int8) for k, h, _, _ in held])
+        h, ids, place = (np.frombuffer(b"".join(x[i] for x in held), np.int64) for i in (1, 2, 3))
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        size = np.diff(np.append(begin, len(s)))
+        many = (size > 1) | np.maximum.reduceat(kind[order] == OFTEN, begin)
+        take = order[np.repeat(many, size)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(place[take]), pa.array(h[take])], ["row_id", "place", "h"])
+
+    now, held = None, []
+    for batch in batches:
+        for bucket, kind, h, ids, place in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if bucket != now and held:
+                yield out(held)
+                held = []
+            now = bucket
+            if kind == REST:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (ids, place, h)], ["row_id", "place", "h"])
+            else:
+                held.append((kind, h, ids, place))
+    if held:
+        yield out(held)
+
+
 def _cut(length: int):
     """Rows (row_id, text, places) to the segments' bytes."""
 
@@ -203,32 +256,37 @@ def repeated_windows(raw: np.ndarray, starts: np.ndarray, key: np.ndarray, shard
     return out
 
 
-def _flush(rows: pa.Table, length: int) -> pa.RecordBatch | None:
+def _flush(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """Rows (row_id, place, begin, end): each first segment's place, with no span, and the spans of its repeated windows."""
+    ids, place = rows.column("row_id").to_numpy(), rows.column("place").to_numpy()
+    marks, same = rows.column("h").to_numpy(), rows.column("same").to_numpy()
+    # Equal segments from several steps: the earliest stands for all.
+    order = np.lexsort((place, ids, same, marks))
+    first = np.ones(len(order), bool)
+    first[1:] = (same[order][1:] != same[order][:-1]) | (marks[order][1:] != marks[order][:-1])
+    rows = rows.take(pa.array(np.sort(order[first])))
+    ids, place = rows.column("row_id").to_numpy(), rows.column("place").to_numpy()
     raw, off = utf8(rows.column("seg"))
-    place = rows.column("place").to_numpy()
-    ids = rows.column("row_id").to_numpy()
     size = place & 255
     order = np.lexsort((place, ids))  # earliest first; shards are runs of this order
     seg = np.repeat(order, size[order])
     inner = np.arange(len(seg)) - np.repeat(np.cumsum(size[order]) - size[order], size[order])
-    starts = off[seg] + inner
-    # The key of a window is its rank by (document, start); equal segments came as one row.
     real = (place[seg] >> 8) + inner
+    # A window's key is its rank by (document, start).
     rank = np.lexsort((real, ids[seg]))
     key = np.empty(len(seg), np.int64)
     key[rank] = np.arange(len(seg))
     shard_of = (np.arange(len(seg)) * SHARDS) // max(len(seg), 1)
-    hit = repeated_windows(raw, starts, key, shard_of, length)
-    # Windows to spans, per document.
+    hit = repeated_windows(raw, off[seg] + inner, key, shard_of, length)
     hits = rank[hit[rank]]
-    if len(hits) == 0:
-        return None
     doc, at = ids[seg][hits], real[hits]
     new = np.ones(len(hits), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(hits)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(at[begin]), pa.array(at[last] + length)], ["row_id", "begin", "end"])
+    last = np.append(begin[1:], len(hits))[: len(begin)] - 1
+    none = np.full(len(ids), -1)
+    columns = [np.concatenate(x) for x in ((ids, doc[begin]), (place, np.full(len(begin), -1)), (none, at[begin]), (none, at[last] + length))]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["row_id", "place", "begin", "end"])
 
 
 def _merge(length: int):
@@ -248,17 +306,13 @@ def _merge(length: int):
                 here = int(sizes[end - 1] - (sizes[begin - 1] if begin else 0)) if end else 0
                 if windows + here >= MERGE_WINDOWS:
                     held.append(batch.slice(begin, end - begin))
-                    out = _flush(pa.Table.from_batches(held), length)
-                    if out is not None:
-                        yield out
+                    yield _flush(pa.Table.from_batches(held), length)
                     held, windows, begin = [], 0, end
             if begin < batch.num_rows:
                 held.append(batch.slice(begin))
                 windows += int(sizes[-1] - (sizes[begin - 1] if begin else 0))
         if held:
-            out = _flush(pa.Table.from_batches(held), length)
-            if out is not None:
-                yield out
+            yield _flush(pa.Table.from_batches(held), length)
 
     return run
 
@@ -308,18 +362,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     if not gram < length or length % ROUNDS or length - gram + 1 > 255:
         raise ValueError("length must be a multiple of 5, above gram, and at most gram + 254")
     rows = plain_rows(docs, "doc_id", "text").withColumnRenamed("doc_id", "row_id").where("row_id is not null")
-    anchors = written(rows.where(F.octet_length("text") >= length).mapInArrow(_anchors(length, gram), "row_id long, place long, h long"), "anchors")
-    shared = written(anchors.groupBy("h").count().where("count > 1").select("h"), "shared")
-    hits = anchors.join(shared, "h", "left_semi")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rows.where(F.octet_length("text") >= length).mapInArrow(_deal(length, gram, buckets), "bucket long, kind long, h binary, row_id binary, place binary")
+    hits = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "row_id long, place long, h long")
     places = written(hits.groupBy("row_id").agg(F.collect_list(F.struct("place", "h")).alias("places")), "places")
     cut = rows.join(places, "row_id").select("row_id", "text", "places").mapInArrow(_cut(length), "h long, same long, row_id long, place long, seg binary")
-    # One row for equal segments: min_by over the place, combined in each task before the shuffle.
-    one = cut.groupBy("h", "same").agg(F.min(F.struct("row_id", "place", "seg")).alias("first")).select("h", "same", "first.*")
-    firsts = written(one, "segments")
-    spans = firsts.repartition("h").sortWithinPartitions("h").select("h", "same", "row_id", "place", "seg").mapInArrow(_merge(length), "row_id long, begin long, end long")
-    found = spans.groupBy("row_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    own = firsts.groupBy("row_id").agg(F.collect_list("place").alias("firsts"))
-    covers = places.select("row_id", F.transform("places", lambda p: p["place"]).alias("places")).join(own, "row_id", "left").join(found, "row_id", "left")
+    merged = cut.repartition("h").sortWithinPartitions("h").mapInArrow(_merge(length), "row_id long, place long, begin long, end long")
+    found = merged.groupBy("row_id").agg(
+        F.collect_list(F.when(F.col("place") >= 0, F.col("place"))).alias("firsts"),
+        F.collect_list(F.when(F.col("place") < 0, F.struct("begin", "end"))).alias("spans"),
+    )
+    covers = places.select("row_id", F.transform("places", lambda p: p["place"]).alias("places")).join(found, "row_id", "left")
     covers = written(covers, "covers")
     schema = "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     return rows.join(covers, "row_id", "left").mapInArrow(_strip(length, with_text), schema)
