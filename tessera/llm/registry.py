@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.llm.forest_dedup import op5_forest_dedup
+from tessera.llm.graph_index import op1_graph_search
 from tessera.llm.jaccard_join import op3_jaccard_join
 from tessera.llm.packing import op10_packing
 from tessera.llm.pii import op9_pii
@@ -10,8 +12,10 @@ from tessera.llm.suffix_dedup import op2_suffix_dedup
 from tessera.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_graph_search": op1_graph_search,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_forest_dedup": op5_forest_dedup,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
