@@ -83,9 +83,10 @@ def _valid() -> Column:
     )
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """rid (a number for each row), doc_id and text ('' for null)."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def numbered(docs: DataFrame, *carry: str) -> DataFrame:
+    """rid (a number for each row), doc_id, text ('' for null) and carried columns."""
+    more = [F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def entities(rows: DataFrame) -> DataFrame:
@@ -140,9 +141,8 @@ def revealing(rows: DataFrame, found: DataFrame, generalise: float = GENERALISE,
     return near.join(written(told, "told"), ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("removed").alias("removed"))
 
 
-def spans_of(docs: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): numbered rows, and for each rid, doc_id the arrays base and terms of struct(start, kind, end, removed), by start."""
-    rows = numbered(docs)
+def spans_of(rows: DataFrame, **limits: float) -> DataFrame:
+    """For each rid, doc_id of numbered rows the arrays base and terms of struct(start, kind, end, removed), by start."""
     found = written(entities(rows), "entities")
     terms = revealing(rows, found, **limits)
     one = found.select("rid", "doc_id", "start", "kind", "end", F.lit(False).alias("removed"))
@@ -154,7 +154,7 @@ def spans_of(docs: DataFrame, **limits: float) -> tuple[DataFrame, DataFrame]:
         F.array_sort(F.collect_list(F.when(F.col("kind") == 4, span))).alias("near"),
     )
     clear = F.filter("near", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return rows, spans.select("rid", "doc_id", "base", clear.alias("terms"))
+    return spans.select("rid", "doc_id", "base", clear.alias("terms"))
 
 
 def _listed(spans: Column) -> Column:
@@ -164,7 +164,7 @@ def _listed(spans: Column) -> Column:
 
 def find_pii(docs: DataFrame, **limits: float) -> DataFrame:
     """doc_id, counts of each base kind, the digest of the base spans and all spans of docs (doc_id, text)."""
-    _, spans = spans_of(docs, **limits)
+    spans = spans_of(numbered(docs), **limits)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return spans.select(
         "doc_id",
@@ -174,9 +174,10 @@ def find_pii(docs: DataFrame, **limits: float) -> DataFrame:
     )
 
 
-def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
-    """docs with every entity and revealing term of text replaced by its kind in brackets, or taken out."""
-    rows, spans = spans_of(docs, **limits)
+def sanitise(docs: DataFrame, *carry: str, **limits: float) -> DataFrame:
+    """doc_id, text and carried columns of docs, every entity and revealing term of text replaced by its kind in brackets, or taken out."""
+    rows = numbered(docs, *carry)
+    spans = spans_of(rows.select("rid", "doc_id", "text"), **limits)
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<from:bigint,to:bigint,put:string>>").alias("out"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
@@ -192,7 +193,7 @@ def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(
         F.concat(F.array_join(parts, ""), F.substring(F.col("text"), (F.col("cut.at") + 1).cast("int"), F.length("text")))
     )
-    return joined.select("rid", "doc_id", text.alias("text"))
+    return joined.select("doc_id", text.alias("text"), *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

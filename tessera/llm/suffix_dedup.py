@@ -27,12 +27,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Prefixes, plain_rows, text_steps, utf8, written
+from tessera.llm.common import Prefixes, text_steps, utf8, written
 
 LENGTH = 100
 GRAM = 24
@@ -320,48 +319,51 @@ def _merge(length: int):
 # ---------------------------------------------------------------- 3. remove
 
 
-def _strip(length: int, with_text: bool):
+def _strip(length: int, carry: list[str]):
+    """Rows (row_id, text, places, firsts, spans, carried) to the removal's figures and, if columns are carried, the kept text and these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in text_steps(batches):
             raw, off = utf8(step.column(1))
-            names = step.schema.names
-            whole, firsts, spans = (step.column(names.index(c)).to_pylist() for c in ("places", "firsts", "spans"))
-            out: dict[str, list] = {"row_id": step.column(0).to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+            whole, firsts, spans = (step.column(k).to_pylist() for k in (2, 3, 4))
+            figures, texts = [], []
             for i in range(step.num_rows):
                 text = raw[off[i] : off[i + 1]]
                 n = len(text)
-                covers = list(spans[i] or [])
                 own = set(firsts[i] or [])
-                covers += [{"begin": p >> 8, "end": (p >> 8) + (p & 255) + length - 1} for p in whole[i] or [] if p not in own]
+                covers = [(c["begin"], c["end"]) for c in spans[i] or []]
+                covers += [(p >> 8, (p >> 8) + (p & 255) + length - 1) for p in whole[i] or [] if p not in own]
                 rise = np.zeros(n + 1, np.int64)
                 if covers:
-                    np.add.at(rise, np.minimum([c["begin"] for c in covers], n), 1)
-                    np.add.at(rise, np.minimum([c["end"] for c in covers], n), -1)
+                    begin, end = np.minimum(np.array(covers).T, n)
+                    np.add.at(rise, begin, 1)
+                    np.add.at(rise, end, -1)
                 gone = np.cumsum(rise)[:n] > 0
                 runs = int(gone[0] + (gone[1:] & ~gone[:-1]).sum()) if n else 0
                 kept = text[~gone].tobytes() if runs else text.tobytes()
-                out["n_bytes"].append(n)
-                out["n_removed"].append(int(gone.sum()))
-                out["n_spans"].append(runs)
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    out["kept"].append(kept.decode("utf-8", "ignore"))
-            if not with_text:
-                del out["kept"]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
+                figures.append((n, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+                texts.append(kept.decode("utf-8", "ignore"))
+            columns = [step.column(0), *map(pa.array, zip(*figures))]
+            names = ["row_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if carry:
+                columns += [pa.array(texts, pa.string()), *step.columns[5:]]
+                names += ["kept", *carry]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """Per row of docs (doc_id, text): row_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the kept text.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+    """Per row of docs (doc_id, text): row_id, n_bytes, n_removed, n_spans, kept_sha256 and, if columns are carried, the kept text and these.
 
     ``row_id`` is doc_id. Removal is by bytes, so a kept text drops the bytes of characters that a
     border cuts through; ``kept_sha256`` is of the exact bytes.
     """
     if not gram < length or length % ROUNDS or length - gram + 1 > 255:
         raise ValueError("length must be a multiple of 5, above gram, and at most gram + 254")
-    rows = plain_rows(docs, "doc_id", "text").withColumnRenamed("doc_id", "row_id").where("row_id is not null")
+    carry = carry or []
+    every = docs.select(F.col("doc_id").alias("row_id"), "text", *[F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]).where("row_id is not null")
+    rows = every.select("row_id", "text")
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = rows.where(F.octet_length("text") >= length).mapInArrow(_deal(length, gram, buckets), "bucket long, kind long, h binary, row_id binary, place binary")
     hits = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "row_id long, place long, h long")
@@ -374,8 +376,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     )
     covers = places.select("row_id", F.transform("places", lambda p: p["place"]).alias("places")).join(found, "row_id", "left")
     covers = written(covers, "covers")
-    schema = "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return rows.join(covers, "row_id", "left").mapInArrow(_strip(length, with_text), schema)
+    kinds = dict(docs.dtypes)
+    schema = "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * bool(carry) + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    joined = every.join(covers, "row_id", "left").select("row_id", "text", "places", "firsts", "spans", *[f"carried_{c}" for c in carry])
+    return joined.mapInArrow(_strip(length, carry), schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
