@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessera.plans.query import best_records
+from tessera.queries import records, text
+
+QUERIES = {**text.QUERIES, **records.QUERIES}
+ORACLES: dict[str, str] = {**text.ORACLES, **records.ORACLES}
 
 
 def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """Best records of every page."""
+    return best_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
