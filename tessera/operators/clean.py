@@ -197,7 +197,7 @@ def strip_affixes(df: DataFrame, by: Group) -> DataFrame:
 def drop_outliers(df: DataFrame, by: Group, size: str = "size") -> DataFrame:
     """Rows whose size lies over four standard deviations above their group's mean go."""
     w = Window.partitionBy(*by)
-    out = df.withColumn("z", (F.col(size) - F.avg(size).over(w)) / F.stddev_samp(size).over(w))
+    out = df.withColumn("z", F.try_divide(F.col(size) - F.avg(size).over(w), F.stddev_samp(size).over(w)))
     return out.where(F.coalesce(F.col("z") <= OUTLIER, F.lit(True))).drop("z")
 
 
