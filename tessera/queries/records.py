@@ -294,11 +294,11 @@ def _(s, d):
     return fields.dates(o, ["o_custkey"], "t").select("o_custkey", "o_orderkey", "date")
 
 
-@query("nearest_before", """SELECT e.user_id, e.event_id, max(p.event_id) AS anchor FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_id < e.event_id AND p.event_type = 'click' WHERE e.event_type = 'purchase' GROUP BY 1, 2""")
+@query("nearest_before", """SELECT e.user_id, e.event_id, max(p.event_id) AS anchor FROM events e JOIN events p ON p.user_id = e.user_id AND p.event_id < e.event_id AND p.event_type = 'click' WHERE e.event_type = 'purchase' GROUP BY 1, 2""")
 def _(s, d):
     e = _read(s, d, "events").select("user_id", "event_id", "event_type")
     out = fields.nearest_before(e, ["user_id"], "event_id", F.col("event_type") == "click", F.col("event_type") == "purchase", "event_type")
-    return out.select("user_id", "event_id", F.col("anchor_at").alias("anchor"))
+    return out.select("user_id", "event_id", F.col("anchor_at").alias("anchor")).where("anchor is not null")
 
 
 _TURNS = "t AS (SELECT conv_id AS g, turn AS page_no, 1 AS pos, role AS url, substr(text, 1, 5) AS title, CAST(NULL AS VARCHAR) AS summary FROM conversations)"
