@@ -133,32 +133,39 @@ def runs_of(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component_id): for every id on an edge (a long, b long), the smallest id that links reach.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): each round is two
-    min-aggregations with map-side combine and a join; a round's edges are a written table, so
-    nothing is collected and a lost executor costs one round. Self-loops and nulls are ignored.
+    Alternating large-star and small-star rounds (Kiveris et al., 2014). Neighbours are never gathered
+    in lists: a star is its centre's minimum, counted with partial minima in each task and joined back,
+    so a centre with very many neighbours is split like any skewed join key. A round's edges are a
+    written table; nothing but a checksum comes to the driver. Self-loops and nulls are ignored.
     """
-    # Neighbours are never gathered in lists: a star is its centre's minimum, joined back.
+
+    def star(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+
+    def mark(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+
     now = written(
         edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct(), "edges"
     )
+    seen = mark(now)
     for _ in range(rounds):
-        both = now.selectExpr("u", "v").unionByName(now.selectExpr("v as u", "u as v"))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u as c", "least(u, m) as m"), "least")
+        if seen[0] == 0:
+            break
         # Large star: a neighbour above the centre moves to the centre's minimum.
-        large = both.join(least, F.col("u") == F.col("c")).where("v > u and v <> m").selectExpr("v as u", "m as v").distinct()
-        large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u as c", "m"), "least")
-        # Small star: all smaller neighbours, and the node itself, move to the minimum.
-        small = large.join(least, F.col("u") == F.col("c")).selectExpr("v as u", "m as v").where("u <> v")
-        after = written(small.unionByName(least.selectExpr("c as u", "m as v")).distinct(), "edges")
-        done = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
-        now = after
-        if done:
+        both = now.unionByName(now.selectExpr("v as u", "u as v"))
+        large = written(both.where("v > u").join(star(both), F.col("u") == F.col("c")).selectExpr("v as u", "m as v").distinct(), "large")
+        # Small star: all smaller neighbours, and the centre itself, move to the minimum.
+        low = star(large)
+        moved = large.join(low, F.col("u") == F.col("c")).selectExpr("v as u", "m as v").where("u <> v")
+        now = written(moved.unionByName(low.selectExpr("c as u", "m as v")).distinct(), "edges")
+        before, seen = seen, mark(now)
+        if seen == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    stars = now.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
-    return stars.unionByName(now.selectExpr("v as id", "v as component_id").distinct()).groupBy("id").agg(F.min("component_id").alias("component_id"))
+    both = now.selectExpr("u as id", "v as component_id").unionByName(now.selectExpr("v as id", "v as component_id"))
+    return both.groupBy("id").agg(F.min("component_id").alias("component_id"))
 
 
 def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

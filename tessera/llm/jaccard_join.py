@@ -6,14 +6,16 @@ Jaccard distance is a metric, so pivots can split the space into regions:
    are one class; only its smallest doc_id goes on.
 2. **Pivots and regions.** Two linked sets must share a shingle among the smallest
    ``n - ceil(0.8 n) + 1`` hashes of each (fewer shared than that cannot reach the similarity). The
-   smallest doc_id that holds such a shingle is its pivot, and every holder is replicated into the
-   pivot's Voronoi region, border documents into several. So both ends of every link meet in a region.
+   smallest doc_id of about the same size that holds such a shingle is its pivot, and every holder is
+   replicated into the pivot's region, border documents into several. By the triangle inequality
+   against the empty set, sizes of a link differ by a fifth at most: holders are replicated over
+   neighbouring size windows. So both ends of every link meet in a region.
 3. **Distances.** In a region, the shared small hashes bound each member's distance to the pivot
    from below; what the bound leaves is compared exactly. Members within the radius of the pivot
    are one component with it.
-4. **Recursion.** What lies outside the radius takes its turn as a pivot inside the region: the
-   bound leaves the partners it may have in other components, within the window that the triangle
-   inequality allows around the known distances, and these are compared exactly.
+4. **Recursion.** Members that the bound keeps from the pivot take their turn as pivots of the rest.
+   Where members of different components may still be near, each is compared with those it shares
+   most with, and then, between the components that are left, with all.
 
 A link is exact: 100 * intersection >= 80 * union over the whole sets. No pair is dropped or capped.
 A null text or one without words has an empty set and no links. Rows that share a doc_id are one
@@ -36,6 +38,8 @@ WORDS = 5
 PERCENT = 80
 #: Members that are compared with one copy of their pivot in a task.
 CHUNK = 256
+#: Partners that a member outside its region's components is first compared with; then all that remain.
+NEXT_PAIRS = 3
 
 
 def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -66,86 +70,109 @@ def _sets(words: int, percent: int):
 # ---------------------------------------------------------------- 2. pivots and regions
 
 
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes that a link can join are in one class or in neighbouring ones."""
+    return np.floor(np.log(n) / np.log(100 / percent * 1.0001)).astype(np.int64) if percent < 100 else n
+
+
 def _deal(buckets: int):
-    """Blocks of (hash, doc) by bucket: one row for each bucket and step, not one for each hash."""
+    """Blocks of (hash, doc, size) by bucket: one row for each bucket and step, not one for each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in text_steps(batches, "small"):
-            raw, off = utf8(step.column(1))
-            h = raw.view(np.uint64) if len(raw) % 8 == 0 and raw.ctypes.data % 8 == 0 else np.frombuffer(raw.tobytes(), np.uint64)
-            doc = np.repeat(step.column(0).to_numpy(), np.diff(off) // 8)
+            raw, off = utf8(step.column(2))
+            h = np.frombuffer(raw.tobytes(), np.uint64)
+            size = np.diff(off) // 8
+            doc, n = np.repeat(step.column(0).to_numpy(), size), np.repeat(step.column(1).to_numpy().astype(np.int32), size)
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             names, begin = np.unique(bucket[order], return_index=True)
-            ends = np.append(begin[1:], len(order))
-            h, doc = h[order], doc[order]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary()), pa.array([doc[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary())],
-                ["bucket", "h", "doc"],
-            )
+            cuts = [order[a:b] for a, b in zip(begin, np.append(begin[1:], len(order)))]
+            columns = [pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (h, doc, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *columns], ["bucket", "h", "doc", "n"])
 
     return run
 
 
-def _elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, p): x holds a hash whose smallest holder is p."""
-
-    def out(hs: list[bytes], docs: list[bytes]) -> pa.RecordBatch:
-        h, doc = np.frombuffer(b"".join(hs), np.uint64), np.frombuffer(b"".join(docs), np.int64)
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
+def _elect(percent: int):
+    """(x, p): x holds a hash whose smallest holder of about its size is p."""
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        h, doc, n = (np.frombuffer(b"".join(x[i] for x in held), t) for i, t in enumerate((np.uint64, np.int64, np.int32)))
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        fresh = np.append(True, s[1:] != s[:-1])
+        many = np.repeat(np.diff(np.append(np.flatnonzero(fresh), len(s))) > 1, np.diff(np.append(np.flatnonzero(fresh), len(s))))
+        order = order[many]
+        h, doc, kind = h[order], doc[order], size_class(n[order], percent)
+        h, doc, kind = np.tile(h, 2), np.tile(doc, 2), np.concatenate([kind, kind + 1])
+        order = np.lexsort((doc, kind, h))
+        h, doc, kind = h[order], doc[order], kind[order]
         fresh = np.ones(len(h), bool)
-        fresh[1:] = h[1:] != h[:-1]
+        fresh[1:] = (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])
         pivot = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         other = pivot != doc
-        pairs = np.unique(np.stack([doc[other], pivot[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.stack([doc[other], pivot[other]], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "p"])
 
-    now, hs, docs = None, [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, *arrays in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != now and held:
+                    yield out(held)
+                    held = []
+                now = bucket
+                held.append(tuple(arrays))
+        if held:
+            yield out(held)
+
+    return run
+
+
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, small) with the upper halves of the hashes: equal hashes stay equal, so bounds stay bounds."""
     for batch in batches:
-        for bucket, h, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if bucket != now and hs:
-                yield out(hs, docs)
-                hs, docs = [], []
-            now = bucket
-            hs.append(h)
-            docs.append(doc)
-    if hs:
-        yield out(hs, docs)
+        raw, off = utf8(batch.column(2))
+        upper = (np.frombuffer(raw.tobytes(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes()
+        small = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((off // 2).astype(np.int32).tobytes()), pa.py_buffer(upper)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), small], ["doc_id", "n", "small"])
 
 
 # ---------------------------------------------------------------- 3., 4. regions
 
 
 class _Region:
-    """The members of one region: ids, set sizes, small hashes and components."""
+    """The members of one region: ids, set sizes, small hashes (upper halves) and components."""
 
     def __init__(self, ids: list[int], sizes: list[int], small: list[bytes], comp: list[int]):
         self.ids, self.n, self.comp = np.array(ids, np.int64), np.array(sizes, np.int64), np.array(comp, np.int64)
-        self.off = np.cumsum([0, *(len(x) // 8 for x in small)])
-        self.h = np.frombuffer(b"".join(small), np.uint64)
+        self.off = np.cumsum([0, *(len(x) // 4 for x in small)])
+        self.h = np.frombuffer(b"".join(small), np.uint32)
         self.owner = np.repeat(np.arange(len(ids)), np.diff(self.off))
         order = np.argsort(self.h, kind="stable")
         self.sorted, self.holder = self.h[order], self.owner[order]
         self.last = self.h[self.off[1:] - 1]
+        self.sizes = np.diff(self.off)
 
-    def possible(self, y: int, percent: int) -> np.ndarray:
-        """Members whose link with y the shared small hashes don't rule out."""
+    def possible(self, y: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members whose link with y the shared small hashes don't rule out, and how many of these they share."""
         mine = self.h[self.off[y] : self.off[y + 1]]
         a, b = np.searchsorted(self.sorted, mine, "left"), np.searchsorted(self.sorted, mine, "right")
         at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
-        who, common = np.unique(self.holder[at], return_counts=True)
-        keep = who != y
-        who, common = who[keep], common[keep]
-        if len(who) == 0:
-            return who
-        want = needed(self.n[who], self.n[y], percent)
-        able = np.minimum(self.n[who], self.n[y]) >= want  # the sizes alone
-        who, common, want = who[able], common[able], want[able]
-        border = np.minimum(self.last[who], self.last[y])
-        rest_y = self.n[y] - np.searchsorted(mine, border, "right")
-        below = np.array([np.searchsorted(self.h[self.off[z] : self.off[z + 1]], v, "right") for z, v in zip(who, border)], np.int64)
-        return who[common + np.minimum(rest_y, self.n[who] - below) >= want]
+        shared = np.bincount(self.holder[at], minlength=len(self.n))
+        shared[y] = 0
+        who = np.flatnonzero(shared)
+        n, common, last = self.n[who], shared[who], self.last[who]
+        want = needed(n, self.n[y], percent)
+        # What lies above the lower of the two last small hashes may all be shared; nothing else.
+        rest_y = self.n[y] - np.searchsorted(mine, np.minimum(last, self.last[y]), "right")
+        rest = np.where(last <= self.last[y], n - self.sizes[who], n)
+        keep = (np.minimum(n, self.n[y]) >= want) & (common + np.minimum(rest_y, rest) >= want)
+        who, common, want, rest_y = who[keep], common[keep], want[keep], rest_y[keep]
+        below = np.array([np.searchsorted(self.h[self.off[z] : self.off[z + 1]], self.last[y], "right") for z in who], np.int64)
+        keep = common + np.minimum(rest_y, self.n[who] - below) >= want
+        return who[keep], common[keep]
 
 
 def _each_region(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Region]]:
@@ -163,34 +190,60 @@ def _each_region(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Regi
         yield now, _Region(*held)
 
 
-def _to_pivot(percent: int):
+def _rows_of(pairs: tuple[list, list], stay: list[int], open_: bool, p: int) -> pa.RecordBatch:
+    """Rows (a, b, p) of pairs, (a, null, p) of members that stay for later rounds, and (null, null, p) of an open region."""
+    a, b = np.array(pairs[0], np.int64), np.array(pairs[1], np.int64)
+    high = pa.concat_arrays([pa.array(np.maximum(a, b)), pa.array(stay, pa.int64()), pa.nulls(int(open_), pa.int64())])
+    low = pa.concat_arrays([pa.array(np.minimum(a, b)), pa.nulls(len(stay) + int(open_), pa.int64())])
+    return pa.RecordBatch.from_arrays([high, low, pa.array(np.full(len(high), p, np.int64))], ["a", "b", "p"])
+
+
+def _first_pairs(percent: int):
+    """Each member with a pivot it may be near: the region's, or else the first that nobody else was near to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, region in _each_region(batches):
-            at = np.flatnonzero(region.ids == p)
-            if len(at) and len(region.ids) > 1:
-                who = region.possible(int(at[0]), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(region.ids[who]), pa.array(np.full(len(who), p, np.int64))], ["a", "b"])
+            at = int(np.searchsorted(region.ids, p))
+            free, stay = np.ones(len(region.ids), bool), np.zeros(len(region.ids), bool)
+            left, right, more, stars = [], [], False, 0
+            for y in [at, *(i for i in range(len(region.ids)) if i != at)]:
+                # Members that have a pivot don't become one here; whom else they may be near is seen later.
+                if not free[y]:
+                    continue
+                free[y] = False
+                who, _ = region.possible(y, percent)
+                near = who[free[who]]
+                stay[y] |= len(who) > 0
+                stay[who] = True
+                more |= len(near) < len(who)
+                stars += len(near) > 0
+                free[near] = False
+                left += [int(region.ids[y])] * len(near)
+                right += region.ids[near].tolist()
+            # Members of two stars may be near each other though their pivots aren't. A member that
+            # may be near to none is settled.
+            yield _rows_of((left, right), region.ids[stay].tolist(), more or stars > 1, p)
 
     return run
 
 
-def _recursive(percent: int):
+def _later_pairs(percent: int, most: int = 0):
+    """Members of different components that may be near; for each the ``most`` with the most in common, or all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, region in _each_region(batches):
             names, counts = np.unique(region.comp, return_counts=True)
-            if len(names) < 2:
-                continue
-            most = names[counts.argmax()]
+            large = names[counts.argmax()]
             left, right = [], []
-            for y in np.flatnonzero(region.comp != most):  # a pair between components has one outside the largest
-                who = region.possible(int(y), percent)
-                who = who[(region.comp[who] != region.comp[y]) & (region.ids[who] != p) & (region.ids[y] != p)]
-                who = who[(region.comp[who] == most) | (who > y)]
-                left += [region.ids[y]] * len(who)
+            for y in np.flatnonzero(region.comp != large):  # one of a pair is outside the largest component
+                who, common = region.possible(int(y), percent)
+                other = (region.comp[who] != region.comp[y]) & (bool(most) | (region.comp[who] == large) | (who > y))
+                who, common = who[other], common[other]
+                if most:
+                    who = who[np.argsort(-common, kind="stable")[:most]]
+                left += [int(region.ids[y])] * len(who)
                 right += region.ids[who].tolist()
-            if left:
-                a, b = np.array(left, np.int64), np.array(right, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            yield _rows_of((left, right), [], False, p)
 
     return run
 
@@ -239,24 +292,33 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     classes = written(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("b"), F.count("*").alias("size")).where("size > 1").drop("size"), "classes")
     copies = written(full.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).where("doc_id <> b").selectExpr("doc_id as a", "b"), "copies")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = full.select("doc_id", "small").mapInArrow(_deal(buckets), "bucket long, h binary, doc binary")
-    held = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_elect, "x long, p long")
+    blocks = full.select("doc_id", "n", "small").mapInArrow(_deal(buckets), "bucket long, h binary, doc binary, n binary")
+    held = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_elect(percent), "x long, p long")
     regions = written(held.distinct().join(copies, F.col("x") == F.col("a"), "left_anti"), "regions")
-    inside = regions.unionByName(regions.select(F.col("p").alias("x"), "p").distinct())
-    small = full.select("doc_id", "n", "small").dropDuplicates(["doc_id"])
-    whole = written(inside.join(small, F.col("x") == F.col("doc_id")).select("p", "x", "n", "small"), "members")
-
-    def by_region(df: DataFrame) -> DataFrame:
-        return df.select("p", "x", "n", "small", "comp").repartition("p").sortWithinPartitions("p", "x")
-
-    near = written(by_region(whole.withColumn("comp", F.lit(0).cast("long"))).mapInArrow(_to_pivot(percent), "a long, b long"), "near")
-    first = verified(near, rows, words, percent)
-    found = written(components(first), "components")
-    known = whole.join(found, F.col("x") == F.col("id"), "left").withColumn("comp", F.coalesce("component_id", "x")).drop("id", "component_id")
-    open_ = written(known.groupBy("p").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("p"), "open")
-    more = written(by_region(known.join(open_, "p", "left_semi")).mapInArrow(_recursive(percent), "a long, b long").distinct(), "more")
-    second = verified(more, rows, words, percent)
-    return sets.select("doc_id", "n"), first.unionByName(second).unionByName(copies)
+    small = full.select("doc_id", "n", "small").mapInArrow(_halved, "doc_id long, n long, small binary")
+
+    def by_region(members: DataFrame) -> DataFrame:
+        whole = members.unionByName(members.select(F.col("p").alias("x"), "p", F.col("q").alias("comp"), "q").distinct())
+        whole = whole.join(small, F.col("x") == F.col("doc_id")).select("p", "x", "n", "small", "comp")
+        return whole.repartition("p").sortWithinPartitions("p", "x")
+
+    none = F.lit(0).cast("long")
+    pairs = "a long, b long, p long"
+    told = written(by_region(regions.select("x", "p", none.alias("comp"), none.alias("q"))).mapInArrow(_first_pairs(percent), pairs), "told")
+    near = written(told.where("b is not null").select("a", "b").distinct(), "near")
+    links = verified(near, rows, words, percent)
+    # Regions that may hold more: a member was near to several, or not so near as it seemed.
+    missed = told.where("b is not null").join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").where("hit is null").select("p")
+    open_ = written(told.where("a is null").select("p").unionByName(missed).distinct(), "open")
+    inside = written(told.where("a is not null and b is null and a <> p").selectExpr("a as x", "p").join(open_, "p", "left_semi"), "inside")
+    for most in (NEXT_PAIRS, 0):
+        found = written(components(links), "components").selectExpr("id", "component_id as c")
+        marked = inside.join(found, F.col("x") == F.col("id"), "left").select("x", "p", F.coalesce("c", "x").alias("comp"))
+        marked = written(marked.join(found, F.col("p") == F.col("id"), "left").select("x", "p", "comp", F.coalesce("c", "p").alias("q")), "marked")
+        split = marked.where("comp <> q").select("p").distinct()
+        more = by_region(marked.join(split, "p", "left_semi")).mapInArrow(_later_pairs(percent, most), pairs)
+        links = links.unionByName(verified(written(more.select("a", "b").distinct(), "more"), rows, words, percent))
+    return sets.select("doc_id", "n"), links.unionByName(copies)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
