@@ -15,7 +15,9 @@ Jaccard distance is a metric, so pivots can split the space into regions:
    are one component with it.
 4. **Recursion.** Members that the bound keeps from the pivot take their turn as pivots of the rest.
    Where members of different components may still be near, each is compared with those it shares
-   most with, and then, between the components that are left, with all.
+   most with. Then whole sets of the members that are still in doubt are dealt in blocks of bounded
+   size, outsiders of a region's largest component against all, and a task returns only the links
+   that join components, never the pairs.
 
 A link is exact: 100 * intersection >= 80 * union over the whole sets. No pair is dropped or capped.
 A null text or one without words has an empty set and no links. Rows that share a doc_id are one
@@ -38,8 +40,10 @@ WORDS = 5
 PERCENT = 80
 #: Members that are compared with one copy of their pivot in a task.
 CHUNK = 256
-#: Partners that a member outside its region's components is first compared with; then all that remain.
+#: Partners that a member outside its region's largest component is compared with before whole sets are.
 NEXT_PAIRS = 3
+#: Shingles of a block of whole sets; a task holds two blocks at a time (a longer set is one alone).
+BLOCK_SHINGLES = 1 << 21
 
 
 def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -227,20 +231,24 @@ def _first_pairs(percent: int):
     return run
 
 
-def _later_pairs(percent: int, most: int = 0):
-    """Members of different components that may be near; for each the ``most`` with the most in common, or all."""
+def _in_doubt(region: _Region, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each member outside the largest component, with those of other components it may be near to, and what they share."""
+    names, counts = np.unique(region.comp, return_counts=True)
+    for y in np.flatnonzero(region.comp != names[counts.argmax()]).tolist():
+        who, common = region.possible(y, percent)
+        other = region.comp[who] != region.comp[y]
+        if other.any():
+            yield y, who[other], common[other]
+
+
+def _later_pairs(percent: int, most: int):
+    """Members of different components that may be near; for each the ``most`` with the most in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, region in _each_region(batches):
-            names, counts = np.unique(region.comp, return_counts=True)
-            large = names[counts.argmax()]
             left, right = [], []
-            for y in np.flatnonzero(region.comp != large):  # one of a pair is outside the largest component
-                who, common = region.possible(int(y), percent)
-                other = (region.comp[who] != region.comp[y]) & (bool(most) | (region.comp[who] == large) | (who > y))
-                who, common = who[other], common[other]
-                if most:
-                    who = who[np.argsort(-common, kind="stable")[:most]]
+            for y, who, common in _in_doubt(region, percent):
+                who = who[np.argsort(-common, kind="stable")[:most]]
                 left += [int(region.ids[y])] * len(who)
                 right += region.ids[who].tolist()
             yield _rows_of((left, right), [], False, p)
@@ -248,6 +256,70 @@ def _later_pairs(percent: int, most: int = 0):
     return run
 
 
+def _doubtful(percent: int, block: int):
+    """Members still in doubt: (x, p, comp, out: outside the largest component, blocks of all, blocks of those outside)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, region in _each_region(batches):
+            open_, out = np.zeros(len(region.ids), bool), np.zeros(len(region.ids), bool)
+            for y, who, _ in _in_doubt(region, percent):
+                out[y] = True
+                open_[y] = True
+                open_[who] = True
+            at = np.flatnonzero(open_)
+            blocks = [np.full(len(at), max(1, -(-int(region.n[of].sum()) // block)), np.int64) for of in (open_, out)]
+            columns = [region.ids[at], np.full(len(at), p, np.int64), region.comp[at], out[at], *blocks]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "p", "comp", "out", "blocks", "out_blocks"])
+
+    return run
+
+
+def _joining_links(held: list[tuple], percent: int) -> pa.RecordBatch:
+    """Of (member, doc, comp, set) in two blocks: links of outsiders (member = 0) with members that join their components."""
+    inside = [x for x in held if x[0]]
+    a, b = [], []
+    if inside:
+        ids, sizes = np.array([x[1] for x in inside], np.int64), np.array([len(x[3]) for x in inside], np.int64)
+        label = np.array([x[2] for x in inside], np.int64)
+        hashes, owner = np.concatenate([x[3] for x in inside]), np.repeat(np.arange(len(inside)), sizes)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        moved: dict[int, int] = {}
+        for _, doc, comp, mine in (x for x in held if not x[0]):
+            while comp in moved:
+                comp = moved[comp]
+            first, last = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
+            count = last - first
+            at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            shared = np.bincount(owner[at], minlength=len(ids))
+            linked = np.flatnonzero((shared >= needed(sizes, len(mine), percent)) & (label != comp))
+            for other, k in zip(*np.unique(label[linked], return_index=True)):
+                a.append(doc)
+                b.append(int(ids[linked[k]]))
+                moved[int(other)] = comp
+                label[label == other] = comp
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _compare_blocks(words: int, percent: int):
+    """Rows (p, i, j, member, doc, comp, text) in the order of p, i, j: a link for each join of two components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for step in text_steps(batches):
+            found = shingle_sets(*utf8(step.column(6)), words)
+            for p, i, j, member, doc, comp, mine in zip(*(step.column(k).to_pylist() for k in range(6)), found):
+                if (p, i, j) != now and held:
+                    yield _joining_links(held, percent)
+                    held = []
+                now = p, i, j
+                held.append((member, doc, comp, mine))
+        if held:
+            yield _joining_links(held, percent)
+
+    return run
+
+
 def _compare(words: int, percent: int):
     """Rows (b, salt, member, doc, text), a pivot before its members: the pairs that are links."""
 
@@ -283,7 +355,17 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
     return written(dealt.mapInArrow(_compare(words, percent), "a long, b long"), "links")
 
 
-def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def links_in_blocks(doubtful: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components among the members in doubt, by whole sets; each pair of blocks is a task's group."""
+    blocks, outs = F.col("blocks"), F.col("out_blocks")
+    every = doubtful.select("p", F.explode(F.sequence(F.lit(0).cast("long"), outs - 1)).alias("i"), F.pmod(F.xxhash64("x"), blocks).alias("j"), F.lit(1).alias("member"), "x", "comp")
+    outside = doubtful.where("out").select("p", F.pmod(F.xxhash64("x", F.lit(1)), outs).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"), F.lit(0).alias("member"), "x", "comp")
+    dealt = every.unionByName(outside).join(rows, F.col("x") == F.col("doc_id")).select("p", "i", "j", "member", "x", "comp", "text")
+    dealt = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
+    return written(dealt.mapInArrow(_compare_blocks(words, percent), "a long, b long"), "links")
+
+
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(sets, edges) of docs (doc_id, text): doc_id and n of every row; edges (a, b) that span every component of links."""
     spark = docs.sparkSession
     rows = plain_rows(docs, "doc_id", "text").where("doc_id is not null")
@@ -311,13 +393,19 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     missed = told.where("b is not null").join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").where("hit is null").select("p")
     open_ = written(told.where("a is null").select("p").unionByName(missed).distinct(), "open")
     inside = written(told.where("a is not null and b is null and a <> p").selectExpr("a as x", "p").join(open_, "p", "left_semi"), "inside")
-    for most in (NEXT_PAIRS, 0):
+
+    def split_regions(links: DataFrame) -> DataFrame:
+        """Members, with the components so far, of the open regions that hold more than one component."""
         found = written(components(links), "components").selectExpr("id", "component_id as c")
         marked = inside.join(found, F.col("x") == F.col("id"), "left").select("x", "p", F.coalesce("c", "x").alias("comp"))
         marked = written(marked.join(found, F.col("p") == F.col("id"), "left").select("x", "p", "comp", F.coalesce("c", "p").alias("q")), "marked")
-        split = marked.where("comp <> q").select("p").distinct()
-        more = by_region(marked.join(split, "p", "left_semi")).mapInArrow(_later_pairs(percent, most), pairs)
-        links = links.unionByName(verified(written(more.select("a", "b").distinct(), "more"), rows, words, percent))
+        return by_region(marked.join(marked.where("comp <> q").select("p").distinct(), "p", "left_semi"))
+
+    more = split_regions(links).mapInArrow(_later_pairs(percent, NEXT_PAIRS), pairs)
+    links = links.unionByName(verified(written(more.select("a", "b").distinct(), "more"), rows, words, percent))
+    kinds = "x long, p long, comp long, out boolean, blocks long, out_blocks long"
+    doubtful = written(split_regions(links).mapInArrow(_doubtful(percent, block), kinds), "doubtful")
+    links = links.unionByName(links_in_blocks(doubtful, rows, words, percent))
     return sets.select("doc_id", "n"), links.unionByName(copies)
 
 

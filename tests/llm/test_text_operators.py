@@ -78,12 +78,12 @@ def test_merge_needs_no_text():
     assert len({next(iter(v)) for v in same.values()}) == len(same)
 
 
-def test_jaccard_join(docs, empty):
-    got = {r["doc_id"]: r for r in jaccard_join.jaccard_components(docs).collect()}
+def jaccard_brute(texts):
+    """(set size, smallest linked id) by id, from all pairs."""
     sets = {}
-    for i, text in enumerate(TEXTS):
+    for i, text in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets[i * 3] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     root = {i: i for i in sets}
 
     def find(x):
@@ -97,11 +97,65 @@ def test_jaccard_join(docs, empty):
             if a < b and n and 100 * n >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    for i in sets:
-        assert (got[i]["n_shingles"], got[i]["component_id"]) == (len(sets[i]), find(i)), i
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_jaccard_join(docs, empty):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == jaccard_brute({i * 3: text for i, text in enumerate(TEXTS)})
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_join_of_near_copies_in_small_blocks(spark):
+    """Chains of copies on both sides of the threshold; blocks hold about three sets."""
+    texts = [BASE]
+    for _ in range(90):
+        texts.append(near(RND.choice([BASE, RND.choice(texts)]), RND.randint(1, 5)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets, edges = jaccard_join.jaccard_links(rows, block=400)
+    brute = jaccard_brute(dict(enumerate(texts)))
+    root = {i: i for i in brute}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in edges.collect():
+        x, y = sorted((find(r["a"]), find(r["b"])))
+        root[y] = x
+    assert {r["doc_id"]: (r["n"], find(r["doc_id"])) for r in sets.collect()} == brute
+    assert 2 < len({c for _, c in brute.values()}) < 60
+
+
+def test_joining_links_match_all_pairs():
+    """Blocks by themselves: the links joined are those that all pairs of outsiders and members give."""
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 60, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rnd.choice(base, 60, False), base[:110]])) for _ in range(40)]
+    held = [(role, i, i % 17, x) for role in (0, 1) for i, x in enumerate(sets)]
+    out = jaccard_join._joining_links(held, 80)
+    root = list(range(17))
+    full = list(range(17))
+
+    def find(of, x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for x, y in zip(out["a"].to_pylist(), out["b"].to_pylist()):
+        n = len(np.intersect1d(sets[x], sets[y]))
+        assert 100 * n >= 80 * (len(sets[x]) + len(sets[y]) - n) and find(root, x % 17) != find(root, y % 17)
+        root[find(root, x % 17)] = find(root, y % 17)
+    for x in range(40):
+        for y in range(40):
+            n = len(np.intersect1d(sets[x], sets[y]))
+            if 100 * n >= 80 * (len(sets[x]) + len(sets[y]) - n):
+                full[find(full, x % 17)] = find(full, y % 17)
+    groups = lambda of: {frozenset(c for c in range(17) if find(of, c) == r) for r in map(lambda c: find(of, c), range(17))}
+    assert groups(root) == groups(full)
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs).collect()
     by, seq = defaultdict(list), defaultdict(list)
