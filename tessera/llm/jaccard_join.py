@@ -154,6 +154,7 @@ class _Region:
         self.off = np.cumsum([0, *(len(x) // 4 for x in small)])
         self.h = np.frombuffer(b"".join(small), np.uint32)
         self.owner = np.repeat(np.arange(len(ids)), np.diff(self.off))
+        self.key = (self.owner.astype(np.uint64) << np.uint64(32)) | self.h  # ascending: members in turn, each one's hashes sorted
         order = np.argsort(self.h, kind="stable")
         self.sorted, self.holder = self.h[order], self.owner[order]
         self.last = self.h[self.off[1:] - 1]
@@ -174,7 +175,8 @@ class _Region:
         rest = np.where(last <= self.last[y], n - self.sizes[who], n)
         keep = (np.minimum(n, self.n[y]) >= want) & (common + np.minimum(rest_y, rest) >= want)
         who, common, want, rest_y = who[keep], common[keep], want[keep], rest_y[keep]
-        below = np.array([np.searchsorted(self.h[self.off[z] : self.off[z + 1]], self.last[y], "right") for z in who], np.int64)
+        upto = (who.astype(np.uint64) << np.uint64(32)) | np.uint64(self.last[y])
+        below = np.searchsorted(self.key, upto, "right") - self.off[who]
         keep = common + np.minimum(rest_y, self.n[who] - below) >= want
         return who[keep], common[keep]
 
