@@ -3,13 +3,15 @@
 Four kinds of personal data are found by pattern; they are the protected entities. How strongly a
 term reveals an entity is estimated from the corpus: the pointwise mutual information of the two,
 over all documents, against the entity's own information content (as in Sanchez and Batet's
-C-sanitised documents). A term near an entity is
+C-sanitised documents). A term anywhere in a document that holds an entity is
 
 * generalised (a placeholder) where PMI(term; entity) >= ``generalise`` * IC(entity), and
 * removed where it reaches ``remove`` * IC(entity),
 
-if they occur together in ``support`` documents at least. Document frequencies of terms are counted
-over all documents, with partial counts in each task before the shuffle.
+if they occur together in ``support`` documents at least; then every occurrence in that document is
+masked. Documents that hold a term, an entity or both are counted over whole texts, with partial
+counts in each task before the shuffle. Pairs are made only where the counts of the two alone do not
+rule them out (they share at most as many documents as the rarer of them has).
 
 Positions are code points. A null text is empty. Repeated rows count as documents of their own; an
 empty table gives no rows; extra columns are ignored.
@@ -34,18 +36,19 @@ PATTERNS = {
 }
 #: A cheap test that a text can hold the kind at all.
 HINTS = {"email": "text like '%@%'", "ip": r"text rlike '[0-9]\\.[0-9]'", "card": r"text rlike '[0-9](?:[\\x20-]?[0-9]){13}'", "phone": r"text rlike '\\+[0-9]'"}
-#: Code points on either side of an entity that are its context.
-CONTEXT = 80
 WORD = r"\p{L}{3,}"
 GENERALISE = 0.9
 REMOVE = 0.98
 SUPPORT = 2
+#: A key of more than this share of the documents is dealt over SALTS tasks when it is joined.
+HOT = 1 / 500
+SALTS = 32
 
 
 def _matches(kind: str) -> Column:
-    """array<struct<kind, i, gap, len, value, before, after>> of a text's matches, gaps before them."""
+    """array<struct<kind, i, gap, len, value>> of a text's matches, gaps before them."""
     found, gaps = F.regexp_extract_all("text", F.lit(PATTERNS[kind]), 0), F.split("text", PATTERNS[kind], -1)
-    zipped = F.arrays_zip(found.alias("m"), gaps.alias("p"), F.slice(gaps, 2, F.size(gaps)).alias("q"))
+    zipped = F.arrays_zip(found.alias("m"), gaps.alias("p"))
     each = F.transform(
         F.filter(zipped, lambda z: z["m"].isNotNull()),
         lambda z, i: F.struct(
@@ -54,14 +57,12 @@ def _matches(kind: str) -> Column:
             F.length(z["p"]).alias("gap"),
             F.length(z["m"]).alias("len"),
             z["m"].alias("value"),
-            F.right(z["p"], F.lit(CONTEXT)).alias("before"),
-            F.left(z["q"], F.lit(CONTEXT)).alias("after"),
         ),
     )
     return F.when(F.expr(HINTS[kind]), each).otherwise(F.array().cast(_MATCH))
 
 
-_MATCH = "array<struct<kind:int,i:int,gap:int,len:int,value:string,before:string,after:string>>"
+_MATCH = "array<struct<kind:int,i:int,gap:int,len:int,value:string>>"
 
 
 def _valid() -> Column:
@@ -90,71 +91,75 @@ def numbered(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def entities(rows: DataFrame) -> DataFrame:
-    """rid, doc_id, kind, start, end, value, before, after of every protected entity; one row without kind for a text that has none."""
+    """rid, doc_id, kind, start, end, value of every protected entity; one row without kind for a text that has none."""
     found = rows.select("rid", "doc_id", F.explode_outer(F.concat(*[_matches(k) for k in KINDS[:4]])).alias("m")).select("rid", "doc_id", "m.*")
     order = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = found.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(order)).withColumn("start", F.col("end") - F.col("len"))
     good = placed.withColumn("ok", F.col("kind").isNotNull() & _valid())
-    keep = [F.when(F.col("ok"), F.col(c)).alias(c) for c in ("kind", "start", "end", "value", "before", "after")]
+    keep = [F.when(F.col("ok"), F.col(c)).alias(c) for c in ("kind", "start", "end", "value")]
     return good.select("rid", "doc_id", *keep)
 
 
-def _terms_of(text: str, start: Column, cut_left: bool) -> Column:
-    """array<struct<term, start, end>> of the words of a context; a word that its border cuts is left out."""
-    words, gaps = F.regexp_extract_all(text, F.lit(WORD), 0), F.split(F.col(text), WORD, -1)
-    zero = F.struct(start.cast("long").alias("at"), F.array().cast("array<struct<term:string,start:bigint,end:bigint>>").alias("out"))
+def _terms() -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), 0), F.lower))
+
+
+def _places() -> Column:
+    """array<struct<start, kind, end, removed>> of a text's words among told; removed: those among gone."""
+    words, gaps = F.regexp_extract_all("text", F.lit(WORD), 0), F.split("text", WORD, -1)
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,removed:boolean>>").alias("out"))
 
     def step(a: Column, z: Column) -> Column:
         begin = a["at"] + F.length(z["p"])
         end = begin + F.length(z["m"])
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(F.lower(z["m"]).alias("term"), begin.alias("start"), end.alias("end"))).alias("out"))
+        term = F.lower(z["m"])
+        place = F.struct(begin.alias("start"), F.lit(4).alias("kind"), end.alias("end"), F.array_contains("gone", term).alias("removed"))
+        return F.struct(end.alias("at"), F.when(F.array_contains("told", term), F.array_append(a["out"], place)).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(F.filter(F.arrays_zip(words.alias("m"), gaps.alias("p")), lambda z: z["m"].isNotNull()), zero, step)["out"]
+
 
-    listed = F.aggregate(F.filter(F.arrays_zip(words.alias("m"), gaps.alias("p")), lambda z: z["m"].isNotNull()), zero, step)["out"]
-    limit = start if cut_left else start + F.length(text)
-    full = F.length(text) == CONTEXT
-    return F.filter(listed, lambda t: ~(full & ((t["start"] if cut_left else t["end"]) == limit)))
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """left (with rid) joined with right on keys; size: the documents that a key has. Keys of many documents are few, and are salted."""
+    many = F.col(size) > total * HOT
+    hot = F.broadcast(right.where(many).select(*keys, F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(hot, keys, "left").withColumn("salt", salt).drop("hot").join(right.withColumn("salt", F.explode(salts)), [*keys, "salt"]).drop("salt")
 
 
 def revealing(rows: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """rid, start, end, removed of the term occurrences near entities that reveal them."""
-    near = found.where("kind is not null").select(
-        "rid",
-        F.concat_ws(":", "kind", F.lower("value")).alias("entity"),
-        F.explode(
-            F.concat(
-                _terms_of("before", F.col("start") - F.length("before"), True),
-                _terms_of("after", F.col("end"), False),
-            )
-        ).alias("t"),
-    )
-    near = written(near.select("rid", "entity", "t.*"), "near")
-    both = near.select("entity", "term", "rid").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    alone = found.where("kind is not null").select(F.concat_ws(":", "kind", F.lower("value")).alias("entity"), "rid").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = written(both.join(alone, "entity"), "both")
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    counts = rows.select(F.explode(words).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_term"))
+    """rid, near: struct(start, kind, end, removed) of every occurrence of the terms that reveal an entity of the text."""
     total = rows.count()
-    terms = written(both.select("term").distinct().join(counts, "term"), "terms")
-    pmi = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    held = written(found.where("kind is not null").select("rid", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct(), "held")
+    alone = written(held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "alone")
     content = F.log(F.lit(float(total)) / F.col("n_entity"))
-    told = both.join(terms, "term").where(content > 0).where(pmi >= generalise * content).select("entity", "term", (pmi >= remove * content).alias("removed"))
-    return near.join(written(told, "told"), ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("removed").alias("removed"))
+    held = written(_dealt(held, alone, ["entity"], "n_entity", total).where(content > 0), "held")
+    counts = written(rows.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support), "terms")
+    hinted = rows.where(F.expr(" or ".join(f"({h})" for h in HINTS.values())))
+    texts = written(hinted.join(held.select("rid").distinct(), "rid", "left_semi").select("rid", "text"), "texts")
+    terms = _dealt(texts.select("rid", F.explode(_terms()).alias("term")), counts, ["term"], "n_term", total)
+    # The most that a pair can reach, where the rarer of the two never occurs without the other.
+    most = F.log(F.lit(float(total)) / F.greatest("n_entity", "n_term"))
+    near = written(terms.join(held, "rid").where(most >= generalise * content - 1e-9).select("rid", "entity", "term", "n_entity", "n_term"), "near")
+    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    pmi = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    told = both.where(F.col("n_both") >= support).where(pmi >= generalise * content).select("entity", "term", "n_both", (pmi >= remove * content).alias("removed"))
+    hits = _dealt(near.select("rid", "entity", "term"), written(told, "told"), ["entity", "term"], "n_both", total)
+    lists = hits.groupBy("rid").agg(F.collect_set("term").alias("told"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
+    return texts.join(lists, "rid").select("rid", _places().alias("near"))
 
 
 def spans_of(rows: DataFrame, **limits: float) -> DataFrame:
     """For each rid, doc_id of numbered rows the arrays base and terms of struct(start, kind, end, removed), by start."""
     found = written(entities(rows), "entities")
-    terms = revealing(rows, found, **limits)
-    one = found.select("rid", "doc_id", "start", "kind", "end", F.lit(False).alias("removed"))
-    ids = found.select("rid", "doc_id").distinct()
-    more = terms.join(ids, "rid").select("rid", "doc_id", "start", F.lit(4).alias("kind"), "end", "removed")
-    span = F.struct("start", "kind", "end", "removed")
-    spans = one.unionByName(more).groupBy("rid", "doc_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") < 4, span))).alias("base"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == 4, span))).alias("near"),
-    )
+    span = F.struct("start", "kind", "end", F.lit(False).alias("removed"))
+    base = found.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), span))).alias("base"))
+    spans = base.join(written(revealing(rows, found, **limits), "near"), "rid", "left")
     clear = F.filter("near", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return spans.select("rid", "doc_id", "base", clear.alias("terms"))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,removed:boolean>>")
+    return spans.select("rid", "doc_id", "base", F.coalesce(clear, none).alias("terms"))
 
 
 def _listed(spans: Column) -> Column:

@@ -233,3 +233,39 @@ def test_pii_patterns(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert "a.b@c.de" not in clean[4] and "[EMAIL]" in clean[4] and clean[7] == ""
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_pii_terms_of_whole_texts(spark):
+    """Terms by the definition, counted over whole texts; entities of two documents and of a third of all."""
+    rnd = random.Random(11)
+    some = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    texts = []
+    for i in range(90):
+        text = [rnd.choice(some) for _ in range(rnd.randint(5, 60))]
+        if i % 3 == 0:
+            text[1] = "hot@all.org"
+        if i % 10 == 0:
+            text += [f"p{i // 20}@one.org", *[rnd.choice(some) for _ in range(40)], f"Far{'qrstu'[i // 20]}", "x", f"far{'qrstu'[i // 20]}"]
+        texts.append(" ".join(text))
+    words = [{w.lower() for w in re.findall(r"[A-Za-z]{3,}", t)} for t in texts]
+    held = [set(re.findall(r"[a-z0-9]+@[a-z]+\.org", t)) for t in texts]
+    total = len(texts)
+    found = defaultdict(dict)
+    for e in set().union(*held):
+        n_entity = sum(e in h for h in held)
+        for w in set().union(*(x for x, h in zip(words, held) if e in h)):
+            n_both, n_term = sum(e in h and w in x for h, x in zip(held, words)), sum(w in x for x in words)
+            pmi, content = np.log(total * n_both / (n_entity * n_term)), np.log(total / n_entity)
+            if n_both >= 2 and pmi >= 0.9 * content:
+                for i in range(total):
+                    if e in held[i] and w in words[i]:
+                        found[i][w] = found[i].get(w, False) or pmi >= 0.98 * content
+    assert found[0]["farq"] and len(texts[0]) > 240 and any(len(f) > 2 for f in found.values())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(docs).collect():
+        text = texts[r["doc_id"]]
+        base = [m.span() for m in re.finditer(r"[a-z0-9]+@[a-z]+\.org", text)]
+        want = [m.span() for m in re.finditer(r"[A-Za-z]{3,}", text) if m[0].lower() in found[r["doc_id"]] and not any(a < m.end() and m.start() < b for a, b in base)]
+        assert [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("term")] == want
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert not re.search("farq", clean[0], re.I) and not re.search("farq", clean[10], re.I) and clean[1] == texts[1]
