@@ -1,6 +1,7 @@
 """Packing: token sequences of one window, filled by combinations of document lengths.
 
-1. **Tokens.** Every whole text becomes token ids plus an end id, written once.
+1. **Tokens.** Every whole text becomes token ids plus an end id, written once. The tokenizer's added
+   tokens are cut out of the text first and have ids of their own.
 2. **Combinations.** A document is cut into whole windows and a rest shorter than a window. The rests'
    lengths make a histogram of at most ``window`` bins. Shallow combinations (two or three lengths)
    that fill a window exactly are enumerated, and non-negative least squares finds how often each is
@@ -17,6 +18,8 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -47,7 +50,7 @@ def default_files() -> tuple[str, str]:
 class WordEncoder(dict):
     """Ids of a word (as the vocabulary's pattern cuts them) as little-endian 16-bit bytes, remembered."""
 
-    def __init__(self, ranks_file: str):
+    def __init__(self, tokenizer_file: str, ranks_file: str):
         import base64
 
         import public_tokenizers
@@ -58,6 +61,13 @@ class WordEncoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(tokenizer_file, encoding="utf-8") as file:
+            added = json.load(file).get("added_tokens") or []
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.added = {t["content"]: np.array([t["id"]], "<u2").tobytes() for t in added}
+        # Of tokens that start at one place the longest counts, as in the tokenizer.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
@@ -68,16 +78,19 @@ class WordEncoder(dict):
         return found
 
     def ids(self, text: str) -> bytes:
-        """All ids of a text; equal to encoding it whole, since the pattern cuts before any merge."""
-        return b"".join(map(self.__getitem__, self.words(text)))
+        """All ids of a text; equal to encoding it whole, since added tokens, then the pattern, cut before any merge."""
+        parts = self.cut(text)
+        if len(parts) == 1:
+            return b"".join(map(self.__getitem__, self.words(text)))
+        return b"".join(self.added[part] if i % 2 else b"".join(map(self.__getitem__, self.words(part))) for i, part in enumerate(parts))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
 
 
-def _tokens(ranks_file: str, end_id: int):
+def _tokens(files: tuple[str, str], end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(ranks_file) or _ENCODERS.setdefault(ranks_file, WordEncoder(ranks_file))
+        encoder = _ENCODERS.get(files) or _ENCODERS.setdefault(files, WordEncoder(*files))
         end = np.array([end_id], "<u2").tobytes()
         at = TaskContext.get().partitionId() << 40
         for step in text_steps(batches):
@@ -210,9 +223,8 @@ def _cut(layout: Layout):
 
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, files: tuple[str, str] | None = None) -> DataFrame:
     """The pieces of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    ranks = (files or default_files())[1]
     rows = plain_rows(docs, "doc_id", "text")
-    tokens = written(rows.mapInArrow(_tokens(ranks, end_id), "doc_id long, rid long, n long, ids binary"), "tokens", compression="zstd")
+    tokens = written(rows.mapInArrow(_tokens(tuple(files or default_files()), end_id), "doc_id long, rid long, n long, ids binary"), "tokens", compression="zstd")
     lengths = tokens.select("rid", (F.col("n") % window).cast("int").alias("r"), F.floor(F.col("n") / window).cast("long").alias("q"))
     groups = max(64, -(-tokens.count() // GROUP_ROWS))
     salted = lengths.withColumn("salt", F.expr(f"pmod(xxhash64(rid), {groups})").cast("int"))

@@ -184,6 +184,22 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_gives_added_tokens_their_own_id(spark):
+    """Ids as the tokenizer gives them by itself, without a flag."""
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end + end, f"\n{end}\n  x {end}'s  ", f"{end[:-1]} {end[1:]} é{end}日", "plain"]
+    tokenizer = Tokenizer.from_file(packing.default_files()[0])
+    ids = [np.array(tokenizer.encode(t, add_special_tokens=False).ids + [1], "<u4") for t in texts]
+    assert ids[0].tolist() == [64, 220, 50256, 275, 1]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(texts)))
+    for r in rows:
+        x = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(x) and r["ids_crc32"] == zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes())
+
+
 def test_least_squares_fill_the_window():
     histogram = np.zeros(2048, np.int64)
     histogram[[1000, 1048, 500, 700, 848]] = [10, 7, 20, 20, 20]
