@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding: N-best segmentation over the piece lattice.
 
-The vocabulary's pieces are the edges of a text's lattice, their scores add up. A forward Viterbi pass
-gives each place its best score from the start; these are the exact heuristics of an A-star search
-backward from the end, which so yields segmentations in order of score. No piece spans the border
+The vocabulary's pieces are the edges of a text's lattice, their scores add up. A backward Viterbi pass
+gives each place its best score to the end; these are the exact heuristics of an A-star search forward
+from the start, which so yields segmentations in order of score, and equal ones by ids. No piece spans the border
 before a space that follows another character, so a text's lattice is a chain of word lattices: a word
 is solved once per worker, and a text's N best combine the words whose second choice costs least.
 
@@ -81,24 +81,26 @@ class Pieces:
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """(score, ids) of the n best segmentations, best first, equal ones by ids."""
         into = self.arcs(word)
-        ahead = [0.0] + [_LOW] * len(word)
-        for end in range(1, len(word) + 1):
-            ahead[end] = max((ahead[start] + s for start, _, s in into[end]), default=_LOW)
+        after: list[list] = [[] for _ in into]
+        behind = [_LOW] * len(word) + [0.0]
+        for end in range(len(word), 0, -1):
+            for start, ids, s in into[end]:
+                after[start].append((end, ids, s))
+                behind[start] = max(behind[start], s + behind[end])
         out: list[tuple[float, tuple[int, ...]]] = []
-        heap = [(-ahead[-1], (), len(word), 0.0)]
-        while heap and (len(out) < n or -heap[0][0] == out[-1][0]):  # all ties with the last, so that they can be put in order
-            _, ids, place, behind = heapq.heappop(heap)
-            if place == 0:
-                out.append((behind, ids))
-                if len(out) >= 4 * n + 16:
-                    break
+        # A beginning sorts before what continues it, so whole segmentations leave the heap by score, then ids.
+        heap = [(-behind[0], (), 0, 0.0)]
+        while heap and len(out) < n:
+            _, ids, place, score = heapq.heappop(heap)
+            if place == len(word):
+                out.append((score, ids))
                 continue
-            for start, more, s in into[place]:
-                heapq.heappush(heap, (-(ahead[start] + s + behind), more + ids, start, s + behind))
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+            for end, more, s in after[place]:
+                heapq.heappush(heap, (-(score + s + behind[end]), ids + more, end, score + s))
+        return out
 
     def word(self, word: str) -> tuple[bytes, float, float]:
-        """(ids of the best as 16-bit bytes, its score, what the second best costs), by Viterbi with two scores a place."""
+        """(ids of the best as 16-bit bytes, its score, what the second best costs), by Viterbi with two scores a place; of equal ones the smallest ids."""
         found = self.known.get(word)
         if found:
             return found
@@ -129,6 +131,8 @@ class Pieces:
         while place:
             place, more = back[place]
             ids[:0] = more
+        if n and first[n] == second[n]:
+            ids = list(self.n_best(word, 1)[0][1])
         found = (np.array(ids, "<u2").tobytes(), first[n], first[n] - second[n])
         if n < 64:
             if len(self.known) >= CACHE:
@@ -150,11 +154,9 @@ class Pieces:
         choices = sorted((sum(c[0][0] - c[k][0] for c, k in zip(lists, pick)), pick) for pick in itertools.product(*(range(len(c)) for c in lists)))
         out = []
         for loss, pick in choices[:n]:
-            mine = parts
-            if any(pick):
-                mine = parts.copy()
-                for i, c, k in zip(cheap, lists, pick):
-                    mine[i] = np.array(c[k][1], "<u2").tobytes()
+            mine = parts.copy()
+            for i, c, k in zip(cheap, lists, pick):
+                mine[i] = np.array(c[k][1], "<u2").tobytes()
             out.append((total - loss, b"".join(mine)))
         return out
 

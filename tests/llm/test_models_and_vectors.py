@@ -119,6 +119,39 @@ def test_piece_lattice_against_all_segmentations():
         assert pieces.decode(np.frombuffer(raw, "<u2")) == text.replace("▁", " ")
 
 
+def test_piece_lattice_of_tied_words():
+    """Tied segmentations come each once and by ids, also where a word has more ties than results."""
+    pieces = piece_lattice.Pieces(piece_lattice.default_model())
+
+    def every(word):
+        out = [[] for _ in range(len(word) + 1)]
+        out[0] = [(0.0, ())]
+        for end, arcs in enumerate(pieces.arcs(word)):
+            out[end] += [(s + score, i + ids) for start, ids, score in arcs for s, i in out[start]]
+        return sorted(out[-1], key=lambda x: (-x[0], x[1]))
+
+    for word in (" zzzz", " " + "z" * 12, "q" * 12, "-" * 14):
+        want = every(word)
+        assert pieces.n_best(word, 40) == want[:40]
+        assert np.frombuffer(pieces.word(word)[0], "<u2").tolist() == list(want[0][1])
+    assert every(" zzzz")[0][0] == every(" zzzz")[1][0]
+    got = pieces.segmentations("zzzz", 3)
+    assert [(s, tuple(np.frombuffer(raw, "<u2").tolist())) for s, raw in got] == every(" zzzz")[:3]
+    for text in ("zzzz zzzz", "a zzzz b zzzz zzzz", "z" * 400):
+        got = pieces.segmentations(text, 3)
+        assert len({raw for _, raw in got}) == 3 and pieces.segmentations(text, 1) == got[:1]
+
+
+def test_tied_words_past_the_former_cap():
+    """A word of ever more ties: its first segmentations are still those of the smallest ids."""
+    pieces = piece_lattice.Pieces.__new__(piece_lattice.Pieces)
+    pieces.edges = {"a": (3, -2.0), "aa": (1, -4.0), "aaa": (2, -6.0)}
+    pieces.longest, pieces.worst, pieces.bytes_at, pieces.unknown, pieces.known = 3, -20.0, {}, 0, {}
+    # All ways of writing 12 letters tie; the first ones hold the piece of two letters as often as they can.
+    assert [ids for _, ids in pieces.n_best("a" * 12, 3)] == [(1, 1, 1, 1, 1, 1), (1, 1, 1, 1, 1, 3, 3), (1, 1, 1, 1, 2, 3)]
+    assert np.frombuffer(pieces.word("a" * 12)[0], "<u2").tolist() == [1] * 6
+
+
 def test_encode_and_decode_frames(spark):
     docs = spark.createDataFrame([(1, "a cat sat", 0), (2, None, 0), (3, "", 0), (3, "", 0), (4, "x" * 5000 + " é", 0)], "doc_id long, text string, rank int")
     coded = piece_lattice.encode(docs)
