@@ -93,68 +93,85 @@ def test_classifiers_hold_on_unseen_rows(spark):
     assert toxicity.score_toxicity(docs, labels.limit(0)).where("score <> 0.5").count() == 0
 
 
-def test_piece_lattice_against_all_segmentations():
-    pieces = piece_lattice.Pieces(piece_lattice.default_model())
-
-    def every(word):
-        if not word:
-            return [(0.0, ())]
-        out = []
-        into = pieces.arcs(word)
-        for start, ids, score in into[len(word)]:
-            out += [(s + score, i + ids) for s, i in every(word[:start])]
-        return out
-
-    for word in (" the", " héllo", " 日本x", "  ab", " a\nb", " ꙮx"):
-        want = sorted(every(word), key=lambda x: (-x[0], x[1]))[:5]
-        assert pieces.n_best(word, 5) == want
-        raw, score, loss = pieces.word(word)
-        assert score == want[0][0] and (loss == want[0][0] - want[1][0] if len(want) > 1 else loss == float("inf"))
+@pytest.fixture(scope="module")
+def pieces():
+    return piece_lattice.Pieces(piece_lattice.default_model())
+
+
+def every_segmentation(pieces, text):
+    """All segmentations, best first, equal ones by ids from the last to the first."""
+    out = [[] for _ in range(len(text) + 1)]
+    out[0] = [(0.0, ())]
+    for end in range(1, len(text) + 1):
+        for start in range(end):
+            hit = pieces.edges.get(text[start:end])
+            if hit:
+                out[end] += [(s + hit[1], i + (hit[0],)) for s, i in out[start]]
+        if text[end - 1] not in pieces.edges:
+            ids = tuple(pieces.bytes_at[b] for b in text[end - 1].encode())
+            out[end] += [(s + pieces.worst, i + ids) for s, i in out[end - 1]]
+    return sorted(out[-1], key=lambda x: (-x[0], x[1][::-1]))
+
+
+def test_piece_lattice_against_all_segmentations(pieces):
+    for word in (" the", " héllo", " 日本x", "  ab", " a\nb", " ꙮx", " zzzz", " " + "z" * 12, "q" * 12, "-" * 14):
+        want = every_segmentation(pieces, word)
+        for n in (1, 2, 3, 40):
+            assert pieces.n_best(word, n) == want[:n], (word, n)
+
+
+def test_piece_lattice_of_whole_texts_with_ties(pieces):
+    """Whole texts, tied within a word, between equal words and between different ones; each segmentation once."""
+    for text in ("zzzz", "qqqq", "a zzzz b", "zz zz zz", "a b a b", "x.y", "tt qq tt", "ab, ꙮb", "1 22"):
+        want = every_segmentation(pieces, " " + text)
+        for n in (1, 2, 3, 5):
+            got = [(s, tuple(np.frombuffer(raw, "<u2").tolist())) for s, raw in pieces.segmentations(text, n)]
+            assert got == want[:n], (text, n)
     text = "the cat  sat\non Éa ▁x 日"
     best = pieces.segmentations(text, 3)
-    whole = sorted({s for s, _ in every(" the cat")}, reverse=True)[:1]
-    assert pieces.segmentations("the cat", 1)[0][0] == whole[0]
-    assert len({raw for _, raw in best}) == 3 and [s for s, _ in best] == sorted((s for s, _ in best), reverse=True)
+    assert len({raw for _, raw in best}) == 3
     for _, raw in best:
         assert pieces.decode(np.frombuffer(raw, "<u2")) == text.replace("▁", " ")
 
 
-def test_piece_lattice_of_tied_words():
-    """Tied segmentations come each once and by ids, also where a word has more ties than results."""
-    pieces = piece_lattice.Pieces(piece_lattice.default_model())
-
-    def every(word):
-        out = [[] for _ in range(len(word) + 1)]
-        out[0] = [(0.0, ())]
-        for end, arcs in enumerate(pieces.arcs(word)):
-            out[end] += [(s + score, i + ids) for start, ids, score in arcs for s, i in out[start]]
-        return sorted(out[-1], key=lambda x: (-x[0], x[1]))
-
-    for word in (" zzzz", " " + "z" * 12, "q" * 12, "-" * 14):
-        want = every(word)
-        assert pieces.n_best(word, 40) == want[:40]
-        assert np.frombuffer(pieces.word(word)[0], "<u2").tolist() == list(want[0][1])
-    assert every(" zzzz")[0][0] == every(" zzzz")[1][0]
-    got = pieces.segmentations("zzzz", 3)
-    assert [(s, tuple(np.frombuffer(raw, "<u2").tolist())) for s, raw in got] == every(" zzzz")[:3]
-    for text in ("zzzz zzzz", "a zzzz b zzzz zzzz", "z" * 400):
-        got = pieces.segmentations(text, 3)
-        assert len({raw for _, raw in got}) == 3 and pieces.segmentations(text, 1) == got[:1]
-
-
-def test_tied_words_past_the_former_cap():
-    """A word of ever more ties: its first segmentations are still those of the smallest ids."""
+def test_piece_lattice_of_ever_more_ties():
+    """All ways of writing 12 letters tie: of a vocabulary of one letter, there are 927."""
     pieces = piece_lattice.Pieces.__new__(piece_lattice.Pieces)
-    pieces.edges = {"a": (3, -2.0), "aa": (1, -4.0), "aaa": (2, -6.0)}
-    pieces.longest, pieces.worst, pieces.bytes_at, pieces.unknown, pieces.known = 3, -20.0, {}, 0, {}
-    # All ways of writing 12 letters tie; the first ones hold the piece of two letters as often as they can.
-    assert [ids for _, ids in pieces.n_best("a" * 12, 3)] == [(1, 1, 1, 1, 1, 1), (1, 1, 1, 1, 1, 3, 3), (1, 1, 1, 1, 2, 3)]
-    assert np.frombuffer(pieces.word("a" * 12)[0], "<u2").tolist() == [1] * 6
+    pieces.load({"a": (3, -2.0), "aa": (1, -4.0), "aaa": (2, -6.0)}, {}, 0, 4)
+    want = every_segmentation(pieces, "a" * 12)
+    assert len(want) == 927 and pieces.n_best("a" * 12, 927) == want
+    assert pieces.two_scores("a" * 12)[0] == [1] * 6
+
+
+def test_piece_lattice_of_batches_and_single_segments(pieces):
+    """Segments solved together are those solved alone; so is a text after much else was forgotten."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdeé ,.\n1") for _ in range(rnd.randint(0, 60))) for _ in range(200)]
+    together = pieces.chains(texts, 3)
+    alone = piece_lattice.Pieces(piece_lattice.default_model())
+    row = 0
+    for text in texts:
+        for score, raw in alone.segmentations(text, 3):
+            a, b = together[4][row : row + 2]
+            assert together[2][row] == score and pieces.best.gather(together[3][a:b])[0].astype("<u2").tobytes() == raw
+            row += 1
+    assert row == len(together[0])
+
+
+def test_piece_lattice_of_one_very_long_word(pieces):
+    import time
+
+    for text in ("".join(RND.choice("abcdefghijklmnop") for _ in range(100_000)), "z" * 100_000):
+        begin = time.process_time()
+        got = pieces.segmentations(text, 3)
+        assert len({raw for _, raw in got}) == 3 and time.process_time() - begin < 6
+        assert pieces.decode(np.frombuffer(got[2][1], "<u2")) == text
 
 
 def test_encode_and_decode_frames(spark):
     docs = spark.createDataFrame([(1, "a cat sat", 0), (2, None, 0), (3, "", 0), (3, "", 0), (4, "x" * 5000 + " é", 0)], "doc_id long, text string, rank int")
     coded = piece_lattice.encode(docs)
+    assert piece_lattice.encode(docs.limit(0)).count() == 0 and piece_lattice.decode(coded.limit(0)).count() == 0
     assert coded.where("not round_trip").count() == 0
     back = {(r["doc_id"], r["rank"]): r["text"] for r in piece_lattice.decode(coded).collect()}
     assert back[(1, 1)] == back[(1, 3)] == "a cat sat" and back[(2, 1)] == "" and back[(4, 2)] == "x" * 5000 + " é"
