@@ -22,6 +22,9 @@ samp script small source spacer span strike strong style sub summary sup templat
 ITEM = "address article dd dt div p section table tr li td fieldset form h1 h2 h3 h4 h5 h6".split()
 CONTENT = "p ol ul dl div colgroup tbody td section main form".split()
 
+#: Classes by which a capture numbers nodes and marks hidden and filtered ones.
+NODE_MARK, HIDDEN_MARK, FILTER_MARKS = r"fftheme_\d+_\d+", "xmoztheme", ("o2xtheme", "o2x2theme")
+
 CLASSES = {"block": BLOCK, "proximity": PROXIMITY, "formatting": FORMATTING, "decoration": DECORATION, "item": ITEM, "content": CONTENT}
 
 
@@ -35,13 +38,14 @@ def attr(name: str) -> Column:
 
 
 def is_hidden() -> Column:
-    """A hidden attribute or an inline style that hides; stands for a layout engine's answer."""
-    return F.coalesce(F.map_contains_key("attrs", "hidden") | attr("style").rlike(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden"), F.lit(False))
+    """A capture's mark, a hidden attribute or an inline style that hides; stands for a layout engine's answer."""
+    return F.coalesce(F.coalesce(attr("class").contains(HIDDEN_MARK), F.lit(False)) | F.map_contains_key("attrs", "hidden") | attr("style").rlike(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden"), F.lit(False))
 
 
 def is_empty_node() -> Column:
-    """Comments, scripts, styles, hidden nodes and blank text."""
-    return F.col("tag").isin("#comment", "#data", "style", "script") | is_hidden() | ((F.col("tag") == "#text") & is_blank(F.col("text")))
+    """Comments, scripts, styles, hidden and filtered nodes and blank text."""
+    filtered = F.coalesce(attr("class").contains(FILTER_MARKS[0]), F.lit(False))
+    return F.col("tag").isin("#comment", "#data", "style", "script") | is_hidden() | filtered | ((F.col("tag") == "#text") & is_blank(F.col("text")))
 
 
 def first_url_attr() -> Column:
@@ -66,22 +70,25 @@ class NodeMatch:
     classes: tuple[str, ...] = ()
     any: bool = True
 
-    def column(self) -> Column:
+    def column(self, text: Column | None = None) -> Column:
+        """Whether a node matches, case aside. ``text`` is an element's whole text, where ``self.text`` is asked for."""
+        same = lambda c, wanted: F.coalesce(F.lower(c) == wanted.lower(), F.lit(False))
         if self.id:
-            return F.coalesce(attr("id") == self.id, F.lit(False))
+            return same(attr("id"), self.id)
         if self.name:
-            return F.coalesce(attr("name") == self.name, F.lit(False))
-        tests = [attr(k) == getattr(self, k) for k in ("type", "value", "title", "alt", "href", "role") if getattr(self, k)]
+            return same(attr("name"), self.name)
+        tests = [same(attr(k), getattr(self, k)) for k in ("type", "value", "title", "alt", "href", "role") if getattr(self, k)]
         if self.tag:
-            tests.append(F.lower("tag") == self.tag.lower())
+            tests.append(same(F.col("tag"), self.tag))
         if self.text:
-            tests.append(strip(F.col("text")) == self.text)
+            tests.append(same(strip(F.col("text") if text is None else text), " ".join(self.text.split())))
         if self.classes:
-            own, wanted = F.split(F.coalesce(attr("class"), F.lit("")), r"\s+"), F.array(*map(F.lit, self.classes))
-            tests.append(F.arrays_overlap(own, wanted) if self.any else F.size(F.array_except(wanted, own)) == 0)
-        out = F.lit(not self.any and bool(tests))
+            own = F.split(F.lower(F.coalesce(attr("class"), F.lit(""))), r"\s+")
+            wanted = F.array(*[F.lit(c.lower()) for c in self.classes])
+            # With all fields asked for, a node may have no class that isn't wanted.
+            tests.append(F.arrays_overlap(own, wanted) if self.any else F.size(F.array_except(own, wanted)) == 0)
+        out = F.lit(not self.any)
         for test in tests:
-            test = F.coalesce(test, F.lit(False))
             out = out | test if self.any else out & test
         return out
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +17,8 @@ _RUN = r"(?:&nbsp;|&amp;nbsp;|&#160;|[\x00-\x20 ])+"
 
 
 def is_blank(c: Column) -> Column:
-    """Null, empty or only white space; a blank is the same as no value."""
-    return c.isNull() | (F.trim(c) == "")
+    """Null, empty or only characters up to U+0020; a blank is the same as no value."""
+    return c.isNull() | (trim_all(c) == "")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -46,9 +51,9 @@ def collapsed_length(c: Column) -> Column:
     return F.length(F.regexp_replace(trim_all(text), r"[\x09-\x0D\x1C-\x20]+", " "))
 
 
-def strip_attributes(html: Column) -> Column:
+def strip_attributes(page: Column) -> Column:
     """HTML with the attributes of start tags taken out."""
-    return F.regexp_replace(html, r"<([A-Za-z][A-Za-z0-9]*)\s[^>]*>", "<$1>")
+    return F.regexp_replace(page, r"<([A-Za-z][A-Za-z0-9]*)\s[^>]*>", "<$1>")
 
 
 def next_break(text: Column, start: int = 1) -> Column:
@@ -56,16 +61,47 @@ def next_break(text: Column, start: int = 1) -> Column:
     return F.regexp_instr(F.substring(text, start, 1 << 30), F.lit(r"\. |[\n\r\f]"))
 
 
-#: Entities that decode natively, the ampersand last.
+#: Common entities, the ampersand last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
 def decode_entities(c: Column) -> Column:
+    """The common entities decoded, natively; :func:`unescape` knows all."""
     for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
 
 
+def unescape(c: Column) -> Column:
+    """All HTML entities decoded: named (some without their semicolon), decimal and hexadecimal, as HTML5 reads them. Null stays null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
+
+    return run(c)
+
+
+def compressed(c: Column) -> Column:
+    """A text as base64 of its gzip, in Arrow batches; null stays null. The same text gives the same bytes."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: base64.b64encode(gzip.compress(t.encode("utf-8", "surrogatepass"), mtime=0)).decode() if isinstance(t, str) else None)
+
+    return run(c)
+
+
+def decompressed(c: Column) -> Column:
+    """The text of :func:`compressed`."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: gzip.decompress(base64.b64decode(t)).decode("utf-8", "surrogatepass") if isinstance(t, str) else None)
+
+    return run(c)
+
+
 def encode_entities(c: Column) -> Column:
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(char), F.lit(name))

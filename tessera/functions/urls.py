@@ -87,15 +87,20 @@ class UrlRule:
     export_only: bool = False
 
 
-#: Rounds of a recursive rewrite; each at least halves what nests in practice.
-ROUNDS = 8
-
-
 def _replace(c: Column, rule: UrlRule) -> Column:
+    pattern = "(?i)" + rule.regex
+    if rule.replace_all and rule.recursive:
+        # Until nothing changes. A text that doesn't grow settles within as many rounds as it has characters;
+        # a rule that keeps on growing it would never end, and stops where the text is eight times as long.
+        def again(acc: Column, _: Column) -> Column:
+            new = F.regexp_replace(acc["now"], pattern, rule.replacement)
+            end = acc["end"] | (new == acc["now"]) | (F.length(new) > 8 * F.length(c) + 64)
+            return F.struct(F.when(acc["end"], acc["now"]).otherwise(new).alias("now"), end.alias("end"))
+
+        start = F.struct(c.alias("now"), F.lit(False).alias("end"))
+        return F.aggregate(F.sequence(F.lit(0), F.length(c) + 1), start, again, lambda acc: acc["now"])
     if rule.replace_all:
-        for _ in range(ROUNDS if rule.recursive else 1):
-            c = F.regexp_replace(c, "(?i)" + rule.regex, rule.replacement)
-        return c
+        return F.regexp_replace(c, pattern, rule.replacement)
     # The first match only: what comes before it is matched reluctantly and kept; groups move by one.
     moved = re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 1}", rule.replacement)
     return F.regexp_replace(c, f"(?is)^(.*?)(?:{rule.regex})", "$1" + moved)
@@ -112,6 +117,16 @@ def rewrite(url: Column, rules: list[UrlRule], export: bool = False) -> Column:
     return result
 
 
+def node_passes(url: Column, whitelist: tuple[str, ...] = (), patterns: tuple[str, ...] = (), matches: tuple = ()) -> Column:
+    """As :func:`passes`, or where the link's node is like one of the given examples (node predicates over its columns)."""
+    if not matches:
+        return passes(url, whitelist, patterns)
+    hit = F.lit(False)
+    for match in matches:
+        hit = hit | match.column()
+    return hit | (passes(url, whitelist, patterns) if whitelist or patterns else F.lit(False))
+
+
 def passes(url: Column, whitelist: tuple[str, ...] = (), patterns: tuple[str, ...] = ()) -> Column:
     """Keeps a URL that holds a whitelisted text or matches a pattern wholly, case aside; without filters, all."""
     if not whitelist and not patterns:

@@ -35,39 +35,57 @@ def group_averages(df: DataFrame, by: Group) -> DataFrame:
 
 
 def swap_fields(df: DataFrame, by: Group) -> DataFrame:
-    """Title and summary change places where titles are blank but summaries aren't, or titles are the longer ones."""
+    """Title and summary change places where titles are blank but summaries aren't, or titles are the longer ones.
+
+    Records that carry ``prior_url`` and ``prior_title`` (the link that the present one displaced) change
+    only if they have one, and go back to its url; the averages change in any case.
+    """
     out = group_averages(df, by)
     swap = ((F.col("avg_title") < 1) & (F.col("avg_summary") > 1)) | ((F.col("avg_title") > F.col("avg_summary")) & (F.col("avg_summary") > FIELD))
-    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    return out.withColumns({"title": pick("title", "summary"), "summary": pick("summary", "title"), "avg_title": pick("avg_title", "avg_summary"), "avg_summary": pick("avg_summary", "avg_title")})
+    mine = swap
+    if "prior_url" in df.columns:
+        mine = swap & F.col("title").isNotNull() & F.col("prior_url").isNotNull() & F.col("prior_title").isNotNull()
+        out = out.withColumn("url", F.when(mine, F.col("prior_url")).otherwise(F.col("url")))
+    pick = lambda a, b, when: F.when(when, F.col(b)).otherwise(F.col(a))
+    return out.withColumns({"title": pick("title", "summary", mine), "summary": pick("summary", "title", mine), "avg_title": pick("avg_title", "avg_summary", swap), "avg_summary": pick("avg_summary", "avg_title", swap)})
 
 
 def use_alternates(df: DataFrame, by: Group) -> DataFrame:
-    """url and title from alt_url and alt_title in groups where more than half of the records have them."""
+    """url and title from alt_url and alt_title in groups where these already stand in more than half of the records."""
     n = F.count("*").over(Window.partitionBy(*by))
-    alt = F.sum(F.when(F.col("alt_url").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(*by)) > F.floor(n / 2)
-    return df.withColumns({c: F.when(alt & F.col(f"alt_{c}").isNotNull(), F.col(f"alt_{c}")).otherwise(F.col(c)) for c in ("url", "title")})
+    is_alt = F.coalesce((F.col("url") == F.col("alt_url")) & F.col("title").eqNullSafe(F.col("alt_title")), F.lit(False))
+    use = (F.sum(is_alt.cast("int")).over(Window.partitionBy(*by)) > F.floor(n / 2)) & ~is_blank(F.col("alt_url")) & ~is_blank(F.col("alt_title"))
+    return df.withColumns({c: F.when(use, F.col(f"alt_{c}")).otherwise(F.col(c)) for c in ("url", "title")})
 
 
 def fallback_titles(df: DataFrame, by: Group) -> DataFrame:
-    """The fallback (array ``fallbacks``) of the best mean length replaces titles that are shorter on average, or titles that a third shares."""
+    """The fallback place of the best mean title length gives url and title, where it is longer than titles are on average, or in records whose title over a third shares and whose fallback fewer do.
+
+    ``fallbacks`` is an array of url and title. A record without that place takes its longest fallback,
+    if it has one that is longer than its title.
+    """
+    by = list(by)
     w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    sums = df.select(*by, F.posexplode("fallbacks").alias("slot", "t")).groupBy(*by, "slot").agg(F.sum(F.length(trim_all("t"))).alias("chars"))
-    best = sums.groupBy(*by).agg(F.max(F.struct("chars", (-F.col("slot")).alias("turn"))).alias("best")).select(*by, F.col("best.chars").alias("chars"), (-F.col("best.turn")).alias("slot"))
-    out = df.join(best, list(by), "left").withColumn("n", n)
-    out = out.withColumn("fallback", F.when(F.col("slot").isNotNull(), F.try_element_at("fallbacks", F.col("slot") + 1)))
-    out = group_averages(out, by).withColumn("longer", F.coalesce(F.rint(F.col("chars") / F.col("n")) > F.rint("avg_title"), F.lit(False)))
-    out = out.withColumn("same", F.count("*").over(Window.partitionBy(*by, "title")))
-    crowded = F.col("same") > F.rint(F.col("n") / 3)
-    out = out.withColumn("again", F.sum(F.when(crowded, 1).otherwise(0)).over(Window.partitionBy(*by, "fallback")))
-    use = F.col("fallback").isNotNull() & (F.col("longer") | (crowded & (F.col("again") < F.rint(F.col("n") / 3))))
-    return out.withColumn("title", F.when(use, F.col("fallback")).otherwise(F.col("title"))).drop("chars", "slot", "n", "fallback", "longer", "same", "again", "avg_title", "avg_summary")
+    slots = df.where(F.col("title").isNotNull()).select(*by, F.posexplode("fallbacks").alias("slot", "f"))
+    sums = slots.groupBy(*by, "slot").agg(F.sum(F.length(trim_all(F.col("f.title")))).alias("chars"))
+    best = sums.groupBy(*by).agg(F.max(F.struct("chars", (-F.col("slot")).alias("turn"))).alias("b")).where("b.chars > 0").select(*by, F.col("b.chars").alias("chars"), (-F.col("b.turn")).alias("slot"))
+    out = group_averages(df.drop("avg_title", "avg_summary"), by).withColumn("n", F.count("*").over(w)).join(best, by, "left")
+    there = F.try_element_at("fallbacks", F.col("slot") + 1)
+    longest = F.array_max(F.transform("fallbacks", lambda f: F.struct(F.length(f["title"]).alias("n"), f["url"].alias("url"), f["title"].alias("title"))))
+    instead = F.when(longest["n"] >= F.coalesce(F.length("title"), F.lit(0)), F.struct(longest["url"].alias("url"), longest["title"].alias("title")))
+    out = out.withColumn("fallback", F.when(F.col("slot").isNotNull(), F.coalesce(there, instead)))
+    third = F.rint(F.col("n") / 3)
+    out = out.withColumn("longer", F.coalesce(F.rint(F.col("chars") / F.col("n")) > F.rint("avg_title"), F.lit(False)))
+    out = out.withColumn("crowded", F.count("*").over(Window.partitionBy(*by, "title")) > third)
+    out = out.withColumn("again", F.sum(F.col("crowded").cast("int")).over(Window.partitionBy(*by, F.coalesce(there["title"], F.lit("")))))
+    use = F.col("fallback").isNotNull() & (F.col("longer") | (F.col("crowded") & (F.col("again") < third)))
+    out = out.withColumns({c: F.when(use, F.col(f"fallback.{c}")).otherwise(F.col(c)) for c in ("url", "title")})
+    return out.drop("chars", "slot", "n", "fallback", "longer", "crowded", "again", "avg_title", "avg_summary")
 
 
 def drop_short(df: DataFrame, by: Group) -> DataFrame:
     """In groups of long fields, records with a short title and summary go."""
-    out = group_averages(df, by)
+    out = df if "avg_title" in df.columns else group_averages(df, by)
     long = (F.col("avg_summary") > AVERAGE) | (F.col("avg_title") > AVERAGE)
     summary = trim_all(F.regexp_replace(F.coalesce("summary", F.lit("")), UNCOUNTED, ""))
     short = (F.length(F.coalesce("title", F.lit(""))) < SHORT) & (F.length(summary) < SHORT)
@@ -116,14 +134,14 @@ def drop_relative_minority(df: DataFrame, by: Group) -> DataFrame:
 def drop_contained_urls(df: DataFrame, by: Group) -> DataFrame:
     """A url that is part of every other url of its group goes (groups over two).
 
-    Only a url of the group's least length can be; so just these are compared with the group.
+    Only a url of the group's least length can be, and if two of that length differ neither is; so one
+    text for each group is looked for in its urls.
     """
     w = Window.partitionBy(*by)
-    out = df.withColumn("n", F.count("*").over(w)).withColumn("least", F.min(F.length("url")).over(w))
-    small = out.where("n > 2 and length(url) = least").select(*by, F.col("pos").alias("p"), F.col("url").alias("u"))
-    others = df.select(*by, "pos", "url").join(small, list(by)).where("pos <> p").groupBy(*by, "p").agg(F.min(F.col("url").contains(F.col("u")).cast("int")).alias("all_hold"))
-    gone = others.where("all_hold = 1").select(*by, F.col("p").alias("pos"))
-    return df.join(gone, [*by, "pos"], "left_anti")
+    out = df.withColumn("n", F.count("*").over(w)).withColumn("least", F.min(F.struct(F.length("url").alias("k"), F.col("url").alias("u"))).over(w))
+    out = out.withColumn("held", F.min(F.coalesce(F.col("url").contains(F.col("least.u")), F.lit(False)).cast("int")).over(w))
+    gone = (F.col("n") > FEW) & (F.col("held") == 1) & (F.col("url") == F.col("least.u"))
+    return out.where(~F.coalesce(gone, F.lit(False))).drop("n", "least", "held")
 
 
 def trim_empty_edges(df: DataFrame, by: Group) -> DataFrame:
@@ -172,7 +190,7 @@ def _common_prefix(low: Column, high: Column) -> Column:
         mid = F.floor((acc["a"] + acc["b"] + 1) / 2).cast("int")
         return F.when(acc["a"] >= acc["b"], acc).when(same(mid), F.struct(mid.alias("a"), acc["b"].alias("b"))).otherwise(F.struct(acc["a"].alias("a"), (mid - 1).alias("b")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(24)), zero, halve)["a"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), zero, halve)["a"]
 
 
 def strip_affixes(df: DataFrame, by: Group) -> DataFrame:
@@ -201,12 +219,28 @@ def drop_outliers(df: DataFrame, by: Group, size: str = "size") -> DataFrame:
     return out.where(F.coalesce(F.col("z") <= OUTLIER, F.lit(True))).drop("z")
 
 
-def clean(df: DataFrame, by: Group) -> DataFrame:
-    """All rules in their order."""
-    out = swap_fields(df, by).drop("avg_title", "avg_summary")
+def untrimmed(df: DataFrame, by: Group) -> DataFrame:
+    """The rules that all records get: swap, alternates, fallbacks; with avg_title (as it is then) and avg_summary (as the swap left it)."""
+    out = swap_fields(df, by)
+    summary = out.select(*by, "pos", "avg_summary")
+    if "alt_url" in out.columns:
+        out = use_alternates(out, by)
+    if "fallbacks" in out.columns:
+        out = fallback_titles(out, by)
+    out = out.drop("avg_title", "avg_summary").join(summary, [*by, "pos"])
+    return out.withColumn("avg_title", F.avg(F.coalesce(F.length("title"), F.lit(0))).over(Window.partitionBy(*by)))
+
+
+def trimmed(df: DataFrame, by: Group, size: str = "size") -> DataFrame:
+    """The rules that may drop records, in their order, of untrimmed ones; averages are not taken anew, outliers by size go last."""
     for rule in (drop_short, distinct_urls, drop_repeated):
-        out = rule(out, by)
-    out = out.drop("avg_title", "avg_summary")
+        df = rule(df, by)
+    df = df.drop("avg_title", "avg_summary")
     for rule in (trim_banned_edges, drop_relative_minority, drop_contained_urls, trim_empty_edges, merge_alternating, strip_affixes):
-        out = rule(out, by)
-    return out
+        df = rule(df, by)
+    return drop_outliers(df, by, size)
+
+
+def clean(df: DataFrame, by: Group) -> DataFrame:
+    """All rules in their order."""
+    return trimmed(untrimmed(df, by), by)

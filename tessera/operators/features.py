@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dom
+from tessera.functions.dom import NodeMatch
 from tessera.functions.text import collapsed_length, is_blank
+from tessera.operators.nodes import whole_text
+from tessera.operators.staged import staged
 
 INT_MAX, INT_MIN = 2147483647, -2147483648
 
@@ -41,7 +45,7 @@ def subtree_counts(nodes: DataFrame) -> DataFrame:
 
 
 def fixed_point(c: Column) -> Column:
-    """Times 1000, truncated, saturating; null and NaN are 0; a boolean is 1 or -1."""
+    """Times 1000, truncated, saturating; null and NaN are 0."""
     value = F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0)) * 1000
     return F.least(F.greatest(value, F.lit(float(INT_MIN))), F.lit(float(INT_MAX))).cast("bigint").cast("int")
 
@@ -51,12 +55,30 @@ def ratio(a: Column, b: Column) -> Column:
     return fixed_point(F.when(F.abs(b) < 1e-9, 0.0).otherwise(a / b))
 
 
+def truth(c: Column) -> Column:
+    """A boolean as a feature: true is -1, false 1."""
+    return F.when(c, -1).otherwise(1)
+
+
 def divides(n: Column, by: int) -> Column:
-    return F.when(n % by == 0, 1).otherwise(-1)
+    """Whether n is a multiple of by, as a feature; 0 is none."""
+    return truth((n != 0) & (n % by == 0))
 
 
 def distance_to_multiple(n: Column, by: int) -> Column:
-    return F.least(n % by, by - n % by)
+    """How far n is from the nearest multiple of by; 0 times by isn't taken."""
+    lower = F.floor(n / by)
+    return F.least(F.abs(n - F.greatest(lower, F.lit(1)) * by), F.abs(n - (lower + 1) * by)).cast("int")
+
+
+def either_divides(a: Column, b: Column) -> Column:
+    """Whether one of two counts is a multiple of the other, as a feature; 0 is none."""
+    return truth((a != 0) & (b != 0) & ((F.try_mod(a, b) == 0) | (F.try_mod(b, a) == 0)))
+
+
+def smallest_rest(a: Column, b: Column) -> Column:
+    """The lesser of the rests of two counts by each other; 0 where one is 0."""
+    return F.when((a != 0) & (b != 0), F.least(F.try_mod(a, b), F.try_mod(b, a))).otherwise(0).cast("int")
 
 
 def skewness(c: Column | str) -> Column:
@@ -81,58 +103,186 @@ def children_consistency(nodes: DataFrame) -> DataFrame:
 
 
 def signatures(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id, signature: the sorted distinct block tags under each item node."""
-    items = nodes.where(dom.is_tag("item")).select("page_id", F.col("node_id").alias("a"), "end_id")
-    below = nodes.where(dom.is_tag("block")).select("page_id", F.col("node_id").alias("d"), "tag")
-    met = items.join(below, "page_id").where("d between a and end_id")
-    return met.groupBy("page_id", F.col("a").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("signature"))
-
-
-#: Names of the candidate features, in order: what the rank operators compare.
-FEATURES = (
-    "n_nodes n_fields n_images n_anchors n_chars n_blocks n_content n_items n_formatting n_decoration "
-    "n_children same_tag anchors_per_child chars_per_child fields_per_child items_per_child depth "
-    "chars_skew chars_stddev chars_mean anchors_skew anchors_stddev anchors_mean mod5 mod10"
-).split()
-
-
-def candidate_features(nodes: DataFrame, min_children: int = 2) -> DataFrame:
-    """page_id, node_id, end_id, features: one fixed-point vector for every content element with children."""
-    counts = subtree_counts(nodes)
-    kids = counts.where("parent_id >= 0").groupBy("page_id", F.col("parent_id").alias("node_id")).agg(
-        F.count("*").alias("n_children"),
-        F.when(F.countDistinct("tag") == 1, 1).otherwise(-1).alias("same_tag"),
-        skewness("n_chars").alias("chars_skew"),
-        F.coalesce(F.stddev_samp("n_chars"), F.lit(0.0)).alias("chars_stddev"),
-        F.avg("n_chars").alias("chars_mean"),
-        skewness("n_anchors").alias("anchors_skew"),
-        F.coalesce(F.stddev_samp("n_anchors"), F.lit(0.0)).alias("anchors_stddev"),
-        F.avg("n_anchors").alias("anchors_mean"),
+    """page_id, node_id, signature: the sorted distinct block tags below and with each item node."""
+    items = nodes.where(dom.is_tag("item")).select("page_id", "node_id")
+    blocks = nodes.where(dom.is_tag("block")).select("page_id", F.explode(F.array_append("path", F.col("node_id"))).alias("node_id"), "tag")
+    met = blocks.join(items, ["page_id", "node_id"], "left_semi").groupBy("page_id", "node_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("signature"))
+    return items.join(met, ["page_id", "node_id"], "left").select("page_id", "node_id", F.coalesce("signature", F.lit("")).alias("signature"))
+
+
+def typed(nodes: DataFrame, match_result: NodeMatch | None = None, match_parent: NodeMatch | None = None) -> DataFrame:
+    """nodes with is_item and is_content: by tag, or by the examples of a record or of its container, which override tags."""
+    if match_result is None and match_parent is None:
+        return nodes.withColumns({"is_item": dom.is_tag("item"), "is_content": dom.is_tag("content")})
+
+    def hits(match: NodeMatch) -> DataFrame:
+        test = nodes.where("substr(tag, 1, 1) <> '#'")
+        if match.text:
+            test = test.join(whole_text(nodes, test).withColumnRenamed("text", "all_text"), ["page_id", "node_id"], "left")
+            return test.where(match.column(F.col("all_text"))).select("page_id", "node_id", "parent_id")
+        return test.where(match.column()).select("page_id", "node_id", "parent_id")
+
+    def flag(found: DataFrame, name: str) -> DataFrame:
+        return found.distinct().withColumn(name, F.lit(True))
+
+    items = hits(match_result).select("page_id", "node_id") if match_result else None
+    holders = hits(match_parent).select("page_id", "node_id") if match_parent else None
+    if items is None:
+        items = nodes.select("page_id", "node_id", F.col("parent_id").alias("up")).join(holders.withColumnRenamed("node_id", "up"), ["page_id", "up"], "left_semi").select("page_id", "node_id")
+    if holders is None:
+        holders = hits(match_result).where("parent_id >= 0").select("page_id", F.col("parent_id").alias("node_id"))
+    out = nodes.join(flag(items, "is_item"), ["page_id", "node_id"], "left").join(flag(holders, "is_content"), ["page_id", "node_id"], "left")
+    return out.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("is_item", "is_content")})
+
+
+#: Counters of a subtree, the node itself among them.
+SUMS = "nodes fields images anchors text_anchors href_chars chars anchor_chars other_chars blocks content items formatting decoration".split()
+
+
+def subtree_profile(nodes: DataFrame) -> DataFrame:
+    """page_id, node_id and the counters of every subtree, its root among them: SUMS, longest, deepest, tags (sorted, distinct), ordered (tags in order).
+
+    nodes come from :func:`typed`. Empty nodes count for the depth alone. Every node is dealt once to each
+    of its ancestors, with partial sums in each task. A text is an anchor's if the anchor lies in the subtree.
+    """
+    full = ~dom.is_empty_node()
+    text = full & (F.col("tag") == "#text")
+    chars = F.when(text, collapsed_length(F.col("text"))).otherwise(0)
+    links = nodes.where("tag = 'a'").select("page_id", F.explode(F.sequence("node_id", "end_id")).alias("node_id"), F.col("node_id").alias("a"))
+    near = links.groupBy("page_id", "node_id").agg(F.max("a").alias("anchor"))
+    rows = nodes.join(near, ["page_id", "node_id"], "left").select(
+        "page_id",
+        F.col("node_id").alias("n"),
+        "depth",
+        F.when(full, F.col("tag")).alias("tag"),
+        text.alias("is_text"),
+        chars.alias("size"),
+        F.when(full & (F.col("tag") == "a"), F.length(F.coalesce(dom.attr("href"), F.lit("")))).alias("href_size"),
+        *[(full & t).cast("int").alias(k) for k, t in {"b": dom.is_tag("block"), "c": F.col("is_content"), "i": F.col("is_item"), "f": dom.is_tag("formatting"), "d": dom.is_tag("decoration")}.items()],
+        F.coalesce("anchor", F.lit(-1)).alias("anchor"),
+        F.explode(F.array_append("path", F.col("node_id"))).alias("node_id"),
     )
-    wide = counts.where(dom.is_tag("content")).join(kids, ["page_id", "node_id"]).where(F.col("n_children") >= min_children)
-    n = F.col("n_children")
-    plain = {k: F.col(k) for k in FEATURES if k in wide.columns}
-    more = {
-        "anchors_per_child": ratio(F.col("n_anchors"), n),
-        "chars_per_child": ratio(F.col("n_chars"), n),
-        "fields_per_child": ratio(F.col("n_fields"), n),
-        "items_per_child": ratio(F.col("n_items"), n),
-        "mod5": divides(n, 5),
-        "mod10": divides(n, 10),
-    }
-    value = lambda k: more[k] if k in more else fixed_point(plain[k]) if k.endswith(("skew", "stddev", "mean")) else plain[k].cast("int")
-    ends = nodes.select("page_id", "node_id", "end_id")
-    return wide.join(ends, ["page_id", "node_id"]).select("page_id", "node_id", "end_id", F.array(*[value(k) for k in FEATURES]).alias("features"))
+    linked = F.col("is_text") & (F.col("anchor") >= F.col("node_id"))
+    count = lambda test: F.sum(test.cast("int"))
+    return rows.groupBy("page_id", "node_id").agg(
+        F.count("tag").cast("int").alias("nodes"),
+        count(F.col("is_text") & (F.col("size") > 0)).alias("fields"),
+        F.coalesce(count(F.col("tag") == "img"), F.lit(0)).alias("images"),
+        F.coalesce(count(F.col("tag") == "a"), F.lit(0)).alias("anchors"),
+        count(linked).alias("text_anchors"),
+        F.coalesce(F.sum("href_size"), F.lit(0)).alias("href_chars"),
+        F.sum("size").alias("chars"),
+        F.sum(F.when(linked, F.col("size")).otherwise(0)).alias("anchor_chars"),
+        F.sum(F.when(~linked, F.col("size")).otherwise(0)).alias("other_chars"),
+        *[F.sum(k).alias(v) for k, v in {"b": "blocks", "c": "content", "i": "items", "f": "formatting", "d": "decoration"}.items()],
+        F.max("size").alias("longest"),
+        F.max("depth").alias("deepest"),
+        F.array_sort(F.collect_set("tag")).alias("tags"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("n", "tag")))), lambda x: x["tag"]).alias("ordered"),
+    )
+
+
+#: Children by kind, and what is measured over them (mean, deviation and skewness of each).
+KINDS = "children items blocks decoration formatting content".split()
+SPREADS = "anchor_chars anchors chars nodes fields levels longest other_chars html_len text_anchors".split()
+
+
+def _features() -> dict[str, Column]:
+    """The 156 features of a candidate by name, in the order that published nets expect.
+
+    Columns: t_x is a counter over all that lies below, k_x counts its non-empty children, n is their number.
+    """
+    c = F.col
+    n, ni, anchors, texts = c("n"), c("k_items"), c("t_anchors"), c("t_text_anchors")
+    out = {k: c(f"t_{k}") for k in ("items", "blocks", "decoration", "formatting", "content")}
+    out |= {f"{k}_per_child": ratio(v, n) for k, v in list(out.items())}
+    out |= {f"child_{k}": c(f"k_{k}") for k in ("items", "blocks", "decoration", "formatting", "content")}
+    out["child_length"] = F.floor("html_len_mean").cast("int")
+    out |= {"fields": c("t_fields"), "text_items": c("k_text_items"), "images": c("t_images"), "anchors": anchors, "text_anchors": texts}
+    out |= {"chars_per_field": ratio(c("t_chars"), F.greatest(c("t_fields"), F.lit(1))), "item_chars_per_text_item": ratio(c("item_chars"), F.greatest(c("k_text_items"), F.lit(1)))}
+    out |= {"longest": c("t_longest"), "length": c("html_len"), "length_per_child": ratio(c("html_len"), n)}
+    out["anchor_length"] = F.coalesce(F.floor(F.try_divide(c("t_href_chars"), anchors)), F.lit(0)).cast("int")
+    out |= {"chars": c("t_chars"), "item_chars": c("item_chars"), "chars_per_child": ratio(c("t_chars"), n), "item_chars_per_item": ratio(c("item_chars"), ni)}
+    out["other_chars"] = c("t_other_chars")
+    out |= {f"other_chars_per_{k}": ratio(c("t_other_chars"), v) for k, v in {"child": n, "item": ni, "block": c("k_blocks"), "content": c("k_content"), "anchor": anchors, "text_anchor": texts}.items()}
+    out |= {"anchor_chars": c("t_anchor_chars"), "item_anchor_chars": c("item_anchor_chars"), "item_anchor_chars_per_item": ratio(c("item_anchor_chars"), c("k_anchor_items"))}
+    out |= {f"anchor_chars_per_{k}": ratio(c("t_anchor_chars"), v) for k, v in {"anchor": anchors, "text_anchor": texts, "child": n}.items()}
+    out |= {"nodes": c("t_nodes"), "levels": c("t_levels"), "nodes_per_child": ratio(c("t_nodes"), n), "children_per_level": ratio(n, c("t_levels")), "siblings": c("siblings"), "children": n}
+    out |= {"most_missing": c("most_missing"), "mean_missing": fixed_point(c("mean_missing")), "same_tag": truth(c("same_tag")), "same_tags": truth(c("same_tags")), "sequences": c("sequences")}
+    counts = {"children": n, "child_items": ni, "child_blocks": c("k_blocks"), "child_content": c("k_content"), "anchors": anchors, "anchor_items": c("k_anchor_items"), "text_items": c("k_text_items"), "text_anchors": texts}
+    for name, value in counts.items():
+        out |= {f"{name}_by_10": divides(value, 10), f"{name}_by_5": divides(value, 5), f"{name}_to_10": distance_to_multiple(value, 10), f"{name}_to_5": distance_to_multiple(value, 5)}
+    pairs = [("children", n, "anchors", anchors), ("child_items", ni, "anchors", anchors)]
+    wide = [("children", n, "text_anchors", texts), ("child_items", ni, "text_anchors", texts)]
+    for kind in ("anchor", "text", "anchor_text"):
+        wide += [("children", n, f"{kind}_children", c(f"k_{kind}_children")), ("child_items", ni, f"{kind}_items", c(f"k_{kind}_items"))]
+    for group in (pairs, wide):
+        out |= {f"{a}_less_{b}": F.abs(x - y) for a, x, b, y in group}
+        out |= {f"{a}_over_{b}": either_divides(x, y) for a, x, b, y in group}
+        out |= {f"{a}_rest_{b}": smallest_rest(x, y) for a, x, b, y in group}
+    out |= {f"{k}_children_less_items": F.abs(c(f"k_{k}_children") - c(f"k_{k}_items")) for k in ("anchor", "text", "anchor_text")}
+    for k in (*SPREADS, "i_chars", "i_anchor_chars"):
+        out |= {f"{k}_{stat}": fixed_point(c(f"{k}_{stat}")) for stat in ("skew", "stddev", "mean")}
+    return out
+
+
+@lru_cache(maxsize=1)
+def feature_names() -> list[str]:
+    """Names of the 156 features, in order: what the rank operators compare. Needs a running session."""
+    return list(_features())
+
+
+def candidate_features(nodes: DataFrame, match_result: NodeMatch | None = None, match_parent: NodeMatch | None = None) -> DataFrame:
+    """page_id, node_id, end_id, features: an int vector for every non-empty content node with a non-empty child."""
+    kinds = nodes if "is_item" in nodes.columns else typed(nodes, match_result, match_parent)
+    kinds = staged(kinds.withColumn("full", ~dom.is_empty_node()), "typed")
+    profile = staged(subtree_profile(kinds), "profile")
+    kids = kinds.where("full and parent_id >= 0").join(profile, ["page_id", "node_id"]).withColumn("levels", F.col("deepest") - F.col("depth"))
+    flags = {"block": dom.is_tag("block"), "decoration": dom.is_tag("decoration"), "formatting": dom.is_tag("formatting")}
+    kids = kids.withColumns({"k_items": F.col("is_item"), "k_content": F.col("is_content"), "k_blocks": flags["block"], "k_decoration": flags["decoration"], "k_formatting": flags["formatting"]})
+    length = F.when(F.col("tag") == "#text", collapsed_length(F.col("text"))).otherwise(F.col("html_len"))
+    kids = kids.withColumn("html_len", length)
+    linked, worded, item = F.col("anchors") > 0, F.col("fields") > 0, F.col("is_item")
+    count = lambda test: F.sum(test.cast("int")).cast("int")
+    spread = lambda name, value: [F.avg(value).alias(f"{name}_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias(f"{name}_stddev"), skewness(value).alias(f"{name}_skew")]
+    stats = [x for k in SPREADS for x in spread(k, F.col(k))]
+    stats += spread("i_chars", F.when(item, F.col("chars"))) + spread("i_anchor_chars", F.when(item, F.col("anchor_chars")))
+    by = kids.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(
+        F.count("*").cast("int").alias("n"),
+        *[count(F.col(f"k_{k}")).alias(f"k_{k}") for k in KINDS[1:]],
+        *[count(t).alias(f"k_{k}_children") for k, t in {"anchor": linked, "text": worded, "anchor_text": linked & worded}.items()],
+        *[count(t & item).alias(f"k_{k}_items") for k, t in {"anchor": linked, "text": worded, "anchor_text": linked & worded}.items()],
+        F.coalesce(F.sum(F.when(item, F.col("chars"))), F.lit(0)).cast("int").alias("item_chars"),
+        F.coalesce(F.sum(F.when(item, F.col("anchor_chars"))), F.lit(0)).cast("int").alias("item_anchor_chars"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("union_tags"),
+        F.min(F.size("tags")).alias("fewest_tags"),
+        F.avg(F.size("tags")).alias("mean_tags"),
+        (F.countDistinct("tags") == 1).alias("same_tags"),
+        (F.countDistinct("tag") == 1).alias("same_tag"),
+        F.countDistinct("ordered").cast("int").alias("sequences"),
+        *stats,
+    )
+    by = by.withColumns({"most_missing": F.col("union_tags") - F.col("fewest_tags"), "mean_missing": F.col("union_tags") - F.col("mean_tags")})
+    beside = kinds.where("full").groupBy("page_id", F.col("parent_id").alias("up")).agg(F.count("*").cast("int").alias("siblings"))
+    # What lies below is the subtree less its root, which is no text.
+    own = {"nodes": F.lit(1), "images": (F.col("tag") == "img").cast("int"), "anchors": (F.col("tag") == "a").cast("int"), "href_chars": F.when(F.col("tag") == "a", F.length(F.coalesce(dom.attr("href"), F.lit("")))).otherwise(0)}
+    own |= {k: t.cast("int") for k, t in {"blocks": flags["block"], "content": F.col("is_content"), "items": F.col("is_item"), "formatting": flags["formatting"], "decoration": flags["decoration"]}.items()}
+    below = {f"t_{k}": (F.col(k) - own.get(k, F.lit(0))).cast("int") for k in SUMS}
+    below |= {"t_longest": F.col("longest"), "t_levels": F.greatest(F.col("deepest") - F.col("depth") - 1, F.lit(0))}
+    # Inside an anchor that holds the candidate nothing counts as linked; a candidate that is an anchor itself doesn't either.
+    cands = kinds.where("full and is_content").withColumn("up", F.col("parent_id")).join(profile, ["page_id", "node_id"]).join(by, ["page_id", "node_id"]).join(beside, ["page_id", "up"])
+    return cands.withColumns(below).select("page_id", "node_id", "end_id", F.array(*[v.cast("int") for v in _features().values()]).alias("features"))
 
 
 #: Our own weights by voter (-1 is better: a positive weight favours small values); unlisted features weigh 0.
 VOTERS = [
-    {"n_anchors": -8, "n_children": -10, "same_tag": -12, "anchors_per_child": -4, "anchors_stddev": 6, "n_formatting": 1},
-    {"n_children": -8, "same_tag": -10, "fields_per_child": -3, "chars_stddev": 4, "n_anchors": -9},
-    {"n_items": -7, "same_tag": -9, "anchors_mean": -6, "chars_skew": 2, "depth": -2, "n_anchors": -6},
-    {"n_anchors": -12, "same_tag": -8, "anchors_skew": 3, "n_children": -6, "n_images": 1},
+    {"anchors": -8, "children": -10, "same_tag": 12, "anchors_stddev": 6, "formatting": 1},
+    {"children": -8, "same_tag": 10, "fields": -3, "chars_stddev": 4, "anchors": -9},
+    {"items": -7, "same_tag": 9, "anchors_mean": -6, "chars_skew": 2, "levels": -2, "anchors": -6},
+    {"anchors": -12, "same_tag": 8, "anchors_skew": 3, "children": -6, "images": 1},
 ]
 
 
-def voter_weights(voter: dict[str, int]) -> Column:
-    return F.array(*[F.lit(float(voter.get(k, 0))) for k in FEATURES])
+def voter_weights(voter: dict[str, int] | Sequence[float]) -> list[float]:
+    """Weights of all features, from a few by name or a whole list."""
+    return [float(voter.get(k, 0)) for k in feature_names()] if isinstance(voter, dict) else [float(w) for w in voter]

@@ -10,26 +10,25 @@ from pyspark.sql import functions as F
 from tessera.functions import dom
 from tessera.functions.text import is_blank, strip
 from tessera.functions.urls import absolute
+from tessera.operators.dates import dates  # noqa: F401  (part of this module's surface)
+from tessera.operators.nodes import whole_text
 
 #: The patterns of contacts, dates, pager labels and search boxes.
 EMAIL = r"[^&\"':><\s@]+@[^&\"':><\s@.]+\.[^&\"':><\s@]*[^&\"':><\s@.]"
 PHONE = r"[-+().0-9\s]{8,20}[0-9]"
-DATE = r"[0-9][-\s0-9/,:]+[0-9]"
 NEXT = r"(?iU)\b(?:next|older|下一页|التالية|suivant|weiter|अगला|avanti|次|следующая|siguiente)\b"
-NEXT_ALT = (
-    r"(?iU)\b(?:more\s(?:stories|news|results|search\sresults)|show\smore$|earlier|previous\sposts?|previous|older\sposts?"
-    r"|(?:show\s)?next\s(?:\d+\s)?result\(?s?\)?)"
-)
+#: Our own list of looser labels, in several languages.
+MORE = r"(?i)^\W*(?:(?:show|load|see|view) )?(?:more|older|earlier|further)\b|^\W*previous (?:posts?|page)\b|\b(?:mehr|plus|más|mais|altri|ещё|もっと見る|更多)\W*$"
+PAGER_TEXT = 30
 PAGER_TAGS = "a input button div li span footer".split()
 PERMALINK = r"(?i)^(?:permanent\slink\sto\s|permalink\sto\s)"
-SEARCH_FIRST, SEARCH_LATER, SEARCH_NEVER = r"(?i)\bsearch|query|\bq\b|keyword", r"(?i)find|text|term", r"(?i)email|password|user|login|zip|phone"
+SEARCH = r"(?iU)search|find|query|keyword|locate|google|results|(?:[-._\"/#\s]|^|\b)q(?:[-._\"/#\s]|$|\b)|搜索|بحث|Recherche|Chercher|Suche|खोज|Cerca|検索|Поиск|Buscar"
+SEARCH_NEVER = r"(?iU)username|e-?mail|user|log\s?in|uname|city|state|zip|location"
 
 
 def subtree_text(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """page_id, node_id, text: the joined text below each node of ``of`` (page_id, node_id, end_id)."""
-    words = nodes.where("tag = '#text'").select("page_id", F.col("node_id").alias("t"), "text")
-    met = of.select("page_id", "node_id", "end_id").join(words, "page_id").where("t > node_id and t <= end_id")
-    return met.groupBy("page_id", "node_id").agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "text"))), lambda x: x["text"]), " ")).alias("text"))
+    """page_id, node_id, text: the joined text below each node of ``of`` (page_id, node_id)."""
+    return whole_text(nodes, of)
 
 
 def links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -61,33 +60,20 @@ def contacts(docs: DataFrame, key: str, text: str, names: Sequence[str] = ()) ->
     return docs.select(key, name.alias("name"), email_of(F.col(text)).alias("email"), phone_of(F.col(text)).alias("phone"))
 
 
-def dates(df: DataFrame, by: Sequence[str], text: str) -> DataFrame:
-    """df with date (yyyy-MM-dd): ISO as it is; a slashed date is day first only if all of its group can be."""
-    token = F.regexp_replace(F.regexp_extract(text, DATE, 0), r"[-.]", "/")
-    iso = F.regexp_extract(token, r"^([0-9]{4}/[0-9]{2}/[0-9]{2})", 1)
-    slashed = F.regexp_extract(token, r"^([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})", 1)
-    out = df.withColumn("iso", F.nullif(iso, F.lit(""))).withColumn("slashed", F.nullif(slashed, F.lit("")))
-    part = lambda i: F.try_element_at(F.split("slashed", "/"), F.lit(i)).cast("int")
-    can = F.col("slashed").isNull() | ((part(2) <= 12) & (part(1) <= 31))
-    first = F.min(can.cast("int")).over(Window.partitionBy(*by)) == 1
-    out = out.withColumn("day_first", first)
-    day, month = F.when(F.col("day_first"), part(1)).otherwise(part(2)), F.when(F.col("day_first"), part(2)).otherwise(part(1))
-    made = F.concat_ws("-", part(3).cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    date = F.coalesce(F.replace("iso", F.lit("/"), F.lit("-")), F.when(F.col("slashed").isNotNull(), made))
-    return out.withColumn("date", date).drop("iso", "slashed")
-
-
 def form_controls(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id, tag, id, name, type, value, label, options of inputs, buttons, text areas and selects in order."""
+    """page_id, node_id, tag, id, name, type, value, title, alt, role, multiple, label, options, option_labels, guid of inputs, buttons, text areas and selects."""
     controls = nodes.where(F.col("tag").isin("input", "button", "textarea", "select")).select(
-        "page_id", "node_id", "end_id", "tag", *[dom.attr(a).alias(a) for a in ("id", "name", "type", "value")]
+        "page_id", "node_id", "end_id", "tag", *[dom.attr(a).alias(a) for a in ("id", "name", "type", "value", "title", "alt", "role", "multiple")]
     )
     label = nodes.where("tag = 'label'").select("page_id", "node_id", "end_id", dom.attr("for").alias("id")).where("id is not null")
     text = label.join(subtree_text(nodes, label), ["page_id", "node_id"]).groupBy("page_id", "id").agg(F.min_by("text", "node_id").alias("label"))
-    choices = nodes.where("tag = 'option'").select("page_id", F.col("node_id").alias("o"), dom.attr("value").alias("v"))
-    options = controls.where("tag = 'select'").join(choices, "page_id").where("o > node_id and o <= end_id")
-    options = options.groupBy("page_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("options"))
-    return controls.join(text, ["page_id", "id"], "left").join(options, ["page_id", "node_id"], "left").select("page_id", "node_id", "tag", "id", "name", "type", "value", "label", "options")
+    choices = nodes.where("tag = 'option'").select("page_id", F.col("node_id").alias("o"), dom.attr("value").alias("v"), "path")
+    shown = whole_text(nodes, choices.select("page_id", F.col("o").alias("node_id"))).select("page_id", F.col("node_id").alias("o"), F.col("text").alias("t"))
+    options = choices.join(shown, ["page_id", "o"], "left").select("page_id", F.explode("path").alias("node_id"), F.struct("o", F.coalesce("v", "t").alias("v"), F.coalesce("t", F.lit("")).alias("t")).alias("c"))
+    options = options.join(controls.where("tag = 'select'").select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
+    lists = options.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list("c")).alias("c")).select("page_id", "node_id", F.transform("c", lambda x: x["v"]).alias("options"), F.transform("c", lambda x: x["t"]).alias("option_labels"))
+    out = controls.join(text, ["page_id", "id"], "left").join(lists, ["page_id", "node_id"], "left").withColumn("guid", F.sha2("name", 256))
+    return out.select("page_id", "node_id", "tag", "id", "name", "type", "value", "title", "alt", "role", "multiple", "label", "options", "option_labels", "guid")
 
 
 def named_controls(controls: DataFrame) -> DataFrame:
@@ -97,15 +83,45 @@ def named_controls(controls: DataFrame) -> DataFrame:
     return controls.withColumn("share", share).where((F.col("share") <= 0.75) | (named == 1)).drop("share")
 
 
-def search_box(controls: DataFrame) -> DataFrame:
-    """page_id, node_id of the likeliest search box of each page."""
+def search_box(controls: DataFrame, strict: bool = True) -> DataFrame:
+    """page_id, node_id of the likeliest search box of each page: first those whose names say search; strictly, none that says what isn't one."""
     words = F.concat_ws(" ", "id", "name", "label", "value")
-    rank = F.when(words.rlike(SEARCH_FIRST), 0).when(words.rlike(SEARCH_LATER), 1).otherwise(2)
-    able = controls.where((F.col("tag") == "input") & F.coalesce(F.col("type").isin("text", "search"), F.lit(True)) & ~words.rlike(SEARCH_NEVER))
-    turn = F.row_number().over(Window.partitionBy("page_id").orderBy(rank, "node_id"))
+    able = controls.where((F.col("tag") == "input") & F.coalesce(F.lower("type").isin("text", "search"), F.lit(True)))
+    if strict:
+        able = able.where(~words.rlike(SEARCH_NEVER))
+    turn = F.row_number().over(Window.partitionBy("page_id").orderBy(F.when(words.rlike(SEARCH), 0).otherwise(1), "node_id"))
     return able.withColumn("turn", turn).where("turn = 1").select("page_id", "node_id")
 
 
+def filled(controls: DataFrame, model: dict[str, list[str]]) -> DataFrame:
+    """controls with ``entered`` (values that a form model, guid to values, puts in) and ``changed``.
+
+    A select takes all values that are among its options, a text or search box the first one, a radio
+    button its own value if the model names it, a check box any. ``guid`` is sha256 of the control's name.
+    """
+    pairs = F.create_map(*[x for k, v in model.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))]) if model else F.create_map().cast("map<string,array<string>>")
+    wanted = F.coalesce(F.try_element_at(pairs, F.coalesce("guid", F.lit(""))), F.array().cast("array<string>"))
+    kind = F.lower(F.coalesce("type", F.lit("text")))
+    entered = (
+        F.when(F.col("tag") == "select", F.array_intersect(wanted, F.coalesce("options", F.array().cast("array<string>"))))
+        .when((F.col("tag") == "input") & kind.isin("text", "search"), F.slice(wanted, 1, 1))
+        .when((F.col("tag") == "input") & (kind == "radio"), F.when(F.lower(F.try_element_at(wanted, F.lit(1))) == F.lower("value"), F.array("value")))
+        .when((F.col("tag") == "input") & (kind == "checkbox"), F.when(F.size(wanted) > 0, F.array(F.coalesce("value", F.lit("on")))))
+    )
+    out = controls.withColumn("entered", F.coalesce(entered, F.array().cast("array<string>")))
+    held = F.when(F.col("value").isNotNull() & (F.col("value") != ""), F.array("value")).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("changed", (F.size("entered") > 0) & (F.col("entered") != held))
+
+
+def form_predicate(model: dict[str, list[str]]) -> Column:
+    """A form model over captured rows: each named column holds one of its values; an entry without values asks for nothing."""
+    out = F.lit(True)
+    for name, values in model.items():
+        if values:
+            out = out & F.coalesce(F.col(name).cast("string").isin(list(values)), F.lit(False))
+    return out
+
+
 def nearest_before(events: DataFrame, by: Sequence[str], order: str, is_anchor: Column, is_target: Column, value: str) -> DataFrame:
     """Targets with the value and place of the nearest earlier anchor of their group: an as-of join by one window."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -149,12 +165,21 @@ def next_by_label(nodes: DataFrame) -> DataFrame:
     text = controls.select("page_id", "node_id", "end_id", "tag", F.coalesce(dom.attr("title"), dom.attr("alt"), dom.attr("value"), F.lit("")).alias("hint"))
     text = text.join(subtree_text(nodes, controls), ["page_id", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     short = F.length("text") < 30
-    rank = F.when(short & F.col("text").rlike(NEXT), 0).when(F.col("hint").rlike(NEXT), 1).when(short & F.col("text").rlike(NEXT_ALT), 2).when(F.col("hint").rlike(NEXT_ALT), 3)
+    rank = F.when(short & F.col("text").rlike(NEXT), 0).when(F.col("hint").rlike(NEXT), 1).when(short & F.col("text").rlike(MORE), 2).when(F.col("hint").rlike(MORE), 3)
     tags = F.array_position(F.array(*map(F.lit, PAGER_TAGS)), F.col("tag"))
     turn = F.row_number().over(Window.partitionBy("page_id").orderBy("rank", tags, "node_id"))
     return text.withColumn("rank", rank).where("rank is not null").withColumn("turn", turn).where("turn = 1").select("page_id", "node_id", "rank")
 
 
+def is_removable(text: Column, reference: Column | None = None) -> Column:
+    """Whether a pager's text is so short, and so near a reference pager's, that its node can go from the records."""
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")
+    short = F.length(bare(text)) < PAGER_TEXT
+    if reference is None:
+        return short & F.lit(True)
+    return short & (F.levenshtein(bare(text), bare(reference)) < F.floor(F.length(bare(reference)) / 2))
+
+
 def next_page(nodes: DataFrame, page_no: int) -> DataFrame:
     """page_id, node_id: by number, else by label."""
     number = next_by_number(nodes, page_no)

@@ -1,20 +1,26 @@
-"""A written stage: cuts a long plan, and survives lost executors."""
+"""Written stages in the shared folder: they cut long plans and survive lost executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names; a default where that is unset."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that spark.checkpoint.dir names; a folder of this machine only where Spark runs on it alone."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        staged.own = getattr(staged, "own", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-        folder = staged.own
-    path = f"{folder.rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        scratch_path.own = getattr(scratch_path, "own", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+        folder = scratch_path.own
+    return f"{folder.rstrip('/')}/stages/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,24 +1,28 @@
-"""A declarative extraction query and the lazy plan it makes."""
+"""A declarative extraction query and the plan it makes: written stages, all keyed by page."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import dom
 from tessera.functions.dom import NodeMatch
-from tessera.functions.text import has_stem
-from tessera.functions.urls import UrlRule, is_valid, passes, rewrite
-from tessera.operators import clean, features, fields, paging, rank, score
+from tessera.functions.text import is_blank
+from tessera.functions.urls import UrlRule, absolute, is_valid, passes, rewrite
+from tessera.operators import clean, extract, features, fields, nodes as N, paging, rank, score, segment
 from tessera.operators.staged import staged
 from tessera.sources.html import parse_pages
 
 
 @dataclass(frozen=True)
 class ExtractQuery:
-    """What to extract: keywords, record and container examples, URL filters and rewrites, limits, a nested query."""
+    """What to extract: keywords, record and container examples, URL filters and rewrites, limits, a nested query.
+
+    ``proactive`` takes links that no filter passes out of the pages before extraction;
+    ``require_anchor`` wants a link in every record; without ``extract`` pages are returned as they are.
+    """
 
     keywords: str = ""
     match_result: NodeMatch | None = None
@@ -29,77 +33,134 @@ class ExtractQuery:
     pages: int = 0
     results: int = 0
     nested: ExtractQuery | None = None
-    voters: tuple[dict, ...] = field(default_factory=lambda: tuple(features.VOTERS))
+    proactive: bool = False
+    require_anchor: bool = True
+    extract: bool = True
+    voters: tuple = field(default_factory=lambda: tuple(features.VOTERS))
 
 
-def containers(nodes: DataFrame, query: ExtractQuery | None = None) -> DataFrame:
-    """page_id, node_id, end_id of each page's elected container: one tournament for each voter, then a majority."""
-    query = query or ExtractQuery()
-    cands = features.candidate_features(nodes.where(~dom.is_hidden()))
-    voters = F.array(*[F.struct(F.lit(k).alias("voter"), features.voter_weights(v).alias("weights")) for k, v in enumerate(query.voters)])
-    # One row for each candidate and voter: a single tournament within page and voter.
-    rows = cands.select("page_id", "node_id", "features", F.explode(voters).alias("v")).select("page_id", "v.voter", "node_id", "features", "v.weights")
-    rows = staged(rows, "candidates")
-    votes = rank.tournament(rows, ["page_id", "voter"], "node_id", rank.net(F.col("features"), F.col("o_features"), F.col("weights")) == -1)
-    elected = rank.majority(votes, ["page_id"], "node_id", len(query.voters))
-    one = rank.best_of(elected, ["page_id"], "votes", "node_id").select("page_id", "node_id")
-    return one.join(nodes.select("page_id", "node_id", "end_id"), ["page_id", "node_id"])
+#: How strictly links become records, in turn: titles of images count; only texts; URLs of any attribute.
+LENIENCY = ({"lenient_title": True, "lenient_url": False}, {"lenient_title": False, "lenient_url": False}, {"lenient_title": False, "lenient_url": True})
+COLUMNS = ["page_id", "cand", "pos", "src", "url", "title", "summary", "date"]
 
 
-def segments(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """page_id, container, node_id, end_id, pos: the item nodes of a container, or its children, that hold a link.
+def prepared_nodes(pages: DataFrame, query: ExtractQuery) -> DataFrame:
+    """Typed nodes of pages, without hidden subtrees and, if asked for, without links that no filter passes."""
+    found = N.drop_hidden(staged(parse_pages(pages), "parsed"))
+    if query.proactive:
+        columns = found.columns
+        marked = staged(N.mark_filtered(found, pages, query.whitelist, query.patterns, lambda u: rewrite(u, list(query.rules))), "marked")
+        found = N.without(marked.select(*columns, "filtered", "filtered_lenient"), F.col("filtered"))
+    return staged(features.typed(found, query.match_result, query.match_parent), "nodes")
 
-    Of nested items the outermost below the container counts; records are numbered in document order.
-    """
-    holder = chosen.select("page_id", F.col("node_id").alias("container"), F.col("end_id").alias("container_end"))
-    kids = nodes.select("page_id", "node_id", "end_id", "tag", F.col("parent_id").alias("container")).join(holder, ["page_id", "container"])
-    items = kids.where("substr(tag, 1, 1) <> '#'")
-    anchors = nodes.where("tag = 'a'").select("page_id", F.col("node_id").alias("a"))
-    held = items.join(anchors, "page_id").where("a between node_id and end_id").select("page_id", "container", "node_id", "end_id").distinct()
-    pos = F.row_number().over(Window.partitionBy("page_id", "container").orderBy("node_id"))
-    return held.withColumn("pos", pos)
-
-
-def records(nodes: DataFrame, pages: DataFrame, parts: DataFrame) -> DataFrame:
-    """page_id, pos, url, title, summary, date, size of each segment: its longest-titled link, the other text, a date in it."""
-    found = fields.links(nodes, pages).select("page_id", F.col("node_id").alias("a"), "url", "title")
-    met = parts.join(found, "page_id").where("a between node_id and end_id")
-    best = met.groupBy("page_id", "container", "node_id", "end_id", "pos").agg(F.max(F.struct(F.length("title").alias("n"), (-F.col("a")).alias("turn"), "url", "title")).alias("b"))
-    text = fields.subtree_text(nodes, parts).withColumnRenamed("text", "all_text")
-    out = best.join(text, ["page_id", "node_id"], "left").select("page_id", "container", "pos", "node_id", F.col("b.url").alias("url"), F.col("b.title").alias("title"), F.coalesce("all_text", F.lit("")).alias("all_text"))
-    summary = F.trim(F.replace("all_text", F.col("title"), F.lit("")))
-    out = out.withColumn("summary", F.when(F.length("title") > 0, summary).otherwise(F.col("all_text"))).withColumn("size", F.length("all_text"))
-    return fields.dates(out, ["page_id", "container"], "summary").drop("all_text", "day_first")
+
+def candidates(kinds: DataFrame, query: ExtractQuery | None = None) -> DataFrame:
+    """page_id, cand, cand_depth, cand_pos of each page's elected containers, at most eight or as many as tie."""
+    query = query or ExtractQuery()
+    won = rank.elected(features.candidate_features(kinds), [features.voter_weights(v) for v in query.voters])
+    return won.join(kinds.select("page_id", "node_id", "depth"), ["page_id", "node_id"]).select("page_id", F.col("node_id").alias("cand"), F.col("depth").alias("cand_depth"), F.col("turn").alias("cand_pos"))
+
+
+def containers(nodes: DataFrame, query: ExtractQuery | None = None) -> DataFrame:
+    """page_id, node_id of each page's first elected container."""
+    query = query or ExtractQuery()
+    kinds = nodes if "is_item" in nodes.columns else features.typed(nodes, query.match_result, query.match_parent)
+    return candidates(kinds, query).where("cand_pos = 0").select("page_id", F.col("cand").alias("node_id"))
+
+
+def pager_nodes(kinds: DataFrame, page_no: int = 1) -> DataFrame:
+    """page_id, node_id, end_id of each page's control for the next page, or of what holds it where that says little else."""
+    control = fields.next_page(kinds, page_no).join(kinds.select("page_id", "node_id", "end_id", "parent_id"), ["page_id", "node_id"])
+    holder = kinds.select("page_id", F.col("node_id").alias("parent_id"), F.col("end_id").alias("holder_end"))
+    text = N.whole_text(kinds, control.select("page_id", F.col("parent_id").alias("node_id"))).withColumnRenamed("node_id", "parent_id")
+    met = control.join(holder, ["page_id", "parent_id"], "left").join(text, ["page_id", "parent_id"], "left")
+    wide = fields.is_removable(F.col("text")) & F.col("holder_end").isNotNull()
+    return met.select("page_id", F.when(wide, F.col("parent_id")).otherwise(F.col("node_id")).alias("node_id"), F.when(wide, F.col("holder_end")).otherwise(F.col("end_id")).alias("end_id"))
+
+
+def extracted(kinds: DataFrame, ready: DataFrame, tops: DataFrame, query: ExtractQuery, lenient_title: bool, lenient_url: bool) -> tuple[DataFrame, DataFrame]:
+    """(records, parts) of candidates: records by page_id, cand, pos with src (pos as it was) and size."""
+    parts = segment.segments(ready, tops.select("page_id", "cand", "cand_depth"), lenient_url, query.require_anchor)
+    told = extract.records_of(extract.events(kinds, parts, lenient_title, lenient_url))
+    sizes = parts.groupBy("page_id", "cand", "pos").agg(F.sum("size").alias("size"))
+    dated = extract.group_dates(told, ["page_id", "cand"])
+    empty = is_blank(F.col("title")) & is_blank(F.col("summary"))
+    if query.require_anchor:
+        empty = empty | is_blank(F.col("url"))
+    rows = dated.where(~empty).join(sizes, ["page_id", "cand", "pos"])
+    # Of the group's records those of an outlying size go first, before any average.
+    return staged(clean.drop_outliers(rows, ["page_id", "cand"]).withColumn("src", F.col("pos")), "records"), parts
+
+
+def chosen(rows: DataFrame, parts: DataFrame, pager: DataFrame, tops: DataFrame, query: ExtractQuery) -> DataFrame:
+    """COLUMNS, naive: each page's best-scored candidate, cleaned, or as it was where that scores over 1.05 times as much."""
+    by = ["page_id", "cand"]
+    base = staged(clean.untrimmed(rows, by), "untrimmed")
+    cut = staged(clean.trimmed(base, by), "trimmed")
+    both = base.select(*COLUMNS, F.lit(False).alias("trim")).unionByName(cut.select(*COLUMNS, F.lit(True).alias("trim")))
+    on = N.overlapping(parts, pager).select("page_id", "cand", F.col("pos").alias("src")).distinct()
+    both = staged(both.join(on, ["page_id", "cand", "src"], "left_anti").join(tops.select("page_id", "cand", "cand_pos"), by), "both")
+    scores = score.field_scores(both, ["page_id", "cand", "trim"], query.keywords, (F.col("cand_pos") == 0) & F.col("trim"))
+    scores = staged(scores.join(tops.select("page_id", "cand", "cand_pos"), by), "scores")
+    best = rank.best_of(scores, ["page_id", "trim"], "score", "cand_pos")
+    side = score.trimmed_or_not(best, ["page_id"])
+    kept = best.join(side, ["page_id", "trim"]).select("page_id", "cand", "trim", "naive")
+    return both.join(kept, ["page_id", "cand", "trim"]).select(*COLUMNS, "naive")
 
 
 def best_records(pages: DataFrame, query: ExtractQuery | None = None) -> DataFrame:
-    """page_id, pos, url, title, summary, date, naive: the records that a query keeps of pages (page_id, url, html)."""
+    """page_id, pos, url, title, summary, date, naive: the records that a query keeps of pages (page_id, url, html).
+
+    Pages may have ``search`` (what they are results of) and ``page_no``: limits then hold for each
+    search, and a search ends where a page repeats the one before. Without these each page is a search.
+    """
     query = query or ExtractQuery()
-    # Stages are written, so that each page is parsed once and the plans stay short.
-    nodes = staged(parse_pages(pages), "nodes")
-    parts = staged(segments(nodes, containers(nodes, query)), "segments")
-    raw = staged(records(nodes, pages, parts), "records")
-    by = ["page_id"]
-    trimmed = clean.clean(clean.drop_outliers(raw, by), by)
-    columns = ["page_id", "pos", "url", "title", "summary", "date"]
-    trimmed = staged(trimmed, "trimmed")
-    both = raw.select(*columns, F.lit(False).alias("trim")).unionByName(trimmed.select(*columns, F.lit(True).alias("trim")))
-    scores = score.field_scores(both, ["page_id", "trim"])
-    kept = both.join(score.trimmed_or_not(scores, by), ["page_id", "trim"]).join(scores.select("page_id", "trim", "naive"), ["page_id", "trim"])
-    out = kept.withColumn("url", rewrite(F.col("url"), list(query.rules))).where(passes(F.col("url"), query.whitelist, query.patterns))
-    if query.keywords:
-        out = out.where(has_stem(F.lit(query.keywords), F.concat_ws(" ", "title", "summary")))
-    out = out.withColumn("url", rewrite(F.col("url"), list(query.rules), export=True)).drop("trim")
+    if not query.extract:
+        return raw_pages(pages)
+    paged = pages if "page_no" in pages.columns else pages.withColumn("page_no", F.lit(1))
+    paged = paged if "search" in pages.columns else paged.withColumn("search", F.col("page_id"))
+    if query.pages > 0:
+        paged = paged.where(F.col("page_no") <= query.pages)
+    kinds = prepared_nodes(paged.select("page_id", "url", "html"), query)
+    tops = staged(candidates(kinds, query), "tops")
+    ready, pager = staged(segment.prepared(kinds), "ready"), staged(pager_nodes(kinds), "pager")
+    found, rest = None, tops
+    for leniency in LENIENCY:
+        rows, parts = extracted(kinds, ready, rest, query, **leniency)
+        got = staged(chosen(rows, parts, pager, rest, query), "chosen")
+        found = got if found is None else found.unionByName(got)
+        rest = staged(rest.join(got.select("page_id").distinct(), "page_id", "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+    about = paged.select("page_id", "search", "page_no", F.col("url").alias("base"))
+    out = found.join(about, "page_id").withColumn("url", absolute(F.col("url"), F.col("base")))
+    out = out.withColumn("url", rewrite(F.col("url"), list(query.rules))).where(passes(F.col("url"), query.whitelist, query.patterns))
+    if "page_no" in pages.columns:
+        out = paging.stop_at_repeat(out.withColumn("row", F.col("pos")), ["search"])
     if query.results > 0:
-        out = paging.limit_results(out.withColumn("page_no", F.lit(1)), by, results=query.results).drop("page_no")
+        out = paging.limit_results(out, ["search"], results=query.results)
+    out = out.withColumn("url", rewrite(F.col("url"), list(query.rules), export=True))
+    out = out.select("page_id", "pos", "url", "title", "summary", "date", "naive")
     if query.nested is not None:
         inner_pages = pages.join(out.where(is_valid(F.col("url"))).select("url").distinct(), "url", "left_semi")
-        inner = best_records(inner_pages, query.nested)
-        some = inner.select(F.lit(1).alias("one")).limit(1)
-        out = out.join(some, F.lit(True), "left_anti").unionByName(inner)
+        out = paging.replaced(out, best_records(inner_pages, query.nested))
     return out
 
 
+def raw_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, page_html: pages without extraction, without the marks of a capture."""
+    marks = "|".join([dom.NODE_MARK, dom.HIDDEN_MARK, *dom.FILTER_MARKS])
+    return pages.select("page_id", "url", F.regexp_replace("html", marks, "").alias("page_html"))
+
+
+def keyword_pages(pages: DataFrame, keywords: str) -> DataFrame:
+    """Captured pages whose text shares a stem with the keywords: what a search for them would give."""
+    from tessera.functions.text import has_stem
+
+    text = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    return pages.where(has_stem(F.lit(keywords), text))
+
+
 def named(column: str, match: NodeMatch) -> Column:
     """A node predicate as a named column."""
     return match.column().alias(column)

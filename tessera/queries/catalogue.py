@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from tessera.plans.query import best_records
-from tessera.queries import records, text
+from tessera.queries import nodes, records, text
 
-QUERIES = {**text.QUERIES, **records.QUERIES}
-ORACLES: dict[str, str] = {**text.ORACLES, **records.ORACLES}
+QUERIES = {**text.QUERIES, **nodes.QUERIES, **records.QUERIES}
+ORACLES: dict[str, str] = {**text.ORACLES, **nodes.ORACLES, **records.ORACLES}
 
 
 def FLAGSHIP(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dom
 from tessera.operators import clean, features, fields, paging, rank, score
-from tessera.operators.staged import staged
+from tessera.operators.staged import scratch_path, staged
 from tessera.plans.query import best_records, containers
 from tessera.sources.html import parse_pages
 
@@ -58,9 +58,13 @@ def _(s, d):
     return nodes.groupBy("page_id").agg(*[F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in ("p", "li", "a", "br")])
 
 
-@query("tag_classes", None)
+_TAGS = "tags AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >/]', 1)) AS tag FROM pages)"
+_IS = {k: "tag IN (" + ", ".join(f"'{t}'" for t in v) + ")" for k, v in dom.CLASSES.items()}
+
+
+@query("tag_classes", f"WITH {_TAGS} SELECT page_id, {', '.join(f'count(*) FILTER ({v}) AS {k}' for k, v in _IS.items())} FROM tags GROUP BY page_id")
 def _(s, d):
-    nodes = parse_pages(_read(s, d, "pages"))
+    nodes = parse_pages(_read(s, d, "pages")).where("substr(tag, 1, 1) <> '#'")
     return nodes.groupBy("page_id").agg(*[F.count_if(dom.is_tag(k)).alias(k) for k in dom.CLASSES])
 
 
@@ -98,12 +102,12 @@ def _(s, d):
 @query("best_records", f"""WITH {_LINKS}, u AS (
   SELECT page_id, regexp_extract(url, '^(https?://[^/?#&]*)', 1) || href AS url, title, pos FROM links
 ), k AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos DESC) AS turn, min(pos) OVER (PARTITION BY page_id, url) AS first FROM u)
-SELECT page_id, url, replace(title, '&amp;', '&') AS title FROM k WHERE turn = 1""")
+SELECT page_id, first AS pos, url, replace(title, '&amp;', '&') AS title FROM k WHERE turn = 1""")
 def _(s, d):
-    return best_records(_read(s, d, "pages")).select("page_id", "url", "title").distinct()
+    return best_records(_read(s, d, "pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "url", "title")
 
 
-@query("fixed_point", "SELECT p_partkey, CAST(trunc(p_retailprice / p_size * 1000) AS INT) AS r, CASE WHEN p_size % 5 = 0 THEN 1 ELSE -1 END AS five, least(p_size % 10, 10 - p_size % 10) AS ten FROM part")
+@query("fixed_point", "SELECT p_partkey, CAST(trunc(p_retailprice / p_size * 1000) AS INT) AS r, CASE WHEN p_size <> 0 AND p_size % 5 = 0 THEN -1 ELSE 1 END AS five, least(abs(p_size - greatest(p_size // 10, 1) * 10), (p_size // 10 + 1) * 10 - p_size) AS ten FROM part")
 def _(s, d):
     p = _read(s, d, "part")
     return p.select("p_partkey", features.ratio(F.col("p_retailprice"), F.col("p_size")).alias("r"), features.divides(F.col("p_size"), 5).alias("five"), features.distance_to_multiple(F.col("p_size"), 10).alias("ten"))
@@ -166,8 +170,8 @@ def _(s, d):
 _RECORDS = """r AS (
   SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos, doc_id,
     CASE WHEN doc_id % 9 = 0 THEN '/r' || doc_id % 40 ELSE 'http://h.example/' || doc_id % 40 END AS url,
-    CASE WHEN doc_id % 5 = 0 THEN lang ELSE substr(text, 1, 10 + doc_id % 25) END AS title,
-    CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'Read more: ' || substr(text, 1, doc_id % 120) || ' of ' || lang END AS summary, CAST(NULL AS VARCHAR) AS date
+    CASE WHEN doc_id % 5 = 0 THEN lang ELSE split_part(text, '. ', 1) END AS title,
+    CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'Read more: ' || text || ' of ' || lang END AS summary, CAST(NULL AS VARCHAR) AS date
   FROM documents
 )"""
 
@@ -180,8 +184,8 @@ def _records(s, d):
         pos.cast("long").alias("pos"),
         "doc_id",
         F.expr("case when doc_id % 9 = 0 then concat('/r', doc_id % 40) else concat('http://h.example/', doc_id % 40) end").alias("url"),
-        F.expr("case when doc_id % 5 = 0 then lang else substr(text, 1, cast(10 + doc_id % 25 as int)) end").alias("title"),
-        F.expr("case when doc_id % 11 = 0 then '' else concat('Read more: ', substr(text, 1, cast(doc_id % 120 as int)), ' of ', lang) end").alias("summary"),
+        F.expr("case when doc_id % 5 = 0 then lang else split_part(text, '. ', 1) end").alias("title"),
+        F.expr("case when doc_id % 11 = 0 then '' else concat('Read more: ', text, ' of ', lang) end").alias("summary"),
         F.lit(None).cast("string").alias("date"),
     )
 
@@ -284,7 +288,8 @@ def _(s, d):
 
 @query("field_scores", None)
 def _(s, d):
-    return score.field_scores(_records(s, d), ["g"])
+    parts = _read(s, d, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("pos"), F.lit("http://h.example/x").alias("url"), F.col("p_name").alias("title"), F.col("p_type").alias("summary"), F.lit(None).cast("string").alias("date"))
+    return score.field_scores(parts, ["g"], "small")
 
 
 @query("dates_by_group", """WITH o AS (SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS t FROM orders)
@@ -301,11 +306,11 @@ def _(s, d):
     return out.select("user_id", "event_id", F.col("anchor_at").alias("anchor")).where("anchor is not null")
 
 
-_TURNS = "t AS (SELECT conv_id AS g, turn AS page_no, 1 AS pos, role AS url, substr(text, 1, 5) AS title, CAST(NULL AS VARCHAR) AS summary FROM conversations)"
+_TURNS = "t AS (SELECT conv_id AS g, turn AS page_no, 1 AS pos, role AS url, text AS title, CAST(NULL AS VARCHAR) AS summary FROM conversations)"
 
 
 def _turns(s, d):
-    return _read(s, d, "conversations").selectExpr("conv_id as g", "turn as page_no", "1 as pos", "role as url", "substr(text, 1, 5) as title", "cast(null as string) as summary")
+    return _read(s, d, "conversations").selectExpr("conv_id as g", "turn as page_no", "1 as pos", "role as url", "text as title", "cast(null as string) as summary")
 
 
 @query("page_limit", f"WITH {_TURNS} SELECT g, page_no FROM t WHERE page_no <= 2 QUALIFY row_number() OVER (PARTITION BY g ORDER BY page_no, pos) <= 2")
@@ -339,15 +344,17 @@ def _(s, d):
 
 @query("collapse_expand", "SELECT doc_id, text FROM documents")
 def _(s, d):
-    docs = staged(_read(s, d, "documents").withColumn("key", F.concat(F.sha2(F.concat_ws("\u0001", "doc_id", "text"), 256), F.lit("@local"))), "collapsed")
-    return docs.select("key").join(docs, "key").select("doc_id", "text")
+    path = scratch_path(s, "collapsed")
+    return paging.expand(paging.collapse(_read(s, d, "documents"), path), path).select("doc_id", "text")
 
 
-@query("form_controls", None)
+@query("form_controls", """SELECT page_id, c.tag, c.name, c.type, c.label, CASE WHEN c.tag = 'select' THEN CAST(page_id AS VARCHAR) END AS first_option FROM pages,
+  (VALUES ('input', 'user', 'text', 'User'), ('input', 'pw', 'password', NULL), ('select', 's', NULL, NULL), ('button', NULL, NULL, NULL)) AS c(tag, name, type, label)""")
 def _(s, d):
     html = "concat('<form><label for=\"u\">User</label><input id=\"u\" name=\"user\" type=\"text\"><input name=\"pw\" type=\"password\"><select name=\"s\"><option value=\"', page_id, '\">x</option></select><button>Go</button></form>')"
-    nodes = parse_pages(_read(s, d, "pages").selectExpr("page_id", f"{html} as html"))
-    return fields.named_controls(fields.form_controls(nodes))
+    nodes = staged(parse_pages(_read(s, d, "pages").selectExpr("page_id", f"{html} as html")), "nodes")
+    found = fields.named_controls(fields.form_controls(nodes))
+    return found.select("page_id", "tag", "name", "type", "label", F.try_element_at("options", F.lit(1)).alias("first_option"))
 
 
 @query("next_page_control", "SELECT page_id, page_id % 2 = 0 AS by_number FROM pages")

@@ -185,9 +185,9 @@ def _(s, d):
     return a.join(b, "r").where("ka < kb").select("a", "b", F.levenshtein("a", "b").cast("long").alias("d"))
 
 
-@query("sort_numeric_desc", "SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) IS NOT NULL AS has FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+@query("sort_numeric_desc", "SELECT o_orderkey, o_totalprice AS price FROM orders ORDER BY price DESC, o_orderkey")
 def _(s, d):
-    return _orders(s, d).orderBy(F.col("o_totalprice").cast("string").cast("double").desc(), "o_orderkey").limit(100).select("o_orderkey", F.lit(True).alias("has"))
+    return _orders(s, d).select("o_orderkey", F.col("o_totalprice").cast("string").cast("double").alias("price")).orderBy(F.desc("price"), "o_orderkey")
 
 
 @query("contact_email", r"""SELECT doc_id, nullif(regexp_extract(text, '[^&"'':><\s@]+@[^&"'':><\s@.]+\.[^&"'':><\s@]*[^&"'':><\s@.]'), '') AS email FROM documents""")
