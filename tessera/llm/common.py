@@ -20,10 +20,12 @@ STEP_BYTES = 1 << 21
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables."""
+    """The shared folder for written tables; a folder of this machine only where Spark runs on it alone."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(scratch_dir, "own", None):
         scratch_dir.own = tempfile.mkdtemp(prefix="tessera-")
     return "file://" + scratch_dir.own

@@ -7,7 +7,9 @@ The method merges Burrows-Wheeler transforms. Spark deals the work so that a mer
    minimiser make a segment, and all copies of a window meet in the bucket of that minimiser.
    Minimisers that occur once cannot hold a repeat and go no further. A minimiser is dealt once
    from each step of a task, and equal segments are one row (the earliest place) from each, so a
-   passage that a third of the rows hold doesn't gather in one task.
+   passage that a third of the rows hold doesn't gather in one task. A minimiser with over ``HOT``
+   segments is split: its windows are dealt by where they hold the minimiser, in steps of ``PART``, and
+   by the hash of the bytes that all windows of such a step share, on which equal windows agree.
 2. **Merge.** In a bucket, runs of segments are shards. A shard's transform lists, for every round,
    the symbol before each of its sorted suffixes; a symbol is ``length / 5`` bytes. The merge
    refines an interleave (which shard does the next suffix come from): a round reads the next symbol
@@ -17,8 +19,8 @@ The method merges Burrows-Wheeler transforms. Spark deals the work so that a mer
    are the repeated intervals.
 3. **Remove.** In each interval the smallest (doc_id, start) stays; every other window is covered.
 
-A null or empty text has nothing to remove; rows with one doc_id count as one document each, and
-the smaller text comes first among them; an empty table gives no rows; extra columns are ignored.
+A null or empty text has nothing to remove. Rows with one doc_id count as one document each, and the
+smaller text comes first among them; a row without doc_id takes no part and keeps its text. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Prefixes, text_steps, utf8, written
+from tessera.llm.common import Prefixes, mix, text_steps, utf8, written
 
 LENGTH = 100
 GRAM = 24
@@ -39,6 +42,8 @@ GRAM = 24
 MERGE_WINDOWS = 1 << 16
 SHARDS = 4
 ROUNDS = 5
+HOT = 2048
+PART = 4
 
 
 # ---------------------------------------------------------------- 1. deal
@@ -173,6 +178,40 @@ def _cut(length: int):
     return run
 
 
+def _split(length: int, gram: int):
+    """Rows (h, same, row_id, place, seg, hot) to the same with orig (the place as dealt): a hot minimiser's windows under keys of their own."""
+
+    def parts(mark: int, row: int, place: int, seg: bytes) -> Iterator[tuple]:
+        raw = np.frombuffer(seg, np.uint8)
+        start, size = place >> 8, place & 255
+        sums = Prefixes(raw)
+        at = np.arange(len(raw) - gram + 1)
+        # The minimiser is the first place of its hash in the segment.
+        m = int(np.argmax(sums.hash(at, at + gram).view(np.int64) == mark))
+        for k in range((m - size + 1) // PART, m // PART + 1):
+            low, high = max(m - PART * k - PART + 1, 0), min(m - PART * k, size - 1)
+            a, b = np.array([m - PART * k, low]), np.array([m - PART * k - PART + 1 + length, high + length])
+            key, same = sums.hash(a, b).view(np.int64).tolist()
+            new = int(mix(np.array([(key ^ mark) & 0xFFFFFFFFFFFFFFFF], np.uint64) + np.uint64(k))[0].astype(np.int64))
+            yield new, same, row, (start + low) << 8 | (high - low + 1), raw[low : high + length].tobytes(), place
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "same", "row_id", "place", "seg", "orig"]
+        for batch in batches:
+            hot = batch.column(5).is_valid()
+            cool = batch.filter(pa.compute.invert(hot))
+            if cool.num_rows:
+                yield pa.RecordBatch.from_arrays([*cool.columns[:5], cool.column(3)], names)
+            for begin in range(0, batch.num_rows, 256):
+                some = batch.slice(begin, 256).filter(hot.slice(begin, 256))
+                out = [p for h, r, s, g in zip(*(some.column(i).to_pylist() for i in (0, 2, 3, 4))) for p in parts(h, r, s, g)]
+                if out:
+                    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return run
+
+
 # ---------------------------------------------------------------- 2. merge
 
 
@@ -263,6 +302,14 @@ def _flush(rows: pa.Table, length: int) -> pa.RecordBatch:
     order = np.lexsort((place, ids, same, marks))
     first = np.ones(len(order), bool)
     first[1:] = (same[order][1:] != same[order][:-1]) | (marks[order][1:] != marks[order][:-1])
+    # A part of a segment says that the segment isn't covered as a whole, and is covered itself if an equal one is earlier.
+    orig = rows.column("orig").to_numpy()
+    part = np.flatnonzero(orig != place)
+    told_ids, told = ids[part], orig[part]
+    twice = order[~first]
+    twice = twice[orig[twice] != place[twice]]
+    twice_ids, twice_begin = ids[twice], place[twice] >> 8
+    twice_end = twice_begin + (place[twice] & 255) + length - 1
     rows = rows.take(pa.array(np.sort(order[first])))
     ids, place = rows.column("row_id").to_numpy(), rows.column("place").to_numpy()
     raw, off = utf8(rows.column("seg"))
@@ -283,8 +330,16 @@ def _flush(rows: pa.Table, length: int) -> pa.RecordBatch:
     new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(hits))[: len(begin)] - 1
-    none = np.full(len(ids), -1)
-    columns = [np.concatenate(x) for x in ((ids, doc[begin]), (place, np.full(len(begin), -1)), (none, at[begin]), (none, at[last] + length))]
+    none = lambda x: np.full(len(x), -1)
+    columns = [
+        np.concatenate(x)
+        for x in (
+            (ids, told_ids, doc[begin], twice_ids),
+            (place, told, none(begin), none(twice)),
+            (none(ids), none(told), at[begin], twice_begin),
+            (none(ids), none(told), at[last] + length, twice_end),
+        )
+    ]
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["row_id", "place", "begin", "end"])
 
 
@@ -320,7 +375,7 @@ def _merge(length: int):
 
 
 def _strip(length: int, carry: list[str]):
-    """Rows (row_id, text, places, firsts, spans, carried) to the removal's figures and, if columns are carried, the kept text and these."""
+    """Rows (doc_id, text, places, firsts, spans, carried) to the removal's figures and, if columns are carried, the kept text and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in text_steps(batches):
@@ -344,7 +399,7 @@ def _strip(length: int, carry: list[str]):
                 figures.append((n, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
                 texts.append(kept.decode("utf-8", "ignore"))
             columns = [step.column(0), *map(pa.array, zip(*figures))]
-            names = ["row_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if carry:
                 columns += [pa.array(texts, pa.string()), *step.columns[5:]]
                 names += ["kept", *carry]
@@ -353,23 +408,34 @@ def _strip(length: int, carry: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
-    """Per row of docs (doc_id, text): row_id, n_bytes, n_removed, n_spans, kept_sha256 and, if columns are carried, the kept text and these.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, hot_segments: int = HOT) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if columns are carried, the kept text and these.
 
-    ``row_id`` is doc_id. Removal is by bytes, so a kept text drops the bytes of characters that a
+    Removal is by bytes, so a kept text drops the bytes of characters that a
     border cuts through; ``kept_sha256`` is of the exact bytes.
     """
     if not gram < length or length % ROUNDS or length - gram + 1 > 255:
         raise ValueError("length must be a multiple of 5, above gram, and at most gram + 254")
     carry = carry or []
-    every = docs.select(F.col("doc_id").alias("row_id"), "text", *[F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]).where("row_id is not null")
-    rows = every.select("row_id", "text")
+    every = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"carried_{c}") for c in carry])
+    named = every.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        every = every.withColumn("row_id", F.col("doc_id"))
+    else:
+        # Numbers in the order of doc_id and text, written once.
+        order = named.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+        numbered = order.withColumn("row_id", F.monotonically_increasing_id()).unionByName(every.where("doc_id is null").withColumn("row_id", F.lit(None).cast("long")))
+        every = written(numbered, "numbered")
+    rows = every.where("row_id is not null").select("row_id", "text")
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = rows.where(F.octet_length("text") >= length).mapInArrow(_deal(length, gram, buckets), "bucket long, kind long, h binary, row_id binary, place binary")
     hits = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "row_id long, place long, h long")
     places = written(hits.groupBy("row_id").agg(F.collect_list(F.struct("place", "h")).alias("places")), "places")
     cut = rows.join(places, "row_id").select("row_id", "text", "places").mapInArrow(_cut(length), "h long, same long, row_id long, place long, seg binary")
-    merged = cut.repartition("h").sortWithinPartitions("h").mapInArrow(_merge(length), "row_id long, place long, begin long, end long")
+    hot = written(places.select(F.explode("places.h").alias("h")).groupBy("h").agg(F.count("*").alias("hot")).where(F.col("hot") > hot_segments), "hot")
+    marked = cut.join(hot, "h", "left").select("h", "same", "row_id", "place", "seg", "hot")
+    parts = marked.mapInArrow(_split(length, gram), "h long, same long, row_id long, place long, seg binary, orig long")
+    merged = parts.repartition("h").sortWithinPartitions("h").mapInArrow(_merge(length), "row_id long, place long, begin long, end long")
     found = merged.groupBy("row_id").agg(
         F.collect_list(F.when(F.col("place") >= 0, F.col("place"))).alias("firsts"),
         F.collect_list(F.when(F.col("place") < 0, F.struct("begin", "end"))).alias("spans"),
@@ -377,12 +443,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     covers = places.select("row_id", F.transform("places", lambda p: p["place"]).alias("places")).join(found, "row_id", "left")
     covers = written(covers, "covers")
     kinds = dict(docs.dtypes)
-    schema = "row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * bool(carry) + "".join(f", `{c}` {kinds[c]}" for c in carry)
-    joined = every.join(covers, "row_id", "left").select("row_id", "text", "places", "firsts", "spans", *[f"carried_{c}" for c in carry])
+    schema = f"doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * bool(carry) + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    joined = every.join(covers, "row_id", "left").select("doc_id", "text", "places", "firsts", "spans", *[f"carried_{c}" for c in carry])
     return joined.mapInArrow(_strip(length, carry), schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns for every document."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.col("row_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
