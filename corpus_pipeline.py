@@ -29,10 +29,10 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one holds; those with nothing left go."""
+    """Documents without the passages that an earlier one holds; those with nothing left go. Rows without doc_id stay as they are."""
     out = remove_repeats(docs.select(COLUMNS), carry=["lang", "source"])
     out = out.where("n_removed < n_bytes or n_bytes = 0")
-    return out.select(F.col("row_id").alias("doc_id"), F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars")).select(COLUMNS)
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars")).select(COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
