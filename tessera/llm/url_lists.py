@@ -6,9 +6,10 @@ log becomes validity intervals by its next entry. A capture is joined with the e
 of every parent domain, and those active at its fetch time are weighed: the longest pattern decides,
 then the latest entry.
 
-A capture without host, time or active entry is ``allowed``. Of entries of one pattern and day the one
-with the greatest action counts. Repeated captures are judged each; empty tables give no rows; extra
-columns are ignored. The join is by host, so one busy host is split by Spark's skew handling: the
+A host is what stands after any user information, lower-cased, without a final dot; paths keep their
+case. A capture without host, time or active entry is ``allowed``. Of entries of one pattern and day
+the one with the greatest action counts. Repeated captures are judged each by its own URL and time;
+empty tables give no rows; extra columns are ignored. The join is by host, so one busy host is split by Spark's skew handling: the
 entries of one host are few.
 """
 
@@ -19,16 +20,18 @@ from pyspark.sql import functions as F
 
 
 def host_of(url: Column) -> Column:
-    """The lower-cased host of an http(s) URL, '' if there is none."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)", 1))
+    """The lower-cased host of a URL with a scheme, '' if there is none."""
+    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]+)", 1)
+    return F.lower(F.regexp_replace(host, r"\.$", ""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, verdict, valid_from, valid_to (null: open) of entries (pattern, action, day)."""
-    last = entries.where("pattern is not null and day is not null and action is not null").groupBy("pattern", "day").agg(F.max("action").alias("action"))
+    named = F.concat(F.lower(F.regexp_extract("pattern", "^[^/]*", 0)), F.regexp_extract("pattern", "^[^/]*(.*)$", 1))
+    last = entries.where("pattern is not null and day is not null and action is not null").select(named.alias("pattern"), "action", "day").groupBy("pattern", "day").agg(F.max("action").alias("action"))
     turn = Window.partitionBy("pattern").orderBy("day")
     spans = last.withColumn("valid_to", F.lead("day").over(turn)).where("action <> 'remove'")
-    return spans.select(F.lower("pattern").alias("pattern"), F.col("action").alias("verdict"), F.col("day").alias("valid_from"), "valid_to")
+    return spans.select("pattern", F.col("action").alias("verdict"), F.col("day").alias("valid_from"), "valid_to")
 
 
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -37,15 +40,15 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    keyed = host.where("host <> '' and day is not null").select("capture_id", "day", path.alias("path"), F.explode(parents).alias("key"))
+    keyed = host.where("host <> '' and day is not null").select("capture_id", "url", "day", path.alias("path"), F.explode(parents).alias("key"))
     spans = intervals(entries).select(
         F.regexp_extract("pattern", "^[^/]*", 0).alias("entry_key"), F.regexp_extract("pattern", "^[^/]*(.*)$", 1).alias("prefix"), "pattern", "verdict", "valid_from", "valid_to"
     )
     active = keyed.join(spans, F.col("key") == F.col("entry_key")).where(
         (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))) & F.col("path").startswith(F.col("prefix"))
     )
-    best = active.groupBy("capture_id").agg(F.max(F.struct(F.length("pattern").alias("n"), "valid_from", "pattern", "verdict")).alias("best"))
-    out = host.select("capture_id", "host").join(best, "capture_id", "left")
+    best = active.groupBy("capture_id", "url", "day").agg(F.max(F.struct(F.length("pattern").alias("n"), "valid_from", "pattern", "verdict")).alias("best"))
+    out = host.select("capture_id", "url", "day", "host").join(best, ["capture_id", "url", "day"], "left")
     return out.select("capture_id", "host", F.coalesce("best.verdict", F.lit("allowed")).alias("verdict"), F.col("best.pattern").alias("pattern"), F.col("best.valid_from").alias("valid_from"))
 
 
@@ -87,7 +90,7 @@ WITH h AS (
   SELECT *, regexp_extract(pattern, '^[^/]*') AS key, regexp_extract(pattern, '^[^/]*(.*)$', 1) AS prefix FROM spans WHERE verdict <> 'remove'
 ), c AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS day,
-    lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)', 1)) AS host,
+    lower(regexp_replace(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]+)', 1), '\.$', '')) AS host,
     regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages
 ), met AS (
   SELECT page_id, verdict, pattern, valid_from,
