@@ -87,6 +87,11 @@ def _valid() -> Column:
 def numbered(docs: DataFrame, *carry: str) -> DataFrame:
     """rid (a number for each row), doc_id, text ('' for null) and carried columns."""
     more = [F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]
+    # Written, since a task that is run again, or a plan used twice, could number rows anew.
+    return written(_numbers(docs, more), "rows")
+
+
+def _numbers(docs: DataFrame, more: list[Column]) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
@@ -105,19 +110,16 @@ def _terms() -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), 0), F.lower))
 
 
-def _places() -> Column:
-    """array<struct<start, kind, end, removed>> of a text's words among told; removed: those among gone."""
+def _places(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """rid, near: array of struct(start, kind, end, removed) of every occurrence of a text's terms among hits (rid, term, removed)."""
     words, gaps = F.regexp_extract_all("text", F.lit(WORD), 0), F.split("text", WORD, -1)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,removed:boolean>>").alias("out"))
-
-    def step(a: Column, z: Column) -> Column:
-        begin = a["at"] + F.length(z["p"])
-        end = begin + F.length(z["m"])
-        term = F.lower(z["m"])
-        place = F.struct(begin.alias("start"), F.lit(4).alias("kind"), end.alias("end"), F.array_contains("gone", term).alias("removed"))
-        return F.struct(end.alias("at"), F.when(F.array_contains("told", term), F.array_append(a["out"], place)).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(F.filter(F.arrays_zip(words.alias("m"), gaps.alias("p")), lambda z: z["m"].isNotNull()), zero, step)["out"]
+    zipped = F.filter(F.arrays_zip(words.alias("m"), gaps.alias("p")), lambda z: z["m"].isNotNull())
+    each = texts.select("rid", F.posexplode(zipped).alias("i", "z"))
+    upto = Window.partitionBy("rid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.length("z.m") + F.length("z.p")).over(upto)
+    placed = each.select("rid", F.lower("z.m").alias("term"), end.alias("end"), F.length("z.m").alias("n"))
+    span = F.struct((F.col("end") - F.col("n")).alias("start"), F.lit(4).alias("kind"), "end", "removed")
+    return placed.join(hits, ["rid", "term"]).groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("near"))
 
 
 def _dealt(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
@@ -147,8 +149,8 @@ def revealing(rows: DataFrame, found: DataFrame, generalise: float = GENERALISE,
     pmi = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     told = both.where(F.col("n_both") >= support).where(pmi >= generalise * content).select("entity", "term", "n_both", (pmi >= remove * content).alias("removed"))
     hits = _dealt(near.select("rid", "entity", "term"), written(told, "told"), ["entity", "term"], "n_both", total)
-    lists = hits.groupBy("rid").agg(F.collect_set("term").alias("told"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
-    return texts.join(lists, "rid").select("rid", _places().alias("near"))
+    terms = written(hits.groupBy("rid", "term").agg(F.max("removed").alias("removed")), "hits")
+    return _places(texts.join(terms.select("rid").distinct(), "rid", "left_semi"), terms)
 
 
 def spans_of(rows: DataFrame, **limits: float) -> DataFrame:
