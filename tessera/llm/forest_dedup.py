@@ -1,7 +1,8 @@
 """Embedding near-dedup: a forest of random-projection trees with spill, compared within leaves.
 
 Equal vectors of a label are one class with a size. Each tree splits recursively: a level projects
-on a random direction and splits at a threshold (the median over a bounded sample); a vector within
+on a random direction and splits at a threshold (the median over a bounded sample of all vectors of
+its length, so the nodes of a level share their split); a vector within
 ``SPILL`` of the threshold goes to both sides. Trees are as deep as brings the label's leaves to
 about ``LEAF_ROWS``. Within a leaf all vectors are compared exactly; a larger leaf is compared in pairs
 of blocks, so none is cut. A pair is counted in the first leaf of the first tree that holds both, which
@@ -18,11 +19,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, local_stars, plain_rows, written
-from tessera.llm.graph_index import usable
+from tessera.llm.graph_index import usable, vector_type
 
 COSINE = 0.98
 TREES = 4
@@ -69,12 +70,20 @@ def _leaves(left: int, right: int, levels: int) -> list[int]:
     return out
 
 
-def _assign(cuts: dict[int, np.ndarray]):
+def _cuts(sample: pd.DataFrame) -> pd.DataFrame:
+    """The thresholds of one vector length, of its sampled rows."""
+    dim = int(sample["dim"].iloc[0])
+    sample = sample.sort_values(["turn", "rep"])
+    return pd.DataFrame({"dim": [dim], "cuts": [thresholds(sample["vector"].to_list(), dim).tobytes()]})
+
+
+def _assign():
     def run(batches):
         for batch in batches:
             out = []
             for (dim, levels), part in batch.groupby(["dim", "levels"]):
-                left, right = sides_of(_unit(part["vector"].to_list()), cuts[dim], int(levels))
+                cuts = np.frombuffer(part["cuts"].iloc[0], np.float64).reshape(TREES, -1)
+                left, right = sides_of(_unit(part["vector"].to_list()), cuts, int(levels))
                 for i, row in enumerate(part.itertuples()):
                     sides = np.stack([left[i], right[i]]).tobytes()
                     for t in range(TREES):
@@ -123,17 +132,19 @@ def _compare(cosine: float):
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding, label)."""
     rows = plain_rows(vectors, "vec_id", "embedding", "label").where("vec_id is not null")
-    good = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull()).select("vec_id", "label", F.col("embedding").cast("array<float>").alias("vector"))
+    kind = vector_type(rows)
+    good = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull()).select("vec_id", "label", F.col("embedding").cast(kind).alias("vector"))
     classes = written(good.distinct().groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")).withColumn("dim", F.size("vector")), "classes")
     levels = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("levels", F.greatest(F.lit(0), F.least(F.lit(30), F.ceil(F.log2(F.col("n") / leaf_rows)).cast("int")))).drop("n")
-    cuts = {}
-    for row in classes.groupBy("dim").agg(F.min("rep")).limit(1000).collect():
-        sample = classes.where(F.col("dim") == row["dim"]).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("vector").toPandas()
-        cuts[row["dim"]] = thresholds(sample["vector"].to_list(), row["dim"])
-    dealt = classes.join(levels, ["label", "dim"]).select("label", "dim", "levels", "rep", "size", "vector")
+    turned = classes.withColumn("turn", F.xxhash64("rep"))
+    first = Window.partitionBy("dim").orderBy("turn", "rep")
+    # Tasks keep no more than a sample of each length before these are dealt.
+    sample = turned.withColumn("at", F.row_number().over(first)).where(F.col("at") <= SAMPLE_ROWS).select("dim", "turn", "rep", "vector")
+    cuts = written(sample.groupBy("dim").applyInPandas(_cuts, "dim int, cuts binary"), "cuts")
+    dealt = classes.join(levels, ["label", "dim"]).join(cuts, "dim").select("label", "dim", "levels", "rep", "size", "vector", "cuts")
     label_type = dict(rows.dtypes)["label"]
-    schema = f"label {label_type}, dim int, tree int, leaf long, levels int, rep long, size long, vector array<float>, sides binary"
-    placed = written(dealt.mapInPandas(_assign(cuts), schema), "placed")
+    schema = f"label {label_type}, dim int, tree int, leaf long, levels int, rep long, size long, vector {kind}, sides binary"
+    placed = written(dealt.mapInPandas(_assign(), schema), "placed")
     key = ["label", "dim", "tree", "leaf"]
     blocks = written(placed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("b")), "leaf-sizes")
     own = placed.join(blocks, key).withColumn("own", F.expr("pmod(xxhash64(rep), b)").cast("int")).withColumn("with", F.explode(F.expr("sequence(0, b - 1)")))
@@ -145,7 +156,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int =
         F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")
     )
     told = written(told, "told")
-    mine = rows.withColumn("v", F.when(usable(F.col("embedding")), F.col("embedding").cast("array<float>")))
+    mine = rows.withColumn("v", F.when(usable(F.col("embedding")), F.col("embedding").cast(kind)))
     out = mine.join(told, (mine["label"] == told["l"]) & (mine["v"] == told["v"]), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn(
         "kept", F.col("vec_id") == F.col("component_id")

@@ -8,7 +8,8 @@ are added and pruned alike. Queries travel in blocks to every shard, a beam sear
 the shards' nearest are merged.
 
 Vectors that are null, zero or hold null or non-finite components take no part; vectors of different
-lengths never meet. Repeated rows (one vec_id) are one candidate. An empty table gives no rows; extra
+lengths never meet. Rows of one vec_id are one candidate, with the smallest of its vectors. Graphs are
+built and searched in single precision, scores come from the original vectors in double. An empty table gives no rows; extra
 columns are ignored.
 """
 
@@ -31,6 +32,11 @@ SEARCH_BEAM = 160
 STRIDE = 4
 
 
+def vector_type(df: DataFrame) -> str:
+    """The type that vectors are kept in: float as it is, all else double."""
+    return "array<float>" if dict(df.dtypes)["embedding"] == "array<float>" else "array<double>"
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null or empty, all components finite, not all zero."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))
@@ -171,7 +177,8 @@ def build(vectors: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam:
 def _index(degree: int, alpha: float):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("rep")
-        vectors = np.stack(shard["vector"].to_list()).astype(np.float32)
+        exact = np.stack(shard["vector"].to_list())
+        vectors = exact.astype(np.float32)
         graph, start = build(vectors, degree, alpha)
         ids = shard["ids"].to_list()
         return pd.DataFrame(
@@ -181,7 +188,7 @@ def _index(degree: int, alpha: float):
                 "start": [start],
                 "ids": [np.concatenate(ids).astype(np.int64).tobytes()],
                 "counts": [np.array([len(x) for x in ids], np.int64).tobytes()],
-                "vectors": [vectors.tobytes()],
+                "vectors": [exact.tobytes()],
                 "graph": [graph.astype(np.int32).tobytes()],
             }
         )
@@ -190,23 +197,24 @@ def _index(degree: int, alpha: float):
 
 
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    vectors = np.stack(rows["vector"].to_list()).astype(np.float32)
+    vectors = np.stack(rows["vector"].to_list())
     return pd.DataFrame({"dim": [vectors.shape[1]], "block": [int(rows["block"].iloc[0])], "queries": [rows["vec_id"].to_numpy(np.int64).tobytes()], "points": [vectors.tobytes()]})
 
 
-def _search(k: int, degree: int, beam: int):
+def _search(k: int, degree: int, beam: int, kind: type):
     def run(batches):
         for batch in batches:
             for row in batch.itertuples():
-                vectors = np.frombuffer(row.vectors, np.float32).reshape(-1, row.dim)
+                original = np.frombuffer(row.vectors, kind).reshape(-1, row.dim)
+                vectors = original.astype(np.float32)
                 graph = np.frombuffer(row.graph, np.int32).astype(np.int64).reshape(-1, degree)
-                points = np.frombuffer(row.points, np.float32).reshape(-1, row.dim)
+                points = np.frombuffer(row.points, kind).reshape(-1, row.dim)
                 queries = np.frombuffer(row.queries, np.int64)
                 counts = np.frombuffer(row.counts, np.int64)
                 offsets, ids = np.cumsum(counts) - counts, np.frombuffer(row.ids, np.int64)
                 for begin in range(0, len(queries), 128):
                     part = slice(begin, begin + 128)
-                    nodes, dist = beam_search(vectors, graph, row.start, points[part], max(beam, 4 * k))
+                    nodes, dist = beam_search(vectors, graph, row.start, points[part].astype(np.float32), max(beam, 4 * k))
                     keep = nodes >= 0
                     q = np.repeat(np.arange(len(nodes)), keep.sum(1))
                     node = nodes[keep]
@@ -215,7 +223,7 @@ def _search(k: int, degree: int, beam: int):
                     q, node = np.repeat(q, size), np.repeat(node, size)
                     other = who != queries[part][q]
                     q, node, who = q[other], node[other], who[other]
-                    exact = np.sqrt(((points[part][q].astype(np.float64) - vectors[node].astype(np.float64)) ** 2).sum(1))
+                    exact = np.sqrt(((points[part][q].astype(np.float64) - original[node].astype(np.float64)) ** 2).sum(1))
                     order = np.lexsort((who, exact, q))
                     q, who, exact = q[order], who[order], exact[order]
                     rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -225,27 +233,29 @@ def _search(k: int, degree: int, beam: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = DEGREE, alpha: float = ALPHA, beam: int = SEARCH_BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = DEGREE, alpha: float = ALPHA, beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of vectors (vec_id, embedding) to each of queries, itself left out."""
 
     def read(df: DataFrame) -> DataFrame:
         good = plain_rows(df, "vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-        return good.select("vec_id", F.col("embedding").cast("array<float>").alias("vector"), F.size("embedding").alias("dim"))
+        one = good.groupBy("vec_id").agg(F.min(F.col("embedding").cast(kind)).alias("vector"))
+        return one.withColumn("dim", F.size("vector"))
 
+    kind = vector_type(vectors)
     # Of equal vectors, the k + 1 smallest ids can be among a query's nearest; tasks keep no more.
     turn = Window.partitionBy("vector").orderBy("vec_id")
-    first = read(vectors).distinct().withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= k + 1)
+    first = read(vectors).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= k + 1)
     nodes = written(first.groupBy("vector", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // SHARD_ROWS))
+    shards = max(1, -(-nodes.count() // shard_rows))
     dealt = nodes.select("vector", "dim", "ids", F.col("ids")[0].alias("rep")).withColumn("shard", F.expr(f"pmod(xxhash64(rep), {shards})").cast("int"))
     index_schema = "dim int, shard int, start int, ids binary, counts binary, vectors binary, graph binary"
     index = written(dealt.groupBy("dim", "shard").applyInPandas(_index(degree, alpha), index_schema), "index")
-    asked = read(queries).dropDuplicates(["vec_id"])
+    asked = read(queries)
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     packed = asked.withColumn("block", F.expr(f"pmod(xxhash64(vec_id), {blocks})").cast("int")).groupBy("dim", "block").applyInPandas(_block, "dim int, block int, queries binary, points binary")
     sent = written(packed, "blocks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     met = index.join(sent, ["dim", "shard"]).repartition("shard", "block")
-    found = met.mapInPandas(_search(k, degree, beam), "query_id long, vec_id long, score double")
+    found = met.mapInPandas(_search(k, degree, beam, np.float32 if kind == "array<float>" else np.float64), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
