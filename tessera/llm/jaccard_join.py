@@ -21,7 +21,7 @@ Jaccard distance is a metric, so pivots can split the space into regions:
 
 A link is exact: 100 * intersection >= 80 * union over the whole sets. No pair is dropped or capped.
 A null text or one without words has an empty set and no links. Rows that share a doc_id are one
-node; an empty table gives no rows; extra columns are ignored.
+node, rows without one take no part; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from tessera.llm.common import Prefixes, mix, runs_of
@@ -10,6 +12,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes above which a word has a cryptographic hash.
+LONG = 256
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -17,7 +21,11 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Hashes of the lower-cased words of all rows, and each row's first word (n + 1 offsets)."""
     raw = _LOWER[raw]
     begin, end = runs_of(~_SPACE[raw], off)
-    return Prefixes(raw).hash(begin, end), np.searchsorted(begin, off)
+    found = Prefixes(raw).hash(begin, end)
+    # Polynomials modulo 2**64 can be made to agree on long words.
+    for i in np.flatnonzero(end - begin > LONG).tolist():
+        found[i] = int.from_bytes(hashlib.blake2b(raw[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return found, np.searchsorted(begin, off)
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int = 5) -> list[np.ndarray]:

@@ -40,6 +40,39 @@ def test_graph_search_recall(vectors):
     assert graph_index.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_graph_search_over_shards_in_double(spark):
+    """Recall over several shards; scores are those of the doubles; one vec_id is one candidate."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 24))
+    rows = [(int(i), [float(v) for v in x[i]]) for i in range(1500)] + [(7, [float(v) for v in x[7] + 1e-12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = graph_index.nearest(df, df.where("vec_id % 100 = 0"), shard_rows=300).collect()
+    x[7] = min(x[7].tolist(), (x[7] + 1e-12).tolist())
+    hits = 0
+    for q in range(0, 1500, 100):
+        dist = np.sqrt(((x - x[q]) ** 2).sum(1))
+        dist[q] = np.inf
+        mine = [r for r in got if r["query_id"] == q]
+        assert len(mine) == 10 == len({r["vec_id"] for r in mine}) and all(abs(r["score"] - dist[r["vec_id"]]) < 1e-12 for r in mine)
+        hits += len({r["vec_id"] for r in mine} & set(np.argsort(dist)[:10].tolist()))
+    assert hits >= 0.9 * 150
+
+
+def test_forest_dedup_at_64_dimensions_and_many_lengths(spark):
+    """Recall of planted pairs at 64 dimensions, in double; vectors of a thousand other lengths; an empty table."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    for i in range(0, 600, 2):
+        x[i + 1] = x[i] + rng.normal(scale=0.1, size=64)
+    rows = [(i, x[i].tolist(), 1) for i in range(3000)] + [(5000 + k, [1.0] * (k + 65), 1) for k in range(1100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in forest_dedup.near_duplicates(df, leaf_rows=128).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert true.sum() > 300 and sum(got[i] for i in range(3000)) >= 0.98 * true.sum() and all(got[i] <= true[i] for i in range(3000))
+    assert forest_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_forest_dedup(vectors):
     df, x = vectors
     got = {r["vec_id"]: r for r in forest_dedup.near_duplicates(df, leaf_rows=64).collect()}
@@ -82,6 +115,19 @@ def documents(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, score string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_labelled_samples_are_bounded(spark):
+    """One row for each id, and no more bytes than asked for."""
+    from tessera.llm import labelled
+
+    rows = [(1, "x" * 100, "en")] * 500 + [(i, "y" * 1000, None) for i in range(2, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    got = labelled.sample(docs, labels, "quality", 10_000)
+    assert 100 < len(got) < 200 and sum(t == "x" * 100 for t, _, _ in got) <= 1
+    assert len(labelled.sample(docs, labels, "quality", 40)) <= 40
+    assert sum(len(t) for t, _, _ in labelled.sample(docs, labels, "quality", 10_000, size=20_500)) <= 20_500
+
+
 def test_classifiers_hold_on_unseen_rows(spark):
     docs, labels = documents(spark)
     truth = {r["doc_id"]: r for r in labels.collect()}
@@ -189,3 +235,10 @@ def test_url_lists(spark):
     got = {r["capture_id"]: r["verdict"] for r in url_lists.judged(captures, entries).collect()}
     assert got == {1: "blocked", 2: "allowed", 3: "allowed", 4: "trusted", 5: "review", 6: "allowed", 7: "allowed", 8: "allowed"}
     assert url_lists.judged(captures.limit(0), entries).count() == 0
+    odd = spark.createDataFrame(
+        [(1, "http://bad.example/x", "2024-01-12"), (1, "http://good.example/", "2024-01-12"), (2, "http://user:p@bad.example/", "2024-01-12"), (3, "http://BAD.example./", "2024-01-12"), (4, "http://mix.example/En/x", "2024-01-12"), (5, "http://mix.example/en/x", "2024-01-12"), (6, "http://gone.example/", "2024-01-12"), (6, "http://gone.example/", "2024-01-12")],
+        "capture_id long, url string, day string",
+    ).selectExpr("capture_id", "url", "cast(day as date) as day")
+    more = spark.createDataFrame([("bad.example", "blocked", "2024-01-01"), ("MIX.example/En/", "review", "2024-01-01"), ("Gone.example", "blocked", "2024-01-01"), ("gone.example", "remove", "2024-01-05")], "pattern string, action string, day string").selectExpr("pattern", "action", "cast(day as date) as day")
+    verdicts = sorted((r["capture_id"], r["verdict"]) for r in url_lists.judged(odd, more).collect())
+    assert verdicts == [(1, "allowed"), (1, "blocked"), (2, "blocked"), (3, "blocked"), (4, "review"), (5, "allowed"), (6, "allowed"), (6, "allowed")]

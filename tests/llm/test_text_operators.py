@@ -50,8 +50,9 @@ def empty(docs):
     return docs.limit(0)
 
 
-def test_suffix_dedup(docs, empty):
-    got = {r["row_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffix_dedup(docs, empty, hot):
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs, hot_segments=hot).collect()}
     seen = set()
     for i, text in enumerate(TEXTS):
         b = (text or "").encode()
@@ -68,6 +69,40 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def removed(rows):
+    return [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["n_bytes"], r["n_removed"]))]
+
+
+def test_suffix_dedup_of_repeated_and_missing_ids(spark):
+    """A text under an id that another row has is still seen; equal rows keep one text; rows without id keep theirs."""
+    p, a = words(150)[:600], words(150)[:640]
+    docs = spark.createDataFrame([(1, p), (2, a), (2, p), (2, None), (3, p), (3, p), (None, p)], "doc_id long, text string")
+    n = len(p)
+    got = removed(suffix_dedup.remove_repeats(docs).collect())
+    assert got == [(1, n, 0), (2, 0, 0), (2, n, n), (2, 640, 0), (3, n, n), (3, n, n), (None, n, 0)]
+    again = suffix_dedup.remove_repeats(spark.createDataFrame([(5, p), (5, p)], "doc_id long, text string")).collect()
+    assert removed(again) == [(5, n, 0), (5, n, n)]
+
+
+def test_suffix_dedup_of_a_hot_phrase(spark):
+    """A phrase under 100 bytes in every text, with other text around it, and one longer passage: split groups agree with brute force."""
+    phrase, long = words(20)[:70], words(40)[:130]
+    texts = [f"{words(15)} {phrase} {words(15)}" + (f" {long} {words(5)}" if i % 5 == 0 else "") for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    seen, want = set(), []
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 99):
+            w = t[k : k + 100]
+            if w in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(w)
+        want.append((i, len(t), sum(gone)))
+    assert sum(x[2] for x in want) > 0
+    for hot in (5, 10**6):
+        assert removed(suffix_dedup.remove_repeats(docs, hot_segments=hot).collect()) == want
+
+
 def test_merge_needs_no_text():
     raw = np.frombuffer(b"abcab" * 60, np.uint8)
     names = suffix_dedup.block_names(raw, 20)
@@ -128,6 +163,17 @@ def test_jaccard_join_of_near_copies_in_small_blocks(spark):
     assert 2 < len({c for _, c in brute.values()}) < 60
 
 
+def test_jaccard_join_of_words_that_fool_polynomials(spark):
+    """Thue-Morse words and their complements collide in any polynomial hash modulo 2**64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = spark.createDataFrame([(1, word), (2, other), (3, word), (None, word)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(rows).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_joining_links_match_all_pairs():
     """Blocks by themselves: the links joined are those that all pairs of outsiders and members give."""
     rnd = np.random.default_rng(3)
