@@ -4,15 +4,19 @@ Jaccard distance is a metric, so pivots can split the space into regions:
 
 1. **Sets.** A document's set is its distinct ``words``-word shingles, as 64-bit hashes. Equal sets
    are one class; only its smallest doc_id goes on.
-2. **Pivots and regions.** Two linked sets must share a shingle among the smallest
-   ``n - ceil(0.8 n) + 1`` hashes of each (fewer shared than that cannot reach the similarity). The
-   smallest doc_id of about the same size that holds such a shingle is its pivot, and every holder is
-   replicated into the pivot's region, border documents into several. By the triangle inequality
-   against the empty set, sizes of a link differ by a fifth at most: holders are replicated over
-   neighbouring size windows. So both ends of every link meet in a region.
-3. **Distances.** In a region, the shared small hashes bound each member's distance to the pivot
-   from below; what the bound leaves is compared exactly. Members within the radius of the pivot
-   are one component with it.
+2. **Pivots and regions.** A bounded sample of sets are pivots. Every set's distance to each of them is
+   exact, over an index of the pivots' shingles. A set within ``2 r`` (r: the radius, a distance of
+   0.2) of a pivot has its home in the region of the nearest; all others share the region of no pivot,
+   which unrelated sets, all at distance 1 from each other, would else join at random. A set within r of
+   its pivot is linked with it. By the triangle inequality the ends of a link meet in a home of one of
+   them if each set that isn't linked with its pivot (or whose pivot's component is another) also visits
+   the regions of pivots at most ``2 r`` farther than the nearest, and at most ``3 r``, and if those farther
+   than r from their pivot visit the region of no pivot.
+3. **Smaller pivots in a region.** Two linked sets must share a shingle among the smallest
+   ``n - ceil(0.8 n) + 1`` hashes of each, and against the empty set their sizes differ by a fifth at
+   most. So regions are split again: the smallest doc_id at home there, of about a size, that holds such a
+   hash is the pivot of all its holders. In such a part, the shared small hashes bound distances from
+   below; what the bound leaves is compared exactly. Members within r of the pivot are one component.
 4. **Recursion.** Members that the bound keeps from the pivot take their turn as pivots of the rest.
    Where members of different components may still be near, each is compared with those it shares
    most with. Then whole sets of the members that are still in doubt are dealt in blocks of bounded
@@ -33,11 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, plain_rows, text_steps, utf8, written
+from tessera.llm.common import components, mix, plain_rows, text_steps, utf8, written
 from tessera.llm.shingles import shingle_sets
 
 WORDS = 5
 PERCENT = 80
+#: The sample of pivots: how many, their greatest size, and shingles of all (8 bytes each, sent to every task).
+PIVOTS = 512
+PIVOT_SIZE = 1 << 13
+PIVOT_SHINGLES = 1 << 20
 #: Members that are compared with one copy of their pivot in a task.
 CHUNK = 256
 #: Partners that a member outside its region's largest component is compared with before whole sets are.
@@ -54,18 +62,96 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 # ---------------------------------------------------------------- 1. sets
 
 
-def _sets(words: int, percent: int):
+class Pivots:
+    """Sampled sets: an index of their shingles, their ids and the components of their links."""
+
+    def __init__(self, sets: dict[int, np.ndarray], percent: int):
+        self.ids = np.array(list(sets), np.int64)
+        self.n = np.array([len(x) for x in sets.values()], np.int64)
+        every = np.concatenate(list(sets.values())) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.h, self.owner, self.percent = every[order], np.repeat(np.arange(len(sets)), self.n)[order], percent
+        self.comp = np.arange(len(sets))
+        self.pairs: list[tuple[int, int]] = []
+        for i, x in enumerate(sets.values()):
+            common = self.common(x)
+            for j in np.flatnonzero(self.linked(len(x), common)).tolist():
+                if self.comp[i] != self.comp[j]:
+                    self.pairs.append((int(self.ids[i]), int(self.ids[j])))
+                    self.comp[self.comp == self.comp[j]] = self.comp[i]
+
+    def common(self, x: np.ndarray) -> np.ndarray:
+        """What a set shares with each pivot."""
+        first, last = np.searchsorted(self.h, x, "left"), np.searchsorted(self.h, x, "right")
+        size = last - first
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.owner[at], minlength=len(self.ids))
+
+    def linked(self, n: int, common: np.ndarray) -> np.ndarray:
+        return (100 * common >= self.percent * (n + self.n - common)) & (common > 0)
+
+    def place(self, x: np.ndarray) -> tuple[int, bool, list[int]]:
+        """(home or -1, whether it is linked with its pivot, regions it visits besides)."""
+        if not len(self.ids) or not len(x):
+            return -1, False, []
+        common = self.common(x)
+        far = 1 - common / (len(x) + self.n - common)
+        home, r, near = int(far.argmin()), 1 - self.percent / 100, 1e-9
+        best = float(far[home])
+        if best > 2 * r + near:
+            return -1, False, []
+        core = bool(self.linked(len(x), common)[home])
+        window = far <= min(best + 2 * r, 3 * r) + near
+        if core:
+            window &= self.comp != self.comp[home]
+        window[home] = False
+        return home, core, np.flatnonzero(window).tolist() + [-1] * (best > r - near)
+
+
+def _pivot_sets(words: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in text_steps(batches):
+            found = shingle_sets(*utf8(step.column(2)), words)
+            take = [i for i, x in enumerate(found) if 0 < len(x) <= most]
+            yield pa.RecordBatch.from_arrays(
+                [step.column(0).take(pa.array(take, pa.int64())), step.column(1).take(pa.array(take, pa.int64())), pa.array([found[i].tobytes() for i in take], pa.binary())], ["doc_id", "turn", "set"]
+            )
+
+    return run
+
+
+def sampled_pivots(rows: DataFrame, words: int, percent: int, count: int) -> Pivots:
+    """Pivots from the first ``count`` rows in hash order, different sets, up to PIVOT_SHINGLES of them in all."""
+    first = rows.where("text is not null").select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("turn")).orderBy("turn", "doc_id").limit(count)
+    sets = rows.join(F.broadcast(first), "doc_id").select("doc_id", "turn", "text").mapInArrow(_pivot_sets(words, PIVOT_SIZE), "doc_id long, turn long, set binary")
+    out, seen, size = {}, set(), 0
+    for row in sorted(sets.collect(), key=lambda r: (r["turn"], r["doc_id"])):  # at most count rows of PIVOT_SIZE shingles
+        raw = bytes(row["set"])
+        if raw in seen or row["doc_id"] in out or size + len(raw) // 8 > PIVOT_SHINGLES:
+            continue
+        seen.add(raw)
+        size += len(raw) // 8
+        out[row["doc_id"]] = np.frombuffer(raw, np.uint64)
+    return Pivots(out, percent)
+
+
+def _sets(words: int, percent: int, pivots: Pivots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in text_steps(batches):
             found = shingle_sets(*utf8(step.column(1)), words)
+            places = [pivots.place(x) for x in found]
+            home = np.array([h for h, _, _ in places], np.int32)
+            core = [int(pivots.ids[h]) if c else None for h, c, _ in places]
+            comp = [int(pivots.ids[pivots.comp[h]]) if c else None for h, c, _ in places]
+            visits = [np.array(v, np.int32).tobytes() for _, _, v in places]
             n = np.array([len(x) for x in found], np.int64)
             small = [x[: len(x) - -(-percent * len(x) // 100) + 1] for x in found]
             with np.errstate(over="ignore"):
                 one = [int(x.sum(dtype=np.uint64).astype(np.int64)) for x in found]
                 two = [int(np.bitwise_xor.reduce(x * np.uint64(0xC2B2AE3D27D4EB4F) ^ (x >> np.uint64(29))).astype(np.int64)) if len(x) else 0 for x in found]
             yield pa.RecordBatch.from_arrays(
-                [step.column(0), pa.array(n), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([x.tobytes() for x in small], pa.binary())],
-                ["doc_id", "n", "k1", "k2", "small"],
+                [step.column(0), pa.array(n), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([x.tobytes() for x in small], pa.binary()), pa.array(home), pa.array(core, pa.int64()), pa.array(comp, pa.int64()), pa.array(visits, pa.binary())],
+                ["doc_id", "n", "k1", "k2", "small", "home", "core", "comp", "visits"],
             )
 
     return run
@@ -80,14 +166,24 @@ def size_class(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _deal(buckets: int):
-    """Blocks of (hash, doc, size) by bucket: one row for each bucket and step, not one for each hash."""
+    """Blocks of (hash within a region, doc, size) by bucket: one row for each bucket and step, not one for each hash. Visitors have negative sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in text_steps(batches, "small"):
             raw, off = utf8(step.column(2))
             h = np.frombuffer(raw.tobytes(), np.uint64)
             size = np.diff(off) // 8
-            doc, n = np.repeat(step.column(0).to_numpy(), size), np.repeat(step.column(1).to_numpy().astype(np.int32), size)
+            guests, ends = utf8(step.column(4))
+            # Each row once at home and once for each visit.
+            times = np.diff(ends) // 4
+            row = np.concatenate([np.arange(len(size)), np.repeat(np.arange(len(size)), times)])
+            region = np.concatenate([step.column(3).to_numpy(), np.frombuffer(guests.tobytes(), np.int32)]).astype(np.int64)
+            sign = np.where(np.arange(len(row)) < len(size), 1, -1)
+            begin, size = (off[:-1] // 8)[row], size[row]
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            key = np.repeat(mix((region + 1).astype(np.uint64)), size)
+            h = np.where(key == 0, h[at], mix(h[at] ^ key))
+            doc, n = np.repeat(step.column(0).to_numpy()[row], size), np.repeat((step.column(1).to_numpy()[row] * sign).astype(np.int32), size)
             bucket = (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             names, begin = np.unique(bucket[order], return_index=True)
@@ -99,7 +195,7 @@ def _deal(buckets: int):
 
 
 def _elect(percent: int):
-    """(x, p): x holds a hash whose smallest holder of about its size is p."""
+    """(x, p): x holds a hash whose smallest holder at home, of about its size, is p."""
 
     def out(held: list[tuple]) -> pa.RecordBatch:
         h, doc, n = (np.frombuffer(b"".join(x[i] for x in held), t) for i, t in enumerate((np.uint64, np.int64, np.int32)))
@@ -108,14 +204,16 @@ def _elect(percent: int):
         fresh = np.append(True, s[1:] != s[:-1])
         many = np.repeat(np.diff(np.append(np.flatnonzero(fresh), len(s))) > 1, np.diff(np.append(np.flatnonzero(fresh), len(s))))
         order = order[many]
-        h, doc, kind = h[order], doc[order], size_class(n[order], percent)
-        h, doc, kind = np.tile(h, 2), np.tile(doc, 2), np.concatenate([kind, kind + 1])
-        order = np.lexsort((doc, kind, h))
-        h, doc, kind = h[order], doc[order], kind[order]
+        h, doc, kind, guest = h[order], doc[order], size_class(np.abs(n[order]), percent), n[order] < 0
+        h, doc, kind, guest = np.tile(h, 2), np.tile(doc, 2), np.concatenate([kind, kind + 1]), np.tile(guest, 2)
+        order = np.lexsort((doc, guest, kind, h))
+        h, doc, kind, guest = h[order], doc[order], kind[order], guest[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])
-        pivot = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        other = pivot != doc
+        group = np.cumsum(fresh) - 1
+        pivot = doc[np.flatnonzero(fresh)][group]
+        # Where all are visitors, links among them meet in another region.
+        other = (pivot != doc) & ~guest[np.flatnonzero(fresh)][group]
         pairs = np.unique(np.stack([doc[other], pivot[other]], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "p"])
 
@@ -224,6 +322,8 @@ def _first_pairs(percent: int):
                 more |= len(near) < len(who)
                 stars += len(near) > 0
                 free[near] = False
+                # Those linked through pivots already need no comparison.
+                near = near[(region.comp[near] != region.comp[y]) | (region.comp[y] < 0)]
                 left += [int(region.ids[y])] * len(near)
                 right += region.ids[near].tolist()
             # Members of two stars may be near each other though their pivots aren't. A member that
@@ -367,16 +467,17 @@ def links_in_blocks(doubtful: DataFrame, rows: DataFrame, words: int, percent: i
     return written(dealt.mapInArrow(_compare_blocks(words, percent), "a long, b long"), "links")
 
 
-def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK_SHINGLES, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
     """(sets, edges) of docs (doc_id, text): doc_id and n of every row; edges (a, b) that span every component of links."""
     spark = docs.sparkSession
     rows = plain_rows(docs, "doc_id", "text").where("doc_id is not null")
-    sets = written(rows.mapInArrow(_sets(words, percent), "doc_id long, n long, k1 long, k2 long, small binary"), "sets")
+    sample = sampled_pivots(rows, words, percent, pivots)
+    sets = written(rows.mapInArrow(_sets(words, percent, sample), "doc_id long, n long, k1 long, k2 long, small binary, home int, core long, comp long, visits binary"), "sets")
     full = sets.where("n > 0")
     classes = written(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("b"), F.count("*").alias("size")).where("size > 1").drop("size"), "classes")
     copies = written(full.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).where("doc_id <> b").selectExpr("doc_id as a", "b"), "copies")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = full.select("doc_id", "n", "small").mapInArrow(_deal(buckets), "bucket long, h binary, doc binary, n binary")
+    blocks = full.select("doc_id", "n", "small", "home", "visits").mapInArrow(_deal(buckets), "bucket long, h binary, doc binary, n binary")
     held = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_elect(percent), "x long, p long")
     regions = written(held.distinct().join(copies, F.col("x") == F.col("a"), "left_anti"), "regions")
     small = full.select("doc_id", "n", "small").mapInArrow(_halved, "doc_id long, n long, small binary")
@@ -386,11 +487,17 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
         whole = whole.join(small, F.col("x") == F.col("doc_id")).select("p", "x", "n", "small", "comp")
         return whole.repartition("p").sortWithinPartitions("p", "x")
 
-    none = F.lit(0).cast("long")
     pairs = "a long, b long, p long"
-    told = written(by_region(regions.select("x", "p", none.alias("comp"), none.alias("q"))).mapInArrow(_first_pairs(percent), pairs), "told")
+    # Ids of pivots as components, -1 for none.
+    known = written(full.where("comp is not null").select(F.col("doc_id").alias("id"), F.col("comp").alias("c")).distinct(), "known")
+    begun = regions.join(known, F.col("x") == F.col("id"), "left").select("x", "p", F.coalesce("c", F.lit(-1)).alias("comp"))
+    begun = begun.join(known, F.col("p") == F.col("id"), "left").select("x", "p", "comp", F.coalesce("c", F.lit(-1)).alias("q"))
+    told = written(by_region(begun).mapInArrow(_first_pairs(percent), pairs), "told")
     near = written(told.where("b is not null").select("a", "b").distinct(), "near")
-    links = verified(near, rows, words, percent)
+    cores = full.where("core is not null and core <> doc_id").select(F.col("doc_id").alias("a"), F.col("core").alias("b")).distinct()
+    if sample.pairs:
+        cores = cores.unionByName(spark.createDataFrame(sample.pairs, "a long, b long"))
+    links = verified(near, rows, words, percent).unionByName(written(cores, "cores"))
     # Regions that may hold more: a member was near to several, or not so near as it seemed.
     missed = told.where("b is not null").join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").where("hit is null").select("p")
     open_ = written(told.where("a is null").select("p").unionByName(missed).distinct(), "open")
