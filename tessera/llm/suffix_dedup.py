@@ -42,8 +42,8 @@ GRAM = 24
 MERGE_WINDOWS = 1 << 16
 SHARDS = 4
 ROUNDS = 5
-HOT = 2048
-PART = 4
+HOT = 1 << 14
+PART = 26
 
 
 # ---------------------------------------------------------------- 1. deal
