@@ -9,13 +9,15 @@ Jaccard distance is a metric, so pivots can split the space into regions:
    smallest doc_id of about the same size that holds such a shingle is its pivot, and every holder is
    replicated into the pivot's region, border documents into several. By the triangle inequality
    against the empty set, sizes of a link differ by a fifth at most: holders are replicated over
-   neighbouring size windows. So both ends of every link meet in a region.
+   neighbouring size windows. So both ends of every link meet in a region. A region over
+   ``REGION_ROWS`` members is dealt in parts, its pivot to each.
 3. **Distances.** In a region, the shared small hashes bound each member's distance to the pivot
    from below; what the bound leaves is compared exactly. Members within the radius of the pivot
    are one component with it.
 4. **Recursion.** Members that the bound keeps from the pivot take their turn as pivots of the rest.
    Where members of different components may still be near, each is compared with those it shares
-   most with. Then whole sets of the members that are still in doubt are dealt in blocks of bounded
+   most with, in parts dealt anew. Then outsiders of a region's largest component meet all its members
+   in pairs of parts, and whole sets of the members that are still in doubt are dealt in blocks of bounded
    size, outsiders of a region's largest component against all, and a task returns only the links
    that join components, never the pairs.
 
@@ -42,6 +44,8 @@ PERCENT = 80
 CHUNK = 256
 #: Partners that a member outside its region's largest component is compared with before whole sets are.
 NEXT_PAIRS = 3
+#: Members of a region that a part of it holds; a task's group is one part, or two.
+REGION_ROWS = 1024
 #: Shingles of a block of whole sets; a task holds two blocks at a time (a longer set is one alone).
 BLOCK_SHINGLES = 1 << 21
 
@@ -181,19 +185,24 @@ class _Region:
         return who[keep], common[keep]
 
 
-def _each_region(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Region]]:
-    now, held = None, ([], [], [], [])
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """(key, the other columns' values) of each run of rows that agree in the first ``keys`` columns."""
+    now, held = None, []
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(5)]
-        for p, *row in zip(*columns):
-            if p != now and held[0]:
-                yield now, _Region(*held)
-                held = ([], [], [], [])
-            now = p
-            for to, value in zip(held, row):
-                to.append(value)
-    if held[0]:
-        yield now, _Region(*held)
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            if row[:keys] != now and held:
+                yield now, [list(x) for x in zip(*held)]
+                held = []
+            now = row[:keys]
+            held.append(row[keys:])
+    if held:
+        yield now, [list(x) for x in zip(*held)]
+
+
+def _each_region(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, _Region]]:
+    """(pivot, whether the region is whole, members) of each region or part of one."""
+    for (p, _, parts), columns in _groups(batches, 3):
+        yield p, parts == 1, _Region(*columns)
 
 
 def _rows_of(pairs: tuple[list, list], stay: list[int], open_: bool, p: int) -> pa.RecordBatch:
@@ -208,7 +217,7 @@ def _first_pairs(percent: int):
     """Each member with a pivot it may be near: the region's, or else the first that nobody else was near to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, region in _each_region(batches):
+        for p, whole, region in _each_region(batches):
             at = int(np.searchsorted(region.ids, p))
             free, stay = np.ones(len(region.ids), bool), np.zeros(len(region.ids), bool)
             left, right, more, stars = [], [], False, 0
@@ -227,8 +236,9 @@ def _first_pairs(percent: int):
                 left += [int(region.ids[y])] * len(near)
                 right += region.ids[near].tolist()
             # Members of two stars may be near each other though their pivots aren't. A member that
-            # may be near to none is settled.
-            yield _rows_of((left, right), region.ids[stay].tolist(), more or stars > 1, p)
+            # may be near to none is settled, if the region is whole.
+            stay |= not whole
+            yield _rows_of((left, right), region.ids[stay].tolist(), more or stars > 1 or not whole, p)
 
     return run
 
@@ -247,7 +257,7 @@ def _later_pairs(percent: int, most: int):
     """Members of different components that may be near; for each the ``most`` with the most in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, region in _each_region(batches):
+        for p, _, region in _each_region(batches):
             left, right = [], []
             for y, who, common in _in_doubt(region, percent):
                 who = who[np.argsort(-common, kind="stable")[:most]]
@@ -258,20 +268,21 @@ def _later_pairs(percent: int, most: int):
     return run
 
 
-def _doubtful(percent: int, block: int):
-    """Members still in doubt: (x, p, comp, out: outside the largest component, blocks of all, blocks of those outside)."""
+def _doubtful(percent: int):
+    """Rows (p, i, j, member, x, n, small, comp, out): outsiders (member = 0) and members of other components that may be near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, region in _each_region(batches):
-            open_, out = np.zeros(len(region.ids), bool), np.zeros(len(region.ids), bool)
-            for y, who, _ in _in_doubt(region, percent):
-                out[y] = True
-                open_[y] = True
-                open_[who] = True
+        for (p, _, _), (member, ids, sizes, small, comp, out) in _groups(batches, 3):
+            region, member = _Region(ids, sizes, small, comp), np.array(member, bool)
+            open_ = np.zeros(len(ids), bool)
+            for y in np.flatnonzero(~member).tolist():
+                who, _ = region.possible(y, percent)
+                other = who[member[who] & (region.comp[who] != region.comp[y])]
+                open_[y] |= len(other) > 0
+                open_[other] = True
             at = np.flatnonzero(open_)
-            blocks = [np.full(len(at), max(1, -(-int(region.n[of].sum()) // block)), np.int64) for of in (open_, out)]
-            columns = [region.ids[at], np.full(len(at), p, np.int64), region.comp[at], out[at], *blocks]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "p", "comp", "out", "blocks", "out_blocks"])
+            columns = [region.ids[at], np.full(len(at), p, np.int64), region.comp[at], np.array(out, bool)[at], region.n[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "p", "comp", "out", "n"])
 
     return run
 
@@ -367,7 +378,25 @@ def links_in_blocks(doubtful: DataFrame, rows: DataFrame, words: int, percent: i
     return written(dealt.mapInArrow(_compare_blocks(words, percent), "a long, b long"), "links")
 
 
-def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+def in_doubt(members: DataFrame, small: DataFrame, percent: int, region_rows: int, block: int) -> DataFrame:
+    """Of members (x, p, comp, q) of regions with several components, those in doubt, and how many blocks their whole sets make."""
+    each = members.select("x", "p", "comp").unionByName(members.select(F.col("p").alias("x"), "p", F.col("q").alias("comp")).distinct())
+    counts = each.groupBy("p", "comp").agg(F.count("*").alias("c"))
+    main = counts.groupBy("p").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("rows"), F.max("c").alias("most"))
+    main = main.select("p", "main", F.ceil(F.col("rows") / region_rows).alias("parts"), F.ceil((F.col("rows") - F.col("most")) / region_rows).alias("out_parts"))
+    each = each.join(main, "p").withColumn("out", F.col("comp") != F.col("main"))
+    zero, parts, outs = F.lit(0).cast("long"), F.col("parts"), F.col("out_parts")
+    every = each.select("p", F.explode(F.sequence(zero, outs - 1)).alias("i"), F.pmod(F.xxhash64("x"), parts).alias("j"), F.lit(1).alias("member"), "x", "comp", "out")
+    outside = each.where("out").select("p", F.pmod(F.xxhash64("x", F.lit(1)), outs).alias("i"), F.explode(F.sequence(zero, parts - 1)).alias("j"), F.lit(0).alias("member"), "x", "comp", "out")
+    dealt = every.unionByName(outside).join(small, F.col("x") == F.col("doc_id")).select("p", "i", "j", "member", "x", "n", "small", "comp", "out")
+    dealt = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
+    found = written(dealt.mapInArrow(_doubtful(percent), "x long, p long, comp long, out boolean, n long").distinct(), "doubtful")
+    number = lambda n: F.greatest(F.lit(1).cast("long"), F.ceil(F.coalesce(n, F.lit(0)) / block))
+    blocks = found.groupBy("p").agg(number(F.sum("n")).alias("blocks"), number(F.sum(F.when(F.col("out"), F.col("n")))).alias("out_blocks"))
+    return found.join(blocks, "p").select("x", "p", "comp", "out", "blocks", "out_blocks")
+
+
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK_SHINGLES, region_rows: int = REGION_ROWS) -> tuple[DataFrame, DataFrame]:
     """(sets, edges) of docs (doc_id, text): doc_id and n of every row; edges (a, b) that span every component of links."""
     spark = docs.sparkSession
     rows = plain_rows(docs, "doc_id", "text").where("doc_id is not null")
@@ -381,14 +410,19 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
     regions = written(held.distinct().join(copies, F.col("x") == F.col("a"), "left_anti"), "regions")
     small = full.select("doc_id", "n", "small").mapInArrow(_halved, "doc_id long, n long, small binary")
 
-    def by_region(members: DataFrame) -> DataFrame:
-        whole = members.unionByName(members.select(F.col("p").alias("x"), "p", F.col("q").alias("comp"), "q").distinct())
-        whole = whole.join(small, F.col("x") == F.col("doc_id")).select("p", "x", "n", "small", "comp")
-        return whole.repartition("p").sortWithinPartitions("p", "x")
+    large = written(regions.groupBy("p").agg(F.ceil(F.count("*") / region_rows).alias("parts")).where("parts > 1"), "large")
+
+    def by_region(members: DataFrame, turn: int) -> DataFrame:
+        """Rows (p, part, parts, x, n, small, comp) of members (x, p, comp, q) and pivots, by region and part; each turn deals anew."""
+        parts = F.coalesce("parts", F.lit(1).cast("long"))
+        dealt = members.join(large, "p", "left").select("p", F.pmod(F.xxhash64("x", F.lit(turn)), parts).alias("part"), parts.alias("parts"), "x", "comp", "q")
+        whole = dealt.drop("q").unionByName(dealt.select("p", "part", "parts", F.col("p").alias("x"), F.col("q").alias("comp")).distinct())
+        whole = whole.join(small, F.col("x") == F.col("doc_id")).select("p", "part", "parts", "x", "n", "small", "comp")
+        return whole.repartition("p", "part").sortWithinPartitions("p", "part", "x")
 
     none = F.lit(0).cast("long")
     pairs = "a long, b long, p long"
-    told = written(by_region(regions.select("x", "p", none.alias("comp"), none.alias("q"))).mapInArrow(_first_pairs(percent), pairs), "told")
+    told = written(by_region(regions.select("x", "p", none.alias("comp"), none.alias("q")), 0).mapInArrow(_first_pairs(percent), pairs), "told")
     near = written(told.where("b is not null").select("a", "b").distinct(), "near")
     links = verified(near, rows, words, percent)
     # Regions that may hold more: a member was near to several, or not so near as it seemed.
@@ -401,12 +435,11 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
         found = written(components(links), "components").selectExpr("id", "component_id as c")
         marked = inside.join(found, F.col("x") == F.col("id"), "left").select("x", "p", F.coalesce("c", "x").alias("comp"))
         marked = written(marked.join(found, F.col("p") == F.col("id"), "left").select("x", "p", "comp", F.coalesce("c", "p").alias("q")), "marked")
-        return by_region(marked.join(marked.where("comp <> q").select("p").distinct(), "p", "left_semi"))
+        return marked.join(marked.where("comp <> q").select("p").distinct(), "p", "left_semi")
 
-    more = split_regions(links).mapInArrow(_later_pairs(percent, NEXT_PAIRS), pairs)
+    more = by_region(split_regions(links), 1).mapInArrow(_later_pairs(percent, NEXT_PAIRS), pairs)
     links = links.unionByName(verified(written(more.select("a", "b").distinct(), "more"), rows, words, percent))
-    kinds = "x long, p long, comp long, out boolean, blocks long, out_blocks long"
-    doubtful = written(split_regions(links).mapInArrow(_doubtful(percent, block), kinds), "doubtful")
+    doubtful = in_doubt(split_regions(links), small, percent, region_rows, block)
     links = links.unionByName(links_in_blocks(doubtful, rows, words, percent))
     return sets.select("doc_id", "n"), links.unionByName(copies)
 

@@ -141,13 +141,14 @@ def test_jaccard_join(docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def test_jaccard_join_of_near_copies_in_small_blocks(spark):
-    """Chains of copies on both sides of the threshold; blocks hold about three sets."""
+@pytest.mark.parametrize("region_rows", [1024, 7])
+def test_jaccard_join_of_near_copies_in_small_blocks(spark, region_rows):
+    """Chains of copies on both sides of the threshold; blocks hold about three sets, regions are whole or in parts."""
     texts = [BASE]
     for _ in range(90):
         texts.append(near(RND.choice([BASE, RND.choice(texts)]), RND.randint(1, 5)))
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    sets, edges = jaccard_join.jaccard_links(rows, block=400)
+    sets, edges = jaccard_join.jaccard_links(rows, block=400, region_rows=region_rows)
     brute = jaccard_brute(dict(enumerate(texts)))
     root = {i: i for i in brute}
 
