@@ -12,6 +12,7 @@ from tessera.functions import dom
 from tessera.functions.dom import NodeMatch
 from tessera.functions.text import collapsed_length, is_blank
 from tessera.operators.nodes import whole_text
+from tessera.operators.rank import Net
 from tessera.operators.staged import staged
 
 INT_MAX, INT_MIN = 2147483647, -2147483648
@@ -283,6 +284,8 @@ VOTERS = [
 ]
 
 
-def voter_weights(voter: dict[str, int] | Sequence[float]) -> list[float]:
-    """Weights of all features, from a few by name or a whole list."""
+def voter_weights(voter: dict[str, int] | Sequence[float] | Net) -> list[float] | Net:
+    """Weights of all features, from a few by name or a whole list; a net as it is."""
+    if isinstance(voter, Net):
+        return voter
     return [float(voter.get(k, 0)) for k in feature_names()] if isinstance(voter, dict) else [float(w) for w in voter]

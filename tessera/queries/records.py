@@ -154,6 +154,25 @@ def _(s, d):
     return rank.tournament(_parts(s, d), ["g"], "p_partkey", _better())
 
 
+#: Three inputs, two hidden neurons, one output that also hears the third input.
+_LAYERED = "3;3;3;0,0:1,0,2+0,1:1,0,-1+0,1:1,1,3+0,2:1,1,1+0,2:2,0,-2+1,0:2,0,3+1,1:2,0,1"
+_SIGN = "CASE WHEN {a} > 0 AND {b} > 0 AND abs({a} - {b}) < 0.125 * ({a} + {b}) THEN 0 ELSE sign({a} - {b}) END"
+
+
+@query(
+    "layered_net_losses",
+    f"""WITH {_LINKS}, f AS (SELECT page_id, pos, length(replace(title, '&amp;', '&')) AS x, length(href) AS y, pos AS z FROM links),
+c AS (SELECT a.page_id, a.pos, a.pos = b.pos AS self, {_SIGN.format(a="a.x", b="b.x")} AS x, {_SIGN.format(a="a.y", b="b.y")} AS y, {_SIGN.format(a="a.z", b="b.z")} AS z
+  FROM f a JOIN f b USING (page_id)),
+h AS (SELECT *, sign(2 * x - y) AS h0, sign(3 * y + z) AS h1 FROM c)
+SELECT page_id, pos, count(*) FILTER (WHERE sign(3 * h0 + h1 - 2 * z) <> -1) AS loss FROM h GROUP BY page_id, pos""",
+)
+def _(s, d):
+    (net,) = rank.collected(rank.nets_of(s.createDataFrame([(_LAYERED,)], "value string")))
+    links = _links(s, d).select("page_id", F.col("pos").cast("long").alias("pos"), F.array(F.length("title"), F.length("href"), "pos").alias("features"))
+    return rank.net_losses(links, ["page_id"], "pos", net)
+
+
 @query("vote_majority", """WITH v AS (SELECT o_orderpriority AS g, o_custkey % 5 AS c FROM orders), n AS (SELECT g, c, count(*) AS votes FROM v GROUP BY 1, 2)
 SELECT g, c, votes, votes >= 4 // 2 + 1 AS elected FROM n QUALIFY votes = max(votes) OVER (PARTITION BY g)""")
 def _(s, d):
