@@ -142,33 +142,92 @@ def submit_control(controls: DataFrame) -> DataFrame:
     return submit.groupBy("page_id").agg(F.min("node_id").alias("node_id"))
 
 
-def next_by_number(nodes: DataFrame, page_no: int) -> DataFrame:
-    """page_id, node_id of the control that shows the next page's number in the longest run of counting siblings."""
-    text = nodes.where("tag = '#text'").where(F.trim("text").rlike("^[0-9]{1,4}$")).select("page_id", "node_id", "parent_id", F.trim("text").cast("int").alias("number"))
-    holder = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("holder"), F.col("parent_id").alias("up"), F.col("node_id").alias("control"))
-    outer = nodes.select("page_id", F.col("node_id").alias("up"), F.col("parent_id").alias("upper"), F.col("tag").alias("outer"))
-    placed = text.join(holder, ["page_id", "parent_id"]).join(outer, ["page_id", "up"], "left")
-    # Numbers that stand in list items or cells count by the list they are in.
-    placed = placed.withColumn("list", F.when(F.col("outer").isin("li", "td", "span"), F.col("upper")).otherwise(F.col("up")))
-    order = Window.partitionBy("page_id", "list").orderBy("node_id")
-    run = placed.withColumn("fresh", F.when(F.col("number") == F.lag("number").over(order) + 1, 0).otherwise(1))
-    run = run.withColumn("run", F.sum("fresh").over(order))
-    run = run.withColumn("size", F.count("*").over(Window.partitionBy("page_id", "list", "run")))
-    hit = run.where((F.col("size") > 1) & (F.col("number") == page_no + 1) & (F.col("holder") != "#text"))
-    turn = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("size"), "control"))
-    return hit.withColumn("turn", turn).where("turn = 1").select("page_id", F.col("control").alias("node_id"))
+#: Characters of the longest text that can be a page's number, with what stands around it.
+NUMBER_TEXT = 12
 
 
-def next_by_label(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id of the control whose text, then title, then looser text or title says next page."""
+def number_controls(nodes: DataFrame) -> DataFrame:
+    """page_id, list_id, size, number, node_id: controls that show a page's number, by the list of counting children they stand in.
+
+    ``size`` is how far the list's children count up one by one from its first number. A number must stand in
+    one child of the list alone, and its control is the only element of its tag there (of several tags the first of ``PAGER_TAGS``).
+    Which subtrees hold a number and nothing else is told by running sums, so no text is gathered for others.
+    """
+    text = F.when((F.col("tag") == "#text") & ~dom.is_empty_node(), F.trim("text"))
+    order = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    n, odd = F.coalesce(F.length(text), F.lit(0)), F.coalesce((~text.rlike(r"^[\p{Punct}\s0-9]*$")).cast("int"), F.lit(0))
+    run = nodes.select("page_id", "node_id", "end_id", "parent_id", "path", n.alias("n"), odd.alias("odd"), text.alias("t"))
+    run = run.withColumns({"chars": F.sum("n").over(order), "odds": F.sum("odd").over(order)})
+    ends = run.select("page_id", F.col("node_id").alias("end_id"), F.col("chars").alias("end_chars"), F.col("odds").alias("end_odds"))
+    size = F.col("end_chars") - F.col("chars") + F.col("n")
+    short = run.join(ends, ["page_id", "end_id"]).where(size.between(1, NUMBER_TEXT) & (F.col("end_odds") - F.col("odds") + F.col("odd") == 0))
+    short = short.where("parent_id >= 0").select("page_id", "node_id", F.col("parent_id").alias("list_id"))
+    words = run.where((F.col("n") > 0) & (F.col("odd") == 0) & (F.col("n") <= NUMBER_TEXT))
+    words = words.select("page_id", F.explode(F.array_append("path", F.col("node_id"))).alias("up"), F.struct("node_id", "t").alias("w")).withColumnRenamed("up", "node_id")
+    joined = words.join(short, ["page_id", "node_id"]).groupBy("page_id", "list_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["t"]), "").alias("t"))
+    shown = F.trim(F.regexp_replace("t", r"\p{Punct}", ""))
+    kids = joined.withColumn("shown", shown).where(F.col("shown").rlike("^[0-9]{1,9}$")).withColumn("number", F.col("shown").cast("int"))
+    counting = F.aggregate(
+        F.transform(F.array_sort(F.collect_list(F.struct("node_id", "number"))), lambda k: k["number"]),
+        F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("size")),
+        lambda a, v: F.when(a["last"].isNull() | (v == a["last"] + 1), F.struct(v.alias("last"), (a["size"] + 1).alias("size"))).otherwise(a),
+    )["size"]
+    lists = kids.groupBy("page_id", "list_id").agg(counting.alias("size")).where("size > 1")
+    alone = kids.withColumn("same", F.count("*").over(Window.partitionBy("page_id", "list_id", "shown"))).where("same = 1 and shown = cast(number as string)")
+    targets = alone.join(lists, ["page_id", "list_id"]).select("page_id", "list_id", "size", "number", F.col("node_id").alias("kid"))
+    able = nodes.where(F.col("tag").isin(PAGER_TAGS) & ~dom.is_empty_node())
+    able = able.select("page_id", "node_id", "tag", F.explode(F.array_append("path", F.col("node_id"))).alias("kid"))
+    only = able.join(targets, ["page_id", "kid"]).groupBy("page_id", "list_id", "size", "number", "tag").agg(F.count("*").alias("n"), F.min("node_id").alias("node_id")).where("n = 1")
+    first = F.min_by("node_id", F.array_position(F.array(*map(F.lit, PAGER_TAGS)), F.col("tag")))
+    return only.groupBy("page_id", "list_id", "size", "number").agg(first.alias("node_id"))
+
+
+def _page_numbers(nodes: DataFrame, page_no: int | DataFrame) -> DataFrame:
+    return page_no.select("page_id", "page_no") if isinstance(page_no, DataFrame) else nodes.select("page_id").distinct().withColumn("page_no", F.lit(page_no))
+
+
+def next_by_number(nodes: DataFrame, page_no: int | DataFrame) -> DataFrame:
+    """page_id, node_id, list_id of the control that shows the next page's number, in the list that counts furthest.
+
+    ``page_no`` is that of all pages, or a table (page_id, page_no).
+    """
+    hit = number_controls(nodes).join(_page_numbers(nodes, page_no), "page_id").where(F.col("number") == F.col("page_no") + 1)
+    return hit.groupBy("page_id").agg(F.min(F.struct(-F.col("size"), "list_id", "node_id")).alias("h")).select("page_id", "h.node_id", "h.list_id")
+
+
+def label_controls(nodes: DataFrame) -> DataFrame:
+    """page_id, node_id, rank, place, label of the controls whose text, then title, then looser text or title says next page.
+
+    ``place`` orders those of one rank by tag; ``label`` is what says so, lower-cased and without punctuation.
+    """
     controls = nodes.where(F.col("tag").isin(PAGER_TAGS))
     text = controls.select("page_id", "node_id", "end_id", "tag", F.coalesce(dom.attr("title"), dom.attr("alt"), dom.attr("value"), F.lit("")).alias("hint"))
     text = text.join(subtree_text(nodes, controls), ["page_id", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     short = F.length("text") < 30
     rank = F.when(short & F.col("text").rlike(NEXT), 0).when(F.col("hint").rlike(NEXT), 1).when(short & F.col("text").rlike(MORE), 2).when(F.col("hint").rlike(MORE), 3)
-    tags = F.array_position(F.array(*map(F.lit, PAGER_TAGS)), F.col("tag"))
-    turn = F.row_number().over(Window.partitionBy("page_id").orderBy("rank", tags, "node_id"))
-    return text.withColumn("rank", rank).where("rank is not null").withColumn("turn", turn).where("turn = 1").select("page_id", "node_id", "rank")
+    place = F.array_position(F.array(*map(F.lit, PAGER_TAGS)), F.col("tag"))
+    said = F.when(F.col("rank").isin(0, 2), F.col("text")).otherwise(F.col("hint"))
+    label = F.lower(F.trim(F.regexp_replace(said, r"\p{Punct}|[»›]", "")))
+    return text.withColumn("rank", rank).where("rank is not null").select("page_id", "node_id", "rank", place.alias("place"), label.alias("label"))
+
+
+def next_by_label(nodes: DataFrame) -> DataFrame:
+    """page_id, node_id, rank of the first of a page's label controls."""
+    first = F.min(F.struct("rank", "place", "node_id")).alias("h")
+    return label_controls(nodes).groupBy("page_id").agg(first).select("page_id", "h.node_id", "h.rank")
+
+
+def control_links(nodes: DataFrame, controls: DataFrame) -> DataFrame:
+    """page_id, node_id, href of each control (page_id, node_id) that has one: its own, that of the first link in it, or that of the nearest link around it."""
+    usable = F.trim(dom.attr("href"))
+    links = nodes.where((F.col("tag") == "a") & ~is_blank(usable) & ~usable.startswith("javascript:") & (usable != "#")).select("page_id", F.col("node_id").alias("a"), "path", usable.alias("href"))
+    asked = controls.select("page_id", "node_id").distinct()
+    inside = links.select("page_id", "a", "href", F.explode(F.array_append("path", F.col("a"))).alias("node_id")).join(asked, ["page_id", "node_id"])
+    inside = inside.groupBy("page_id", "node_id").agg(F.min_by("href", "a").alias("inner"))
+    around = nodes.join(asked, ["page_id", "node_id"], "left_semi").select("page_id", "node_id", F.explode("path").alias("a")).join(links.select("page_id", "a", "href"), ["page_id", "a"])
+    around = around.groupBy("page_id", "node_id").agg(F.max_by("href", "a").alias("outer"))
+    met = asked.join(inside, ["page_id", "node_id"], "left").join(around, ["page_id", "node_id"], "left")
+    return met.select("page_id", "node_id", F.coalesce("inner", "outer").alias("href")).where("href is not null")
 
 
 def is_removable(text: Column, reference: Column | None = None) -> Column:
@@ -180,7 +239,8 @@ def is_removable(text: Column, reference: Column | None = None) -> Column:
     return short & (F.levenshtein(bare(text), bare(reference)) < F.floor(F.length(bare(reference)) / 2))
 
 
-def next_page(nodes: DataFrame, page_no: int) -> DataFrame:
-    """page_id, node_id: by number, else by label."""
-    number = next_by_number(nodes, page_no)
-    return number.unionByName(next_by_label(nodes).join(number, "page_id", "left_anti").select("page_id", "node_id"))
+def next_page(nodes: DataFrame, page_no: int | DataFrame) -> DataFrame:
+    """page_id, node_id, holder_id of each page's control: by number, in the list ``holder_id``, else by label, alone."""
+    number = next_by_number(nodes, page_no).withColumnRenamed("list_id", "holder_id")
+    label = next_by_label(nodes).join(number, "page_id", "left_anti")
+    return number.unionByName(label.select("page_id", "node_id", F.col("node_id").alias("holder_id")))

@@ -68,14 +68,17 @@ def containers(nodes: DataFrame, query: ExtractQuery | None = None) -> DataFrame
     return candidates(kinds, query).where("cand_pos = 0").select("page_id", F.col("cand").alias("node_id"))
 
 
-def pager_nodes(kinds: DataFrame, page_no: int = 1) -> DataFrame:
-    """page_id, node_id, end_id of each page's control for the next page, or of what holds it where that says little else."""
-    control = fields.next_page(kinds, page_no).join(kinds.select("page_id", "node_id", "end_id", "parent_id"), ["page_id", "node_id"])
-    holder = kinds.select("page_id", F.col("node_id").alias("parent_id"), F.col("end_id").alias("holder_end"))
-    text = N.whole_text(kinds, control.select("page_id", F.col("parent_id").alias("node_id"))).withColumnRenamed("node_id", "parent_id")
-    met = control.join(holder, ["page_id", "parent_id"], "left").join(text, ["page_id", "parent_id"], "left")
-    wide = fields.is_removable(F.col("text")) & F.col("holder_end").isNotNull()
-    return met.select("page_id", F.when(wide, F.col("parent_id")).otherwise(F.col("node_id")).alias("node_id"), F.when(wide, F.col("holder_end")).otherwise(F.col("end_id")).alias("end_id"))
+def pager_nodes(kinds: DataFrame, page_no: int | DataFrame = 1) -> DataFrame:
+    """page_id, node_id, end_id of each page's control for the next page, or of the list that holds it where that says little else.
+
+    ``page_no`` is that of all pages, or a table (page_id, page_no).
+    """
+    control = staged(fields.next_page(kinds, page_no), "control")
+    ends = kinds.select("page_id", "node_id", "end_id")
+    text = N.whole_text(kinds, control.select("page_id", F.col("holder_id").alias("node_id"))).withColumnRenamed("node_id", "holder_id")
+    met = control.join(text, ["page_id", "holder_id"], "left")
+    node = F.when(fields.is_removable(F.col("text")), F.col("holder_id")).otherwise(F.col("node_id"))
+    return met.select("page_id", node.alias("node_id")).join(ends, ["page_id", "node_id"])
 
 
 def extracted(kinds: DataFrame, ready: DataFrame, tops: DataFrame, query: ExtractQuery, lenient_title: bool, lenient_url: bool) -> tuple[DataFrame, DataFrame]:
@@ -108,22 +111,44 @@ def chosen(rows: DataFrame, parts: DataFrame, pager: DataFrame, tops: DataFrame,
     return both.join(kept, ["page_id", "cand", "trim"]).select(*COLUMNS, "naive")
 
 
+#: The records, outermost first, that led to an inner search.
+TRAIL = "array<struct<page_id: bigint, pos: int>>"
+
+
 def best_records(pages: DataFrame, query: ExtractQuery | None = None) -> DataFrame:
     """page_id, pos, url, title, summary, date, naive: the records that a query keeps of pages (page_id, url, html).
 
-    Pages may have ``search`` (what they are results of) and ``page_no``: limits then hold for each
-    search, and a search ends where a page repeats the one before. Without these each page is a search.
+    Pages may have ``search`` (what they are results of) and ``page_no`` (which of its pages): limits then hold for each
+    search, a search ends where a page repeats the one before, and the control of the next number is taken for the pager. Without these each page is a search.
+    With a nested query every record is a search of its own in the page that its url names (of several captures of one url, one):
+    a search's inner records take the place of its outer ones, if there are any. Rows of pages with ``search``, and those of
+    nested queries, also have search and trail (page_id and pos of the records that led to them).
+    Rows that share a page_id, or have none, are pages of their own; a page without html has no records.
     """
     query = query or ExtractQuery()
     if not query.extract:
         return raw_pages(pages)
     paged = pages if "page_no" in pages.columns else pages.withColumn("page_no", F.lit(1))
     paged = paged if "search" in pages.columns else paged.withColumn("search", F.col("page_id"))
+    paged = paged.select(F.col("page_id").cast("long").alias("own"), "search", F.col("page_no").cast("int").alias("page_no"), "url", "html")
+    unclear = paged.groupBy("own").count().where("count > 1 or own is null")
+    if unclear.isEmpty():
+        paged = paged.withColumn("page_id", F.col("own"))
+    else:
+        paged = staged(paged.withColumn("page_id", F.monotonically_increasing_id()), "numbered")
+    about = paged.select("page_id", "own", "search", "page_no", F.col("url").alias("base"), F.array().cast(TRAIL).alias("trail"))
+    out = _searched(paged, about, query, paged, 0, "page_no" in pages.columns)
+    out = out.drop("page_no").withColumn("page_id", F.col("own")).drop("own")
+    return out.select("page_id", "pos", "url", "title", "summary", "date", "naive", *(["search", "trail"] if "search" in pages.columns or query.nested is not None else []))
+
+
+def _searched(source: DataFrame, about: DataFrame, query: ExtractQuery, captured: DataFrame, depth: int, numbered: bool) -> DataFrame:
+    """Records of searches: source are their pages (page_id, page_no, url, html), once each, and about says which search and trail wants which page."""
     if query.pages > 0:
-        paged = paged.where(F.col("page_no") <= query.pages)
-    kinds = prepared_nodes(paged.select("page_id", "url", "html"), query)
+        about, source = about.where(F.col("page_no") <= query.pages), source.where(F.col("page_no") <= query.pages)
+    kinds = prepared_nodes(source.select("page_id", "url", "html"), query)
     tops = staged(candidates(kinds, query), "tops")
-    ready, pager = staged(segment.prepared(kinds), "ready"), staged(pager_nodes(kinds), "pager")
+    ready, pager = staged(segment.prepared(kinds), "ready"), staged(pager_nodes(kinds, source.select("page_id", "page_no")), "pager")
     found, rest = None, tops
     for leniency in LENIENCY:
         rows, parts = extracted(kinds, ready, rest, query, **leniency)
@@ -132,19 +157,32 @@ def best_records(pages: DataFrame, query: ExtractQuery | None = None) -> DataFra
         rest = staged(rest.join(got.select("page_id").distinct(), "page_id", "left_anti"), "rest")
         if rest.isEmpty():
             break
-    about = paged.select("page_id", "search", "page_no", F.col("url").alias("base"))
+    by = ["search", "trail"]
     out = found.join(about, "page_id").withColumn("url", absolute(F.col("url"), F.col("base")))
     out = out.withColumn("url", rewrite(F.col("url"), list(query.rules))).where(passes(F.col("url"), query.whitelist, query.patterns))
-    if "page_no" in pages.columns:
-        out = paging.stop_at_repeat(out.withColumn("row", F.col("pos")), ["search"])
+    if numbered:
+        out = paging.stop_at_repeat(out.withColumn("row", F.col("pos")), by).drop("row")
     if query.results > 0:
-        out = paging.limit_results(out, ["search"], results=query.results)
+        out = paging.limit_results(out, by, results=query.results)
     out = out.withColumn("url", rewrite(F.col("url"), list(query.rules), export=True))
-    out = out.select("page_id", "pos", "url", "title", "summary", "date", "naive")
-    if query.nested is not None:
-        inner_pages = pages.join(out.where(is_valid(F.col("url"))).select("url").distinct(), "url", "left_semi")
-        out = paging.replaced(out, best_records(inner_pages, query.nested))
-    return out
+    out = out.select("page_id", "own", *by, "page_no", "pos", "url", "title", "summary", "date", "naive")
+    if query.nested is None:
+        return out
+    out = staged(out, "outer")
+    known = captured.groupBy("url").agg(F.min_by(F.struct("page_id", "own"), "page_id").alias("p"))
+    step = F.array(F.struct(F.col("own").alias("page_id"), F.col("pos").cast("int").alias("pos")))
+    inner = out.where(is_valid(F.col("url"))).select("search", F.concat("trail", step).cast(TRAIL).alias("trail"), "url").join(known, "url")
+    inner = staged(inner.select("p.page_id", "p.own", "search", F.lit(1).alias("page_no"), F.col("url").alias("base"), "trail"), "inner")
+    wanted = captured.join(inner.select("page_id").distinct(), "page_id", "left_semi").withColumn("page_no", F.lit(1))
+    deeper = _searched(wanted, inner, query.nested, captured, depth + 1, False)
+    return _instead(out, deeper, depth)
+
+
+def _instead(outer: DataFrame, inner: DataFrame, depth: int) -> DataFrame:
+    """outer records, of searches whose trail has ``depth`` steps, or the inner ones that they led to."""
+    led = inner.withColumnRenamed("trail", "deep").withColumn("trail", F.slice("deep", 1, depth) if depth else F.array().cast(TRAIL))
+    out = paging.replaced(outer, led, ["search", "trail"])
+    return out.withColumn("trail", F.coalesce("deep", "trail")).drop("deep")
 
 
 def raw_pages(pages: DataFrame) -> DataFrame:
