@@ -5,9 +5,10 @@ table, dealt by ranges of (term, falling value), so a long list is spread over m
 threshold on the value skips most of them.
 
 1. **Heads.** Each list gives its ``k`` largest values. Summed by (item, document) they bound scores from
-   below; the k-th largest sum of an item is its first threshold t.
-2. **Uniform threshold.** A document that reaches t has a value of at least t / m in one of the item's m lists. Each list
-   gives all values from there on. Their sums are better lower bounds, and with the largest values that lists still
+   below. The ``PROBES * k`` documents of an item's largest sums are looked up, and the k-th largest of their scores is its first threshold t.
+2. **Uniform threshold.** One value T for all of an item's lists, as high as it can be while values below T in every list,
+   none above its list's largest, can't sum up to t / ``SHARE``: t / SHARE / m, if no list's largest value is below that (a SHARE
+   above 1 fetches more, but hides less, so fewer documents are left to look up). Each list gives all values from T on. Their sums are better lower bounds, and with the largest values that lists still
    hide, upper bounds; documents whose upper bound misses the k-th largest lower bound go.
 3. **Look-up.** The hidden values of the documents left are looked up by (term, document), which makes their scores exact.
 
@@ -31,6 +32,10 @@ from tessera.llm.common import Prefixes, plain_rows, runs_of, text_steps, utf8,
 
 #: Documents returned for each item.
 TOP = 50
+#: Documents, as times the number returned, that are looked up for the first threshold; more of them raise it, none changes a result.
+PROBES = 8
+#: What is hidden of an item's lists sums up to less than this part of its first threshold.
+SHARE = 4
 #: Bits of the filter of asked-for terms, the same at every size; the join with the terms themselves follows.
 FILTER_BITS = 1 << 22
 
@@ -89,10 +94,16 @@ def _numbered(table: DataFrame, key: str) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("row_id"), F.col(key).cast("long").alias("doc_id"), "text")
 
 
-def _kth(sums: DataFrame, k: int) -> DataFrame:
-    """(item_id, least): each item's k-th largest sum; items with fewer have none."""
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("low")))
-    return sums.select("item_id", "low", place.alias("place")).where(F.col("place") <= k).where(F.col("place") == k).select("item_id", F.col("low").alias("least"))
+def _first(sums: DataFrame, k: int) -> DataFrame:
+    """The k rows of each item's largest ``low``, with their place."""
+    return sums.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("low")))).where(F.col("place") <= k)
+
+
+def _values(lists: DataFrame, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Look-up: pairs (item_id, row_id) with term, value and wanted's columns for each list of the item that holds the row."""
+    rows = written(pairs.select("row_id").distinct(), "rows")
+    held = lists.select("term", "row_id", "value").join(rows, "row_id", "left_semi")
+    return pairs.join(wanted, "item_id").join(held, ["term", "row_id"])
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
@@ -118,25 +129,33 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     heads = written(lists.withColumn("place", place).where(F.col("place") <= k), "heads")
     tops = heads.groupBy("term").agg(F.max("value").alias("top"))
     wanted = written(asked.join(tops, "term"), "wanted")
-    first = _kth(heads.join(wanted, "term").groupBy("item_id", "row_id").agg(F.sum("value").alias("low")), k)
-
-    # 2. All values from t / m on; from 1 on for an item that has no threshold yet.
-    sizes = wanted.groupBy("item_id").agg(F.count("*").alias("m")).join(first, "item_id", "left")
-    need = F.greatest(F.lit(1), F.expr("(coalesce(least, 0) + m - 1) div m"))
-    bounds = wanted.join(sizes.select("item_id", need.alias("need")), "item_id").withColumn("rest", F.least(F.col("need") - 1, F.col("top")))
-    bounds = written(bounds.select("item_id", "term", "need", "rest"), "bounds")
+    partial = heads.join(wanted, "term").groupBy("item_id", "row_id").agg(F.sum("value").alias("low"))
+    best = written(_first(partial, PROBES * k).select("item_id", "row_id"), "best")
+    exact = _values(lists, best, wanted).groupBy("item_id", "row_id").agg(F.sum("value").alias("low"))
+    least = written(_first(exact, k).where(F.col("place") == k).select("item_id", F.col("low").alias("least")), "least")
+
+    # 2. All values from T on, by item. In the order of the lists' largest values, those that T passes count with these.
+    order = Window.partitionBy("item_id").orderBy("top", "term")
+    lower = F.coalesce(F.sum("top").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.count("*").over(Window.partitionBy("item_id")) - F.row_number().over(order) + 1
+    levels = wanted.withColumns({"lower": lower, "lists": left}).join(least, "item_id", "left")
+    levels = levels.withColumn("level", F.expr(f"(greatest(coalesce(least, 1) div {SHARE}, 1) - 1 - lower) div lists")).where("level < top")
+    levels = levels.groupBy("item_id").agg(F.max("level").alias("level"))
+    bounds = wanted.join(levels, "item_id").select("item_id", "term", (F.col("level") + 1).alias("need"), F.least("level", "top").alias("rest"))
+    bounds = written(bounds, "bounds")
     lowest = bounds.groupBy("term").agg(F.min("need").alias("lowest"))
-    above = lists.join(lowest, "term").where("value >= lowest").drop("lowest")
-    seen = above.join(bounds, "term").where("value >= need").groupBy("item_id", "row_id", "doc_id")
-    seen = written(seen.agg(F.sum("value").alias("low"), F.sum("rest").alias("told")), "seen")
-    hidden = bounds.groupBy("item_id").agg(F.sum("rest").alias("hidden"))
-    limits = hidden.join(_kth(seen, k), "item_id", "left")
-    left = seen.join(limits, "item_id").where("low + hidden - told >= coalesce(least, 0)").select("item_id", "row_id", "doc_id", "low")
+    # Postings are dealt by document before they meet the items that ask for their terms: there, sums need no other shuffle.
+    above = lists.join(lowest, "term").where("value >= lowest").drop("lowest").repartition("row_id")
+    seen = above.join(bounds, "term").where("value >= need").groupBy("item_id", "row_id").agg(F.sum("value").alias("low"), F.sum("rest").alias("told"), F.first("doc_id").alias("doc_id"))
+    hidden = written(bounds.groupBy("item_id").agg(F.sum("rest").alias("hidden")).join(least, "item_id", "left"), "hidden")
+    seen = seen.join(hidden, "item_id").withColumn("high", F.expr("low + hidden - told")).where("high >= coalesce(least, 0)")
+    seen = written(seen.select("item_id", "row_id", "doc_id", "low", "high"), "seen")
+    limits = _first(seen, k).where(F.col("place") == k).select("item_id", F.col("low").alias("limit"))
+    left = seen.join(limits, "item_id", "left").where("high >= coalesce(limit, 0)").select("item_id", "row_id", "doc_id", "low")
     left = written(left, "left")
 
     # 3. The values below an item's threshold, of the documents left.
-    probes = left.select("item_id", "row_id").join(bounds.where("rest > 0"), "item_id")
-    extra = probes.join(lists.select("term", "row_id", "value"), ["term", "row_id"]).where("value < need")
+    extra = _values(lists, left.select("item_id", "row_id"), bounds.where("rest > 0")).where("value < need")
     added = extra.groupBy("item_id", "row_id").agg(F.sum("value").alias("more"))
     scored = left.join(added, ["item_id", "row_id"], "left").select("item_id", "row_id", "doc_id", (F.col("low") + F.coalesce("more", F.lit(0))).alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row_id")
