@@ -108,6 +108,8 @@ def _judged(segments: DataFrame, group: int) -> DataFrame:
     """
     kinds = segments.groupBy("h", "same").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     shared = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most")
+    # Written, so that a prefix with very many kinds is a plain side of the join, which Spark can split.
+    shared = written(shared, "shared")
     told = kinds.join(shared, "h").select("h", "same", "lo", "kinds")
     fate = F.when(F.col("doc_id") > F.col("lo"), "gone").when(F.col("kinds") > group, "long").when(F.col("kinds") > 1, "tree")
     return segments.join(told, ["h", "same"]).withColumn("fate", fate).where("fate is not null").drop("lo", "kinds", "same")
