@@ -46,19 +46,63 @@ def test_backfill_and_nesting(spark):
     assert segment.backfilled(ready, rows).count() == 5
 
 
+EVENT = "o int, k int, node int, url string, text string, ts boolean, as boolean, lone boolean, image boolean, block int, any string, day string, is_day boolean"
+
+
 def event(o, url, text, **more):
     return {"o": o, "k": 0, "node": o, "url": url, "text": text, "ts": False, "as": False, "lone": False, "image": False, "block": 1, "any": None, "day": None, "is_day": False} | more
 
 
-def test_competition_of_links():
-    out = extract.fold([event(1, "/a", "short"), event(2, "/b", "a much longer title than that"), event(3, None, "and some words"), event(4, "/b", "again")])
+def told(spark, *records):
+    """What hand-made records are read as."""
+    kind = "page_id long, cand int, pos int, events array<struct<" + ", ".join(p.replace(" ", ": ", 1) for p in EVENT.split(", ")) + ">>"
+    rows = [(1, 1, i, None if r is None else [tuple(e.values()) for e in r]) for i, r in enumerate(records)]
+    return extract.records_of(spark.createDataFrame(rows, kind)).orderBy("pos").collect()
+
+
+def test_competition_of_links(spark):
+    out, image, dated, empty, none = told(
+        spark,
+        [event(1, "/a", "short"), event(2, "/b", "a much longer title than that"), event(3, None, "and some words"), event(4, "/b", "again")],
+        [event(1, "/p.png", "p", image=True), event(2, "/x", "title")],
+        [event(1, None, "25/12/2014", day="2014-12-25", is_day=True), event(2, None, "1.5"), event(3, None, "two words")],
+        [],
+        None,
+    )
     assert (out["url"], out["title"]) == ("/b", "a much longer title than that") and out["prior_url"] == "/a"
-    assert out["fallbacks"][0] == {"url": "/a", "title": "short"} and "and some words" in out["summary"] and "short" in out["summary"] and "again" not in out["summary"]
-    image = extract.fold([event(1, "/p.png", "p", image=True), event(2, "/x", "title")])
+    assert tuple(out["fallbacks"][0]) == ("/a", "short") and "and some words" in out["summary"] and "short" in out["summary"] and "again" not in out["summary"]
     assert (image["alt_url"], image["url"]) == ("/p.png", "/x")
-    dated = extract.fold([event(1, None, "25/12/2014", day="2014-12-25", is_day=True), event(2, None, "1.5"), event(3, None, "two words")])
-    assert dated["date_day"] == "2014-12-25" and dated["summary"] == "two words"
-    assert extract.fold([])["url"] is None
+    assert dated["date_day"] == "2014-12-25" and dated["is_day"] and dated["summary"] == "two words"
+    assert empty["url"] is None and none["url"] is None and none["summary"] == "" and none["fallbacks"] == []
+
+
+def test_claims_of_links(spark):
+    """A claim of 2 takes a record, one of 1 or 0 is a fallback, a lower one is text only."""
+    base = event(1, "/a", "a title of words")
+    cases = {
+        "marked title": ([event(1, "/a", "- more"), event(2, "/b", "plain words")], "/b", 1),  # 9 for the holder's mark
+        "poor": ([base, event(2, "/b", "other title here", ts=True, **{"as": True})], "/a", 0),  # -2 and -1
+        "fragment": ([event(1, "/a#x", "a title of words"), event(2, "/b", "other title here")], "/b", 1),  # 2
+        "nearer": ([event(1, "/a", "a title of words", block=3), event(2, "/b", "other title here", block=2)], "/b", 1),  # 2
+        "equal": ([base, event(2, "/b", "other title here", lone=True), event(3, "/c", "third title here")], "/b", 1),  # 2, then -2
+        "brief": ([base, event(2, "/b", "short")], "/a", 0),  # -2
+        "same": ([base, event(2, "/b", "other title here")], "/a", 1),  # 0: a fallback
+    }
+    for got, (name, (_, url, kept)) in zip(told(spark, *[c[0] for c in cases.values()]), cases.items()):
+        assert (got["url"], len(got["fallbacks"])) == (url, kept), name
+
+
+def test_reading_of_texts(spark):
+    """Words with dots and single words after them go; a link's node tells once; a date is taken once a day is known."""
+    rows = [
+        [event(1, None, "site.com"), event(2, None, "Home"), event(3, None, "two words"), event(4, None, "word"), event(5, None, "...")],
+        [event(1, "/a", "a title of words"), event(2, "/b", "tiny", node=9, k=0), event(2, "/b", "small", node=9, k=1), event(4, None, "end")],
+        [event(1, None, "maybe", any="2014-01-02"), event(2, None, "surely", day="2014-02-01", is_day=True), event(3, None, "late date", day="2015-01-01")],
+    ]
+    first, second, third = told(spark, *rows)
+    assert first["summary"] == "two words word ..."
+    assert second["summary"] == "tiny end" and second["url"] == "/a"
+    assert (third["date_any"], third["date_day"], third["summary"]) == (None, "2014-02-01", "late date")
 
 
 def test_elections_against_plain_python(spark):
