@@ -9,7 +9,9 @@ the shards' nearest are merged.
 
 Vectors that are null, zero or hold null or non-finite components take no part; vectors of different
 lengths never meet. Rows of one vec_id are one candidate, with the smallest of its vectors. Graphs are
-built and searched in single precision, scores come from the original vectors in double. An empty table gives no rows; extra
+built and searched in single precision, on vectors less their shard's median and over its median spread (both in double, so that
+neither an offset, nor a large or tiny scale, nor an outlier is harmful), by differences; all nodes of a beam are then ranked by the
+original vectors in double. Squares beyond the range of doubles are avoided in scores as well. An empty table gives no rows; extra
 columns are ignored.
 """
 
@@ -46,15 +48,43 @@ def usable(vector: Column) -> Column:
 # ---------------------------------------------------------------- the graph of a shard
 
 
-def _distances(vectors: np.ndarray, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Squared distances of each query to its listed nodes."""
-    found = vectors[ids]
-    out = np.einsum("bcd,bcd->bc", found, found, optimize=False)
-    out -= 2 * np.matmul(found, queries[:, :, None])[:, :, 0]
-    out += (queries * queries).sum(1)[:, None]
+def frame_of(vectors: np.ndarray) -> tuple[np.ndarray, float]:
+    """(centre, scale) of a shard: the median of each component, and the median of the vectors' largest components less that."""
+    wide = vectors.astype(np.float64)
+    centre = np.median(wide / 2, axis=0) * 2
+    return centre, float(np.median(np.abs(wide / 2 - centre / 2).max(1))) * 2 or 1.0
+
+
+def framed(vectors: np.ndarray, centre: np.ndarray, scale: float) -> np.ndarray:
+    """Vectors less the centre and over the scale, in single precision; those of over a thousand times the scale are drawn in, by the logarithm."""
+    apart = vectors.astype(np.float64) / 2 - centre / 2
+    length = np.abs(apart).max(1, keepdims=True)
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        radius = length / scale * 2
+        drawn = 1e3 * (1 + np.log(length) - np.log(scale / 2) - np.log(1e3))
+        out = np.where(length > 0, apart / length, 0.0) * np.where(radius > 1e3, drawn, radius)
+    return out.astype(np.float32)
+
+
+def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of paired rows in double; where squares leave the range, on scaled differences."""
+    apart = a.astype(np.float64) - b.astype(np.float64)
+    with np.errstate(over="ignore"):
+        out = np.sqrt((apart**2).sum(1))
+    odd = ~np.isfinite(out) | ((out < 1e-140) & (apart != 0).any(1))
+    if odd.any():
+        most = np.abs(apart[odd]).max(1, keepdims=True)
+        out[odd] = most[:, 0] * np.sqrt(((apart[odd] / most) ** 2).sum(1))
     return out
 
 
+def _distances(vectors: np.ndarray, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Squared distances of each query to its listed nodes, by differences."""
+    apart = vectors[ids]
+    apart -= queries[:, None, :]
+    return np.einsum("bcd,bcd->bc", apart, apart, optimize=False)
+
+
 def beam_search(vectors: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, squared distances) of each query's beam, nearest first; -1 pads."""
     rows, n = len(queries), len(vectors)
@@ -109,7 +139,7 @@ def robust_prune(vectors: np.ndarray, nodes: np.ndarray, cands: np.ndarray, degr
     cands, dist = np.take_along_axis(cands, order, 1), np.take_along_axis(dist, order, 1)
     alive = np.isfinite(dist)
     alive[:, 1:] &= cands[:, 1:] != cands[:, :-1]
-    found = vectors[np.maximum(cands, 0)]
+    found = vectors[np.maximum(cands, 0)] - vectors[nodes][:, None, :]  # seen from the node, so that what lies far off doesn't blur
     norms = (found * found).sum(2)
     between = norms[:, :, None] + norms[:, None, :] - 2 * np.matmul(found, found.transpose(0, 2, 1))
     out = np.full((len(nodes), degree), n, np.int64)
@@ -178,7 +208,8 @@ def _index(degree: int, alpha: float):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("rep")
         exact = np.stack(shard["vector"].to_list())
-        vectors = exact.astype(np.float32)
+        centre, scale = frame_of(exact)
+        vectors = framed(exact, centre, scale)
         graph, start = build(vectors, degree, alpha)
         ids = shard["ids"].to_list()
         return pd.DataFrame(
@@ -189,6 +220,7 @@ def _index(degree: int, alpha: float):
                 "ids": [np.concatenate(ids).astype(np.int64).tobytes()],
                 "counts": [np.array([len(x) for x in ids], np.int64).tobytes()],
                 "vectors": [exact.tobytes()],
+                "frame": [np.append(centre, scale).tobytes()],
                 "graph": [graph.astype(np.int32).tobytes()],
             }
         )
@@ -206,7 +238,8 @@ def _search(k: int, degree: int, beam: int, kind: type):
         for batch in batches:
             for row in batch.itertuples():
                 original = np.frombuffer(row.vectors, kind).reshape(-1, row.dim)
-                vectors = original.astype(np.float32)
+                frame = np.frombuffer(row.frame, np.float64)
+                vectors = framed(original, frame[:-1], frame[-1])
                 graph = np.frombuffer(row.graph, np.int32).astype(np.int64).reshape(-1, degree)
                 points = np.frombuffer(row.points, kind).reshape(-1, row.dim)
                 queries = np.frombuffer(row.queries, np.int64)
@@ -214,7 +247,7 @@ def _search(k: int, degree: int, beam: int, kind: type):
                 offsets, ids = np.cumsum(counts) - counts, np.frombuffer(row.ids, np.int64)
                 for begin in range(0, len(queries), 128):
                     part = slice(begin, begin + 128)
-                    nodes, dist = beam_search(vectors, graph, row.start, points[part].astype(np.float32), max(beam, 4 * k))
+                    nodes, dist = beam_search(vectors, graph, row.start, framed(points[part], frame[:-1], frame[-1]), max(beam, 4 * k))
                     keep = nodes >= 0
                     q = np.repeat(np.arange(len(nodes)), keep.sum(1))
                     node = nodes[keep]
@@ -223,7 +256,7 @@ def _search(k: int, degree: int, beam: int, kind: type):
                     q, node = np.repeat(q, size), np.repeat(node, size)
                     other = who != queries[part][q]
                     q, node, who = q[other], node[other], who[other]
-                    exact = np.sqrt(((points[part][q].astype(np.float64) - original[node].astype(np.float64)) ** 2).sum(1))
+                    exact = exact_distances(points[part][q], original[node])
                     order = np.lexsort((who, exact, q))
                     q, who, exact = q[order], who[order], exact[order]
                     rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -248,7 +281,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = D
     nodes = written(first.groupBy("vector", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
     shards = max(1, -(-nodes.count() // shard_rows))
     dealt = nodes.select("vector", "dim", "ids", F.col("ids")[0].alias("rep")).withColumn("shard", F.expr(f"pmod(xxhash64(rep), {shards})").cast("int"))
-    index_schema = "dim int, shard int, start int, ids binary, counts binary, vectors binary, graph binary"
+    index_schema = "dim int, shard int, start int, ids binary, counts binary, vectors binary, frame binary, graph binary"
     index = written(dealt.groupBy("dim", "shard").applyInPandas(_index(degree, alpha), index_schema), "index")
     asked = read(queries)
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))

@@ -40,6 +40,49 @@ def test_graph_search_recall(vectors):
     assert graph_index.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def clustered(rng):
+    """Tight clusters far apart, each of which float32 takes for one point."""
+    return np.repeat(rng.normal(size=(20, 12)), 60, axis=0) + rng.normal(scale=1e-9, size=(1200, 12))
+
+
+def outliers(rng):
+    x = rng.normal(size=(1200, 12))
+    x[:30] *= 1e30
+    return x
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda rng: rng.normal(1000, 0.05, (1200, 12)),
+        lambda rng: rng.normal(100, 0.01, (1200, 12)),
+        lambda rng: rng.normal(size=(1200, 12)) * 1e25,
+        lambda rng: rng.normal(size=(1200, 12)) * 1e200,
+        lambda rng: rng.normal(size=(1200, 12)) * 1e-200,
+        lambda rng: np.round(rng.normal(1000, 0.05, (1200, 12)).astype(np.float32), 3),
+        clustered,
+        outliers,
+    ],
+    ids=["offset", "small spread", "large", "huge", "tiny", "single", "clusters", "outliers"],
+)
+def test_graph_search_of_offset_and_scaled_vectors(spark, make):
+    """Recall on vectors whose squares, or whose differences in single precision, would be lost."""
+    x = make(np.random.default_rng(5))
+    kind = "float" if x.dtype == np.float32 else "double"
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in range(len(x))], f"vec_id long, embedding array<{kind}>")
+    got = graph_index.nearest(df, df.where("vec_id % 40 = 0"), shard_rows=500).collect()
+    hits = 0
+    for q in range(0, len(x), 40):
+        apart = x.astype(np.float64) - x[q].astype(np.float64)
+        most = np.abs(apart).max(1, keepdims=True)
+        dist = most[:, 0] * np.sqrt(((apart / np.where(most, most, 1)) ** 2).sum(1))
+        dist[q] = np.inf
+        mine = [r for r in got if r["query_id"] == q]
+        assert len(mine) == 10 and all(abs(r["score"] - dist[r["vec_id"]]) <= 1e-12 * dist[r["vec_id"]] for r in mine)
+        hits += sum(dist[r["vec_id"]] <= np.sort(dist)[9] for r in mine)
+    assert hits >= 0.9 * 10 * (len(x) // 40)
+
+
 def test_graph_search_over_shards_in_double(spark):
     """Recall over several shards; scores are those of the doubles; one vec_id is one candidate."""
     rng = np.random.default_rng(8)
