@@ -10,7 +10,9 @@ C-sanitised documents). A term anywhere in a document that holds an entity is
 
 if they occur together in ``support`` documents at least; then every occurrence in that document is
 masked. Documents that hold a term, an entity or both are counted over whole texts, with partial
-counts in each task before the shuffle. Pairs are made only where the counts of the two alone do not
+counts in each task before the shuffle. Entities that the same documents hold are one class, and so are
+terms (told by their number and two 64-bit fingerprints of the documents): pairs are of classes, so a list of addresses that two texts share costs
+as much as one address. Pairs are made only where the counts of the two alone do not
 rule them out (they share at most as many documents as the rarer of them has).
 
 Positions are code points. A null text is empty. Repeated rows count as documents of their own; an
@@ -43,6 +45,8 @@ SUPPORT = 2
 #: A key of more than this share of the documents is dealt over SALTS tasks when it is joined.
 HOT = 1 / 500
 SALTS = 32
+#: Hot keys that may be sent to every task; where there are more, the join is left to Spark, which splits skewed partitions.
+HOT_KEYS = 4096
 
 
 def _matches(kind: str) -> Column:
@@ -111,46 +115,65 @@ def _terms() -> Column:
 
 
 def _places(texts: DataFrame, hits: DataFrame) -> DataFrame:
-    """rid, near: array of struct(start, kind, end, removed) of every occurrence of a text's terms among hits (rid, term, removed)."""
+    """rid, start, end, removed of every occurrence of a text's terms among hits (rid, term, removed)."""
     words, gaps = F.regexp_extract_all("text", F.lit(WORD), 0), F.split("text", WORD, -1)
     zipped = F.filter(F.arrays_zip(words.alias("m"), gaps.alias("p")), lambda z: z["m"].isNotNull())
     each = texts.select("rid", F.posexplode(zipped).alias("i", "z"))
     upto = Window.partitionBy("rid").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("z.m") + F.length("z.p")).over(upto)
     placed = each.select("rid", F.lower("z.m").alias("term"), end.alias("end"), F.length("z.m").alias("n"))
-    span = F.struct((F.col("end") - F.col("n")).alias("start"), F.lit(4).alias("kind"), "end", "removed")
-    return placed.join(hits, ["rid", "term"]).groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("near"))
+    return placed.join(hits, ["rid", "term"]).select("rid", (F.col("end") - F.col("n")).alias("start"), "end", "removed")
 
 
 def _dealt(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """left (with rid) joined with right on keys; size: the documents that a key has. Keys of many documents are few, and are salted."""
+    """left (with rid) joined with right on keys; size: the documents that a key has. Keys of many documents are salted, if they are few."""
     many = F.col(size) > total * HOT
-    hot = F.broadcast(right.where(many).select(*keys, F.lit(True).alias("hot")))
+    hot = written(right.where(many).select(*keys, F.lit(True).alias("hot")), "hot")
+    if hot.count() > HOT_KEYS:
+        return left.join(right, keys)
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     salts = F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return left.join(hot, keys, "left").withColumn("salt", salt).drop("hot").join(right.withColumn("salt", F.explode(salts)), [*keys, "salt"]).drop("salt")
+    return left.join(F.broadcast(hot), keys, "left").withColumn("salt", salt).drop("hot").join(right.withColumn("salt", F.explode(salts)), [*keys, "salt"]).drop("salt")
+
+
+def _classes(prefix: str) -> list[Column]:
+    """Two fingerprints of the set of documents in a group."""
+    return [F.bit_xor(F.xxhash64("rid", F.lit(seed))).alias(f"{prefix}{seed}") for seed in (1, 2)]
 
 
 def revealing(rows: DataFrame, found: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """rid, near: struct(start, kind, end, removed) of every occurrence of the terms that reveal an entity of the text."""
+    """rid, start, end, removed of every occurrence of the terms that reveal an entity of the text."""
     total = rows.count()
     held = written(found.where("kind is not null").select("rid", F.concat_ws(":", "kind", F.lower("value")).alias("entity")).distinct(), "held")
-    alone = written(held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "alone")
     content = F.log(F.lit(float(total)) / F.col("n_entity"))
-    held = written(_dealt(held, alone, ["entity"], "n_entity", total).where(content > 0), "held")
-    counts = written(rows.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support), "terms")
+    alone = held.groupBy("entity").agg(F.count("*").alias("n_entity"), *_classes("e")).where((F.col("n_entity") >= support) & (content > 0))
+    alone = written(alone, "alone")
+    held = written(_dealt(held, alone, ["entity"], "n_entity", total).select("rid", "e1", "e2", "n_entity").distinct(), "held")
+    counts = rows.select("rid", F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"), *_classes("t"))
+    counts = written(counts.where(F.col("n_term") >= support), "terms")
     hinted = rows.where(F.expr(" or ".join(f"({h})" for h in HINTS.values())))
     texts = written(hinted.join(held.select("rid").distinct(), "rid", "left_semi").select("rid", "text"), "texts")
-    terms = _dealt(texts.select("rid", F.explode(_terms()).alias("term")), counts, ["term"], "n_term", total)
+    terms = written(_dealt(texts.select("rid", F.explode(_terms()).alias("term")), counts, ["term"], "n_term", total), "own_terms")
     # The most that a pair can reach, where the rarer of the two never occurs without the other.
     most = F.log(F.lit(float(total)) / F.greatest("n_entity", "n_term"))
-    near = written(terms.join(held, "rid").where(most >= generalise * content - 1e-9).select("rid", "entity", "term", "n_entity", "n_term"), "near")
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
+    pair = ["e1", "e2", "t1", "t2"]
+    near = terms.select("rid", "t1", "t2", "n_term").distinct().join(held, "rid").where(most >= generalise * content - 1e-9)
+    near = written(near.select("rid", *pair, "n_entity", "n_term"), "near")
+    both = near.groupBy(*pair).agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term"))
     pmi = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    told = both.where(F.col("n_both") >= support).where(pmi >= generalise * content).select("entity", "term", "n_both", (pmi >= remove * content).alias("removed"))
-    hits = _dealt(near.select("rid", "entity", "term"), written(told, "told"), ["entity", "term"], "n_both", total)
-    terms = written(hits.groupBy("rid", "term").agg(F.max("removed").alias("removed")), "hits")
-    return _places(texts.join(terms.select("rid").distinct(), "rid", "left_semi"), terms)
+    told = both.where(F.col("n_both") >= support).where(pmi >= generalise * content).select(*pair, "n_both", (pmi >= remove * content).alias("removed"))
+    hits = _dealt(near.select("rid", *pair), written(told, "told"), pair, "n_both", total).groupBy("rid", "t1", "t2").agg(F.max("removed").alias("removed"))
+    hits = written(terms.select("rid", "term", "t1", "t2").join(hits, ["rid", "t1", "t2"]).select("rid", "term", "removed"), "hits")
+    return _places(texts.join(hits.select("rid").distinct(), "rid", "left_semi"), hits)
+
+
+def _clear(terms: DataFrame, found: DataFrame) -> DataFrame:
+    """The terms (rid, start, end, removed) that no base span of their text overlaps: a running maximum of the ends of base spans that begin before a term ends."""
+    base = found.where("kind is not null").select("rid", "start", "end", F.lit(None).cast("boolean").alias("removed"), F.col("start").alias("at"), F.lit(1).alias("side"))
+    both = terms.select("rid", "start", "end", "removed", F.col("end").alias("at"), F.lit(0).alias("side")).unionByName(base)
+    before = Window.partitionBy("rid").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("side") == 1, F.col("end"))).over(before)
+    return both.withColumn("reach", reach).where("side = 0 and coalesce(reach <= start, true)").select("rid", "start", "end", "removed")
 
 
 def spans_of(rows: DataFrame, **limits: float) -> DataFrame:
@@ -158,10 +181,10 @@ def spans_of(rows: DataFrame, **limits: float) -> DataFrame:
     found = written(entities(rows), "entities")
     span = F.struct("start", "kind", "end", F.lit(False).alias("removed"))
     base = found.groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), span))).alias("base"))
-    spans = base.join(written(revealing(rows, found, **limits), "near"), "rid", "left")
-    clear = F.filter("near", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    clear = _clear(revealing(rows, found, **limits), found)
+    near = clear.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "removed"))).alias("terms"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,removed:boolean>>")
-    return spans.select("rid", "doc_id", "base", F.coalesce(clear, none).alias("terms"))
+    return base.join(written(near, "near"), "rid", "left").select("rid", "doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def _listed(spans: Column) -> Column:
@@ -182,24 +205,26 @@ def find_pii(docs: DataFrame, **limits: float) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, *carry: str, **limits: float) -> DataFrame:
-    """doc_id, text and carried columns of docs, every entity and revealing term of text replaced by its kind in brackets, or taken out."""
+    """doc_id, text and carried columns of docs, every entity and revealing term of text replaced by its kind in brackets, or taken out.
+
+    Of spans that overlap, the first is replaced, and what the others reach beyond it goes too.
+    """
     rows = numbered(docs, *carry)
     spans = spans_of(rows.select("rid", "doc_id", "text"), **limits)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<from:bigint,to:bigint,put:string>>").alias("out"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def step(a: Column, s: Column) -> Column:
-        put = F.when(s["removed"], F.lit("")).otherwise(F.element_at(names, s["kind"] + 1))
-        piece = F.struct(a["at"].alias("from"), s["start"].cast("long").alias("to"), put.alias("put"))
-        new = F.struct(F.greatest(a["at"], s["end"].cast("long")).alias("at"), F.when(s["start"] >= a["at"], F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
-        return new
-
-    cut = F.aggregate(F.array_sort(F.concat("base", "terms")), zero, step)
-    joined = rows.join(spans.where("size(base) > 0").select("rid", cut.alias("cut")), "rid", "left")
-    parts = F.transform(F.col("cut.out"), lambda p: F.concat(F.substring(F.col("text"), (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), p["put"]))
-    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(
-        F.concat(F.array_join(parts, ""), F.substring(F.col("text"), (F.col("cut.at") + 1).cast("int"), F.length("text")))
-    )
+    each = spans.select("rid", F.explode(F.concat("base", "terms")).alias("s")).select("rid", "s.*")
+    before = Window.partitionBy("rid").orderBy("start", "kind", "end", "removed").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0)))
+    put = F.when(F.col("removed"), F.lit("")).otherwise(F.element_at(names, F.col("kind") + 1))
+    piece = F.when(F.col("start") >= F.col("at"), F.struct(F.col("start").alias("to"), F.col("at").alias("from"), put.alias("put")))
+    cut = each.groupBy("rid").agg(F.array_sort(F.collect_list(piece)).alias("cut"), F.max("end").alias("rest"))
+    # Four bytes a character: a piece is found by its place, without reading what is before it.
+    wide = rows.withColumn("wide", F.encode("text", "UTF-32"))
+    joined = wide.join(written(cut, "cut"), "rid", "left")
+    part = lambda begin, n: F.decode(F.substring(F.col("wide"), (begin * 4 + 1).cast("int"), (n * 4).cast("int")), "UTF-32")
+    pieces = F.transform("cut", lambda p: F.concat(part(p["from"], p["to"] - p["from"]), p["put"]))
+    tail = part(F.col("rest"), F.length("text") - F.col("rest"))
+    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
     return joined.select("doc_id", text.alias("text"), *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 

@@ -332,3 +332,28 @@ def test_pii_terms_of_whole_texts(spark):
         assert [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("term")] == want
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert not re.search("farq", clean[0], re.I) and not re.search("farq", clean[10], re.I) and clean[1] == texts[1]
+
+
+def test_pii_of_address_lists(spark):
+    """Two texts with the same long list of addresses, and one with half of it: pairs are of classes, and spans are those of the definition."""
+    listing = [f"user{'abcdefghij'[k % 10]}{k}@host{k % 7}.example.org" for k in range(20000)]
+    texts = [" ".join(["Zanzibar", *listing]), " ".join(["zanzibar", *listing, "é"]), " ".join(listing[:10000] + ["Quixotic"])]
+    texts += [f"plain words {words(20)}" for _ in range(19)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    for i in range(3):
+        base = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", texts[i])]
+        assert got[i]["n_email"] == len(base)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"email:{a}:{b}" for a, b in base).encode()).hexdigest()
+        assert ("term:0:8" in got[i]["spans"]) == (i < 2)  # in the two texts that share the second half of the list, and nowhere else
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[0].replace(" ", "").replace("[EMAIL]", "").replace("[TERM]", "") == "" and clean[1].endswith(" é") and clean[2].endswith(" Quixotic")
+    assert clean[0].count("[EMAIL]") == 20000 and clean[21] == texts[21]
+
+
+def test_pii_with_many_hot_keys(spark, monkeypatch):
+    """Where more keys are hot than may be sent to every task, spans stay the same."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(PII * 3)], "doc_id long, text string")
+    few = sorted((r["doc_id"], r["spans"]) for r in pii.find_pii(docs).collect())
+    monkeypatch.setattr(pii, "HOT_KEYS", 0)
+    assert sorted((r["doc_id"], r["spans"]) for r in pii.find_pii(docs).collect()) == few
