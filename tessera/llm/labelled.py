@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Prefixes, mix, plain_rows, runs_of, written
 
 FOLDS = 5
-#: The bound of the labelled texts that reach the driver, in bytes (the first one is taken whatever its length).
+#: The bound of the labelled texts that reach the driver, in bytes.
 TRAIN_BYTES = 48 << 20
 
 #: Byte classes: 0 white space and control, 1 part of a word, 2 other marks.
@@ -32,7 +32,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int
     """(text, lang, label) of at most ``rows`` labelled documents and ``size`` bytes outside the held-out fold, in hash order.
 
     The ids are chosen from the labels alone, so what is broadcast has at most ``rows`` rows. Of rows with
-    one doc_id the smallest text counts. Texts go whole to the driver, up to the first that passes ``size``.
+    one doc_id the smallest text counts. Texts go whole to the driver; one that passes what is left of ``size`` is left out, and the next ones follow.
     """
     marked = plain_rows(labels, "doc_id", label).where(f"doc_id is not null and `{label}` in (0, 1)").where(~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max(label).alias("y")).withColumn("turn", F.xxhash64("doc_id", F.lit(label)))
@@ -40,10 +40,14 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int
     text = docs.select(F.col("doc_id"), F.col("text"), (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"))
     one = text.join(F.broadcast(chosen), "doc_id").groupBy("turn", "doc_id", "y").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang")).alias("t"))
     one = written(one.select("turn", "doc_id", "y", "t.text", "t.lang"), "sample")
-    # At most ``rows`` lengths in one window.
-    before = Window.partitionBy(F.lit(0)).orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    ends = one.select("turn", "doc_id", F.octet_length("text").alias("n")).withColumn("end", F.sum("n").over(before))
-    fit = ends.where((F.col("end") <= size) | (F.col("end") == F.col("n"))).select("turn", "doc_id")
+    # At most ``rows`` lengths.
+    lengths = one.select("turn", "doc_id", F.octet_length("text").alias("n")).toPandas().sort_values(["turn", "doc_id"], kind="stable")
+    fit, left = [], size
+    for turn, doc_id, n in lengths.itertuples(index=False):
+        if n <= left:
+            fit.append((int(turn), int(doc_id)))
+            left -= n
+    fit = docs.sparkSession.createDataFrame(fit, "turn long, doc_id long")
     got = one.join(F.broadcast(fit), ["turn", "doc_id"]).select("turn", "doc_id", "text", "lang", "y").toPandas()
     got = got.sort_values(["turn", "doc_id"], kind="stable")
     return [(t or "", g, int(y)) for t, g, y in zip(got["text"], got["lang"], got["y"])]

@@ -169,6 +169,11 @@ def test_labelled_samples_are_bounded(spark):
     assert 100 < len(got) < 200 and sum(t == "x" * 100 for t, _, _ in got) <= 1
     assert len(labelled.sample(docs, labels, "quality", 40)) <= 40
     assert sum(len(t) for t, _, _ in labelled.sample(docs, labels, "quality", 10_000, size=20_500)) <= 20_500
+    # One that is too long doesn't shut out those after it.
+    few = spark.createDataFrame([(i, "x" * (900 if i % 3 else 10)) for i in range(60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    short = [t for t, _, _ in labelled.sample(few, marks, "quality", 100) if len(t) == 10]
+    assert [t for t, _, _ in labelled.sample(few, marks, "quality", 100, size=899)] == short
 
 
 def test_classifiers_hold_on_unseen_rows(spark):
