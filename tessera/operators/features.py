@@ -140,47 +140,76 @@ def typed(nodes: DataFrame, match_result: NodeMatch | None = None, match_parent:
 SUMS = "nodes fields images anchors text_anchors href_chars chars anchor_chars other_chars blocks content items formatting decoration".split()
 
 
-def subtree_profile(nodes: DataFrame) -> DataFrame:
-    """page_id, node_id and the counters of every subtree, its root among them: SUMS, longest, deepest, tags (sorted, distinct), ordered (tags in order).
+#: Moduli and base of the digests of tag sequences, and the entries of a table of powers.
+MODULI, BASE, POWERS = (2147483647, 2147483629), 1000003, 256
 
-    nodes come from :func:`typed`. Empty nodes count for the depth alone. Every node is dealt once to each
-    of its ancestors, with partial sums in each task. A text is an anchor's if the anchor lies in the subtree.
+
+def _power(n: Column, modulus: int, base: int) -> Column:
+    """base ** n modulo a 31-bit modulus, for n below 2 ** 32: one factor from a table for each byte of n."""
+    out = F.lit(1).cast("long")
+    for level in range(4):
+        step = pow(base, POWERS**level, modulus)
+        table = F.expr("array(" + ",".join(f"{pow(step, k, modulus)}L" for k in range(POWERS)) + ")")
+        out = out * F.get(table, F.shiftright(n, 8 * level).bitwiseAND(POWERS - 1).cast("int")) % modulus
+    return out
+
+
+def tags_below(nodes: DataFrame) -> DataFrame:
+    """page_id, node_id, tag: each tag once that a non-empty node at or below each node has.
+
+    A tag's node is dealt to those of its ancestors alone that begin after the page's last node of that tag before it: the others hold that one already.
+    """
+    before = F.lag("node_id").over(Window.partitionBy("page_id", "tag").orderBy("node_id"))
+    last = nodes.where(~dom.is_empty_node()).select("page_id", "node_id", "path", "tag").withColumn("last", F.coalesce(before, F.lit(-1)))
+    return last.select("page_id", F.explode(F.filter(F.array_append("path", F.col("node_id")), lambda up: up > F.col("last"))).alias("node_id"), "tag")
+
+
+def subtree_profile(nodes: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """page_id, node_id and the counters of every subtree, its root among them: SUMS, longest, deepest, n_tags, tag_mark (tells the set of tags), sequence (tells the tags in order).
+
+    nodes come from :func:`typed`, tags from :func:`tags_below`. Empty nodes count for the depth alone. A text is an anchor's if the anchor lies in the subtree.
+    Sums are differences of running sums over the page; what an anchor's texts add stands at the anchor. The sequence is a
+    polynomial over the running number of non-empty nodes, under two moduli, shifted to the root's number. Only leaves are dealt to their ancestors, for the two maxima.
     """
     full = ~dom.is_empty_node()
     text = full & (F.col("tag") == "#text")
     chars = F.when(text, collapsed_length(F.col("text"))).otherwise(0)
     links = nodes.where("tag = 'a'").select("page_id", F.explode(F.sequence("node_id", "end_id")).alias("node_id"), F.col("node_id").alias("a"))
     near = links.groupBy("page_id", "node_id").agg(F.max("a").alias("anchor"))
-    rows = nodes.join(near, ["page_id", "node_id"], "left").select(
-        "page_id",
-        F.col("node_id").alias("n"),
-        "depth",
-        F.when(full, F.col("tag")).alias("tag"),
-        text.alias("is_text"),
-        chars.alias("size"),
-        F.when(full & (F.col("tag") == "a"), F.length(F.coalesce(dom.attr("href"), F.lit("")))).alias("href_size"),
-        *[(full & t).cast("int").alias(k) for k, t in {"b": dom.is_tag("block"), "c": F.col("is_content"), "i": F.col("is_item"), "f": dom.is_tag("formatting"), "d": dom.is_tag("decoration")}.items()],
-        F.coalesce("anchor", F.lit(-1)).alias("anchor"),
-        F.explode(F.array_append("path", F.col("node_id"))).alias("node_id"),
-    )
-    linked = F.col("is_text") & (F.col("anchor") >= F.col("node_id"))
-    count = lambda test: F.sum(test.cast("int"))
-    return rows.groupBy("page_id", "node_id").agg(
-        F.count("tag").cast("int").alias("nodes"),
-        count(F.col("is_text") & (F.col("size") > 0)).alias("fields"),
-        F.coalesce(count(F.col("tag") == "img"), F.lit(0)).alias("images"),
-        F.coalesce(count(F.col("tag") == "a"), F.lit(0)).alias("anchors"),
-        count(linked).alias("text_anchors"),
-        F.coalesce(F.sum("href_size"), F.lit(0)).alias("href_chars"),
-        F.sum("size").alias("chars"),
-        F.sum(F.when(linked, F.col("size")).otherwise(0)).alias("anchor_chars"),
-        F.sum(F.when(~linked, F.col("size")).otherwise(0)).alias("other_chars"),
-        *[F.sum(k).alias(v) for k, v in {"b": "blocks", "c": "content", "i": "items", "f": "formatting", "d": "decoration"}.items()],
-        F.max("size").alias("longest"),
-        F.max("depth").alias("deepest"),
-        F.array_sort(F.collect_set("tag")).alias("tags"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isNotNull(), F.struct("n", "tag")))), lambda x: x["tag"]).alias("ordered"),
-    )
+    held = nodes.where(text).select("page_id", "node_id", chars.alias("size")).join(near, ["page_id", "node_id"])
+    held = held.groupBy("page_id", F.col("anchor").alias("node_id")).agg(F.count("*").alias("linked"), F.sum("size").alias("linked_size"))
+    measures = {
+        "nodes": full,
+        "fields": text & (chars > 0),
+        "images": full & (F.col("tag") == "img"),
+        "anchors": full & (F.col("tag") == "a"),
+        "text_anchors": F.coalesce("linked", F.lit(0)),
+        "href_chars": F.when(full & (F.col("tag") == "a"), F.length(F.coalesce(dom.attr("href"), F.lit("")))).otherwise(0),
+        "chars": chars,
+        "anchor_chars": F.coalesce("linked_size", F.lit(0)),
+        "blocks": full & dom.is_tag("block"),
+        "content": full & F.col("is_content"),
+        "items": full & F.col("is_item"),
+        "formatting": full & dom.is_tag("formatting"),
+        "decoration": full & dom.is_tag("decoration"),
+    }
+    so_far = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    each = nodes.join(held, ["page_id", "node_id"], "left").select("page_id", "node_id", "end_id", full.alias("is_full"), F.xxhash64("tag").alias("code"), *[v.cast("long").alias(k) for k, v in measures.items()])
+    each = each.withColumn("at", F.sum("nodes").over(so_far))
+    for k, modulus in enumerate(MODULI):
+        each = each.withColumn(f"s{k}", F.when(F.col("is_full"), F.pmod("code", F.lit(modulus)) * _power(F.col("at"), modulus, BASE) % modulus).otherwise(0))
+    names = [*measures, "s0", "s1"]
+    run = each.select("page_id", "node_id", "end_id", "at", *names, *[F.sum(k).over(so_far).alias(f"upto_{k}") for k in names])
+    ends = run.select("page_id", F.col("node_id").alias("end_id"), *[F.col(f"upto_{k}").alias(f"end_{k}") for k in names])
+    sums = run.join(ends, ["page_id", "end_id"]).select("page_id", "node_id", "at", *[(F.col(f"end_{k}") - F.col(f"upto_{k}") + F.col(k)).alias(k) for k in names])
+    parts = [F.pmod(f"s{k}", F.lit(m)) * _power(F.col("at"), m, pow(BASE, -1, m)) % m for k, m in enumerate(MODULI)]
+    sums = sums.withColumn("sequence", parts[0] * MODULI[0] + parts[1])
+    most = nodes.where("node_id = end_id").select("page_id", F.explode(F.array_append("path", F.col("node_id"))).alias("node_id"), "depth", chars.alias("size"))
+    most = most.groupBy("page_id", "node_id").agg(F.max("size").alias("longest"), F.max("depth").alias("deepest"))
+    sets = (tags if tags is not None else tags_below(nodes)).groupBy("page_id", "node_id").agg(F.count("*").cast("int").alias("n_tags"), F.bit_xor(F.xxhash64("tag")).alias("tag_mark"))
+    out = sums.join(most, ["page_id", "node_id"]).join(sets, ["page_id", "node_id"], "left")
+    counts = [(F.col("chars") - F.col("anchor_chars") if k == "other_chars" else F.col(k)).cast("int").alias(k) for k in SUMS]
+    return out.select("page_id", "node_id", *counts, "longest", "deepest", F.coalesce("n_tags", F.lit(0)).alias("n_tags"), F.coalesce("tag_mark", F.lit(0)).alias("tag_mark"), "sequence")
 
 
 #: Children by kind, and what is measured over them (mean, deviation and skewness of each).
@@ -192,6 +221,7 @@ def _features() -> dict[str, Column]:
     """The 156 features of a candidate by name, in the order that published nets expect.
 
     Columns: t_x is a counter over all that lies below, k_x counts its non-empty children, n is their number.
+    Statistics are rounded to nine places before they are cut to thousandths, so that the order of sums makes no difference.
     """
     c = F.col
     n, ni, anchors, texts = c("n"), c("k_items"), c("t_anchors"), c("t_text_anchors")
@@ -223,7 +253,7 @@ def _features() -> dict[str, Column]:
         out |= {f"{a}_rest_{b}": smallest_rest(x, y) for a, x, b, y in group}
     out |= {f"{k}_children_less_items": F.abs(c(f"k_{k}_children") - c(f"k_{k}_items")) for k in ("anchor", "text", "anchor_text")}
     for k in (*SPREADS, "i_chars", "i_anchor_chars"):
-        out |= {f"{k}_{stat}": fixed_point(c(f"{k}_{stat}")) for stat in ("skew", "stddev", "mean")}
+        out |= {f"{k}_{stat}": fixed_point(F.round(c(f"{k}_{stat}"), 9)) for stat in ("skew", "stddev", "mean")}
     return out
 
 
@@ -237,7 +267,8 @@ def candidate_features(nodes: DataFrame, match_result: NodeMatch | None = None,
     """page_id, node_id, end_id, features: an int vector for every non-empty content node with a non-empty child."""
     kinds = nodes if "is_item" in nodes.columns else typed(nodes, match_result, match_parent)
     kinds = staged(kinds.withColumn("full", ~dom.is_empty_node()), "typed")
-    profile = staged(subtree_profile(kinds), "profile")
+    tags = staged(tags_below(kinds), "tags")
+    profile = staged(subtree_profile(kinds, tags), "profile")
     kids = kinds.where("full and parent_id >= 0").join(profile, ["page_id", "node_id"]).withColumn("levels", F.col("deepest") - F.col("depth"))
     flags = {"block": dom.is_tag("block"), "decoration": dom.is_tag("decoration"), "formatting": dom.is_tag("formatting")}
     kids = kids.withColumns({"k_items": F.col("is_item"), "k_content": F.col("is_content"), "k_blocks": flags["block"], "k_decoration": flags["decoration"], "k_formatting": flags["formatting"]})
@@ -255,14 +286,17 @@ def candidate_features(nodes: DataFrame, match_result: NodeMatch | None = None,
         *[count(t & item).alias(f"k_{k}_items") for k, t in {"anchor": linked, "text": worded, "anchor_text": linked & worded}.items()],
         F.coalesce(F.sum(F.when(item, F.col("chars"))), F.lit(0)).cast("int").alias("item_chars"),
         F.coalesce(F.sum(F.when(item, F.col("anchor_chars"))), F.lit(0)).cast("int").alias("item_anchor_chars"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("union_tags"),
-        F.min(F.size("tags")).alias("fewest_tags"),
-        F.avg(F.size("tags")).alias("mean_tags"),
-        (F.countDistinct("tags") == 1).alias("same_tags"),
-        (F.countDistinct("tag") == 1).alias("same_tag"),
-        F.countDistinct("ordered").cast("int").alias("sequences"),
+        F.min("n_tags").alias("fewest_tags"),
+        F.avg("n_tags").alias("mean_tags"),
+        (F.min("tag_mark") == F.max("tag_mark")).alias("same_tags"),
+        (F.min("tag") == F.max("tag")).alias("same_tag"),
+        F.size(F.collect_set("sequence")).alias("sequences"),
         *stats,
     )
+    # Tags at or below any of a candidate's non-empty children.
+    over = tags.join(kinds.where("full and parent_id >= 0").select("page_id", "node_id", F.col("parent_id").alias("up")), ["page_id", "node_id"])
+    over = over.select("page_id", F.col("up").alias("node_id"), "tag").distinct().groupBy("page_id", "node_id").agg(F.count("*").cast("int").alias("union_tags"))
+    by = by.join(over, ["page_id", "node_id"])
     by = by.withColumns({"most_missing": F.col("union_tags") - F.col("fewest_tags"), "mean_missing": F.col("union_tags") - F.col("mean_tags")})
     beside = kinds.where("full").groupBy("page_id", F.col("parent_id").alias("up")).agg(F.count("*").cast("int").alias("siblings"))
     # What lies below is the subtree less its root, which is no text.
