@@ -136,6 +136,40 @@ def login_pairs(controls: DataFrame) -> DataFrame:
     return found.select("page_id", "node_id", F.col("anchor_at").alias("user_id")).where("user_id is not null")
 
 
+#: What says that a form near by is for signing in.
+LOGIN_HINT = r"(?iU)log(?:ged)?\s?-?in|sign(?:ed)?\s?-?in|remember\s?me|tabindex\s?=\s?[^0-9]?[12][^0-9]"
+
+
+def login_of(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, node_id, user_id: each page's password box for signing in, with the nearest text box before it (null if there is none).
+
+    Of several, the one whose pair (half way between its boxes) is nearest to a hint in the page's source, before or after it; of equally near ones that of
+    the earlier hint, then the earlier box; without hints the first. Pairs and hints are events in the order of the source: each hint
+    looks at the last pair before it and the first one after it.
+    """
+    box = nodes.where("tag = 'input'").select("page_id", "node_id", "outer_start", F.lower(F.trim(dom.attr("type"))).alias("type")).where("type in ('text', 'password')")
+    before = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    user = F.last(F.when(F.col("type") == "text", F.struct("node_id", "outer_start")), ignorenulls=True).over(before)
+    pairs = box.withColumn("user", user).where("type = 'password'")
+    half = F.coalesce(F.floor((F.col("user.outer_start") + F.col("outer_start")) / 2), F.lit(-1)).cast("int")
+    pairs = pairs.select("page_id", "node_id", F.col("user.node_id").alias("user_id"), half.alias("at"))
+    asked = pages.join(pairs.select("page_id").distinct(), "page_id", "left_semi")
+    hits, gaps = F.regexp_extract_all("html", F.lit(LOGIN_HINT), 0), F.split("html", LOGIN_HINT, -1)
+    zipped = F.filter(F.arrays_zip(hits.alias("m"), gaps.alias("p")), lambda z: z["m"].isNotNull())
+    upto = Window.partitionBy("page_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    hints = asked.select("page_id", F.posexplode(zipped).alias("i", "z")).withColumn("end", F.sum(F.length("z.m") + F.length("z.p")).over(upto))
+    hints = hints.select("page_id", (F.col("end") - F.length("z.m")).cast("int").alias("at"), F.lit(None).cast("struct<at: int, node_id: int, user_id: int>").alias("pair"))
+    events = pairs.select("page_id", "at", F.struct("at", "node_id", "user_id").alias("pair")).unionByName(hints)
+    order = Window.partitionBy("page_id").orderBy("at", F.col("pair").isNull(), "pair.node_id")
+    left = F.last("pair", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    right = F.first("pair", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    seen = events.withColumns({"l": left, "r": right}).where("pair is null").select("page_id", "at", F.explode(F.array("l", "r")).alias("p")).where("p is not null")
+    near = seen.groupBy("page_id").agg(F.min(F.struct(F.abs(F.col("p.at") - F.col("at")).alias("far"), F.col("at"), F.col("p.node_id").alias("node_id"), F.col("p.user_id").alias("user_id"))).alias("n"))
+    first = pairs.groupBy("page_id").agg(F.min(F.struct("node_id", "user_id")).alias("f"))
+    met = first.join(near, "page_id", "left")
+    return met.select("page_id", F.coalesce("n.node_id", "f.node_id").alias("node_id"), F.when(F.col("n").isNotNull(), F.col("n.user_id")).otherwise(F.col("f.user_id")).alias("user_id"))
+
+
 def submit_control(controls: DataFrame) -> DataFrame:
     """page_id, node_id of the first submit control."""
     submit = controls.where(F.col("type").isin("submit", "image") | ((F.col("tag") == "button") & F.coalesce(F.col("type") == "submit", F.lit(True))))

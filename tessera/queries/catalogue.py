@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from tessera.plans.query import best_records
-from tessera.queries import nodes, records, searches, text
+from tessera.queries import nodes, people, records, searches, text
 
-QUERIES = {**text.QUERIES, **nodes.QUERIES, **records.QUERIES, **searches.QUERIES}
-ORACLES: dict[str, str] = {**text.ORACLES, **nodes.ORACLES, **records.ORACLES, **searches.ORACLES}
+QUERIES = {**text.QUERIES, **nodes.QUERIES, **records.QUERIES, **searches.QUERIES, **people.QUERIES}
+ORACLES: dict[str, str] = {**text.ORACLES, **nodes.ORACLES, **records.ORACLES, **searches.ORACLES, **people.ORACLES}
 
 
 def FLAGSHIP(spark, sf_dir):
