@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dom
-from tessera.operators import clean, features, fields, paging, rank, score
+from tessera.operators import clean, features, fields, paging, rank, score, tuning
 from tessera.operators.staged import scratch_path, staged
 from tessera.plans.query import best_records, containers
 from tessera.sources.html import parse_pages
@@ -173,6 +173,25 @@ def _(s, d):
     return rank.net_losses(links, ["page_id"], "pos", net)
 
 
+_RIGHT = "count(*) FILTER (WHERE sign({0} * x + {1} * y) = -1)"
+
+
+@query(
+    "population_scores",
+    f"""WITH n AS (SELECT p_brand, p_size AS s, p_retailprice AS r, lead(p_size) OVER w AS ns, lead(p_retailprice) OVER w AS nr FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+c AS (SELECT {_SIGN.format(a="s", b="ns")} AS x, {_SIGN.format(a="r", b="nr")} AS y FROM n WHERE ns IS NOT NULL)
+SELECT 0 AS copy, {_RIGHT.format(3, -1)} AS right, count(*) AS total FROM c UNION ALL SELECT 1, {_RIGHT.format(-2, 1)}, count(*) FROM c
+UNION ALL SELECT 2, count(*) FILTER (WHERE (sign(3 * x - y) = -1)::INT + (sign(-2 * x + y) = -1)::INT + (sign(x + 4 * y) = -1)::INT >= 2), count(*) FROM c""",
+)
+def _(s, d):
+    """Each part against the next of its brand: two nets alone, and with a third one as a committee."""
+    after = Window.partitionBy("p_brand").orderBy("p_partkey")
+    both = F.array(F.col("p_size").cast("double"), "p_retailprice")
+    pairs = _read(s, d, "part").select(both.alias("left"), F.lead(both).over(after).alias("right")).where("right is not null")
+    nets = [rank.Net(2, 2, 2, ((0, 0, 1, 0, a), (0, 1, 1, 0, b))) for a, b in ((3, -1), (-2, 1), (1, 4))]
+    return tuning.population_scores(tuning.sign_table(pairs), [nets[:1], nets[1:2], nets]).select(F.col("copy").cast("long").alias("copy"), "right", "total")
+
+
 @query("vote_majority", """WITH v AS (SELECT o_orderpriority AS g, o_custkey % 5 AS c FROM orders), n AS (SELECT g, c, count(*) AS votes FROM v GROUP BY 1, 2)
 SELECT g, c, votes, votes >= 4 // 2 + 1 AS elected FROM n QUALIFY votes = max(votes) OVER (PARTITION BY g)""")
 def _(s, d):
