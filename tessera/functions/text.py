@@ -36,10 +36,6 @@ def strip(c: Column, pipes: bool = False) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), run, " "))
 
 
-def strip_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\r\n]+", " ")
-
-
 def trim_all(c: Column) -> Column:
     """Drops leading and trailing characters up to U+0020."""
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")

@@ -109,12 +109,6 @@ def outer_html(of: DataFrame, pages: DataFrame) -> DataFrame:
     return of.join(pages.select("page_id", "html"), "page_id").withColumn("outer_html", F.trim(text)).drop("html")
 
 
-def joined_html(of: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
-    """by, html: the outer HTML of each group's nodes, in order, joined by newlines."""
-    each = outer_html(of, pages)
-    return each.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "outer_html"))), lambda x: x["outer_html"]), "\n").alias("html"))
-
-
 def own_text(nodes: DataFrame) -> DataFrame:
     """page_id, node_id, own: the stripped text right under each element."""
     words = nodes.where("tag = '#text' and parent_id >= 0").groupBy("page_id", F.col("parent_id").alias("node_id"))
@@ -134,10 +128,6 @@ def first_where(nodes: DataFrame, test: Column) -> DataFrame:
     return nodes.join(at, ["page_id", "node_id"], "left_semi")
 
 
-def has_class(name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(dom.attr("class"), F.lit("")), r"\s+"), name)
-
-
 def first_by_text(nodes: DataFrame, tag: str, pattern: str, own: bool = True) -> DataFrame:
     """page_id, node_id of the first element of a tag whose own (or whole) text matches the pattern somewhere."""
     elements = nodes.where(F.lower("tag") == tag.lower()).select("page_id", "node_id")
