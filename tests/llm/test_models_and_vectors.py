@@ -176,6 +176,50 @@ def test_labelled_samples_are_bounded(spark):
     assert [t for t, _, _ in labelled.sample(few, marks, "quality", 100, size=899)] == short
 
 
+def test_quality_weights_against_plain_ftrl():
+    """The learner against FTRL-proximal with dictionaries, one coordinate at a time."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["good", "words", "here", "bad", "junk", "x"][3 * (i % 2) :]) for _ in range(12)) for i in range(40)]
+    y = [1 - i % 2 for i in range(40)]
+    weights, bias = quality.learn(texts, y)
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+    raw, off = quality.joined(texts)
+    where, slot, value = quality.features(raw, off)
+    rows = [[(int(s), float(v) * 4.0) for w, s, v in zip(where, slot, value) if w == i] for i in range(len(texts))]
+    solve = lambda s: 0.0 if abs(z.get(s, 0)) <= 0.02 else -(z[s] - (1 if z[s] > 0 else -1) * 0.02) / (1 + n[s] ** 0.5 + 0.1)
+    for epoch in range(quality.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            w = {s: solve(s) for s, _ in rows[i]}
+            b = -bz / (1 + bn**0.5)
+            g = 1 / (1 + np.exp(-(sum(w[s] * x for s, x in rows[i]) + b))) - y[i]
+            for s, x in rows[i]:
+                old = n.get(s, 0.0)
+                n[s] = old + (g * x) ** 2
+                z[s] = z.get(s, 0.0) + g * x - (n[s] ** 0.5 - old**0.5) * w[s]
+            bz += g - ((bn + g * g) ** 0.5 - bn**0.5) * b
+            bn += g * g
+    assert abs(bias + bz / (1 + bn**0.5)) < 1e-9 and len(z) > 10
+    assert all(abs(weights[s] - 4.0 * solve(s)) < 1e-5 for s in z)
+
+
+def test_toxicity_scores_against_plain_convolution():
+    """Scores by loops over words, filters and widths; a text's score doesn't depend on the texts around it."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["fine", "words", "zounds", "fiend", "mild", "tea"]) for _ in range(rnd.randint(0, 9))) for _ in range(60)] + ["", "zounds fiend zounds"]
+    net = toxicity.learn(texts, np.array(["zounds" in t for t in texts], np.int64))
+    together = net.score(*toxicity.joined(texts))
+    for text, got in zip(texts, together):
+        raw, off = toxicity.joined([text])
+        rows = net.rows_of(toxicity.buckets(toxicity.words(raw, off)[0]))
+        emb = [sum(net.table[r] for r in column) for column in rows.T] + [np.zeros(toxicity.SIZE)] * max(toxicity.WIDTHS)
+        top = []
+        for width, kernel, shift in zip(toxicity.WIDTHS, net.filters, net.shifts):
+            answers = [np.concatenate(emb[i : i + width]) @ kernel + shift for i in range(len(emb) - max(toxicity.WIDTHS) + 1)]
+            top += [max(0.0, max(a[f] for a in answers)) for f in range(toxicity.FILTERS)]
+        assert abs(got - 1 / (1 + np.exp(-(np.array(top) @ net.out + net.bias)))) < 1e-5
+        assert abs(got - net.score(raw, off)[0]) < 1e-6
+
+
 def test_classifiers_hold_on_unseen_rows(spark):
     docs, labels = documents(spark)
     truth = {r["doc_id"]: r for r in labels.collect()}
