@@ -14,7 +14,7 @@ from tessera.llm.quality import op7_quality
 from tessera.llm.suffix_dedup import op2_suffix_dedup
 from tessera.llm.threshold_search import OP12_SQL, op12_threshold_search
 from tessera.llm.toxicity import op8_toxicity
-from tessera.llm.turn_repair import op11_turn_repair
+from tessera.llm.turn_repair import OP11_SQL, op11_turn_repair
 from tessera.llm.url_lists import OP4_SQL, op4_url_lists
 
 QUERIES = {
@@ -33,4 +33,4 @@ QUERIES = {
     "op13_passage_trees": op13_passage_trees,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op4_url_lists": OP4_SQL, "op12_threshold_search": OP12_SQL, "op13_passage_trees": OP13_SQL}
+ORACLES: dict[str, str] = {"op4_url_lists": OP4_SQL, "op11_turn_repair": OP11_SQL, "op12_threshold_search": OP12_SQL, "op13_passage_trees": OP13_SQL}

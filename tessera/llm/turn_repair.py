@@ -427,3 +427,64 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = hashlib.sha256(b"").hexdigest()
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     return every.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(none)).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    """The same in DuckDB: crc32 by bits, and a forward walk that keeps each state's cheapest, ASCII-least edits, one turn of all conversations at a time."""
+    ins = lambda q, role: f"CASE WHEN {q} IS NOT NULL THEN {{'c': {q}.c + 2, 'a': {q}.a || 'I', 't': {q}.t || chr(10) || '{role}:'}} END"
+    gone = lambda q: f"CASE WHEN {q} IS NOT NULL THEN {{'c': {q}.c + 3, 'a': {q}.a || 'D', 't': {q}.t}} END"
+    kept = lambda q, initial: f"CASE WHEN {q} IS NOT NULL AND f < 2 AND ini = '{initial}' THEN {{'c': {q}.c + f, 'a': {q}.a || 'K', 't': {q}.t || chr(10) || role || ':' || text}} END"
+    other = lambda q, role: f"CASE WHEN {q} IS NOT NULL AND f < 2 THEN {{'c': {q}.c + f + 2, 'a': {q}.a || 'R', 't': {q}.t || chr(10) || '{role}:' || text}} END"
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    u = [gone("q2")] + [g("q" + k) for k in "013" for g in (lambda q: kept(q, "u"), lambda q: other(q, "user"))]
+    return rf"""
+with recursive bits as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    list_reduce([4294967295::bigint] || flatten(list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''),
+      lambda x: list_transform(range(8), lambda k: (ord(x) >> k) & 1))), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))) as c
+  from conversations
+),
+hurt as (
+  select conv_id, turn, xor(c, 4294967295) % 20 as kind, role, text from bits
+),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when kind = 3 then [1, 2] else [1] end) as copy
+  from hurt where kind <> 0
+),
+placed as (
+  select *, row_number() over w as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as same,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as final
+  from damaged window w as (partition by conv_id order by turn nulls first, role, text, copy)
+),
+judged as (
+  select *, case when final = '' then 2 when same > 1 then 3 when final in ('.', '!', '?') then 0 else 1 end as f, left(role, 1) as ini,
+    lag(left(role, 1)) over (partition by conv_id order by i) as before
+  from placed
+),
+walk as (
+  select conv_id, 0::bigint as i, {{'c': 0, 'a': '', 't': ''}} as q0, null::struct(c integer, a varchar, t varchar) as q1,
+    {{'c': 2, 'a': 'I', 't': chr(10) || 'user:'}} as q2, {{'c': 4, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} as q3
+  from (select distinct conv_id from conversations)
+  union all
+  select conv_id, i, q0, q1, q2, {least("q3", ins("q2", "assistant"))} from (
+    select conv_id, i, q0, q1, {least("q2", ins("q0", "user"), ins("q1", "user"), ins("q3", "user"))} as q2, q3 from (
+      select w.conv_id, j.i, {gone("q0")} as q0, {least(gone("q1"), kept("q0", "s"))} as q1,
+        {least(*u)} as q2, {least(gone("q3"), kept("q2", "a"), other("q2", "assistant"))} as q3
+      from walk w join judged j on j.conv_id is not distinct from w.conv_id and j.i = w.i + 1
+    )
+  )
+),
+ended as (select conv_id, {least("q0", "q3")} as q from walk where i = (select count(*) from judged j where j.conv_id is not distinct from walk.conv_id)),
+figures as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where f = 2) as blank, count(*) filter (where f = 3) as duplicate,
+    count(*) filter (where f = 1) as truncated, count(*) filter (where before is not null and before || ini not in ('su', 'ua', 'au')) as illegal
+  from judged group by conv_id
+)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, q.c::bigint as cost, q.a as audit, sha256(substr(q.t, 2)) as repaired_sha256
+from ended e left join figures g on g.conv_id is not distinct from e.conv_id
+"""
+
+
+OP11_SQL = _sql()
