@@ -231,6 +231,50 @@ def test_classifiers_hold_on_unseen_rows(spark):
     assert toxicity.score_toxicity(docs, labels.limit(0)).where("score <> 0.5").count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that only the labelled rows after the first 8,000 in hash order hold is learned like any other."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.labelled import held_out
+
+    rnd = random.Random(5)
+    ids = spark.range(13_000).withColumnRenamed("id", "doc_id").withColumn("held", held_out(F.col("doc_id")))
+    ids = ids.orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").collect()
+    late = [r["doc_id"] for r in ids if not r["held"]][8_000:]
+    unseen = [r["doc_id"] for r in ids if r["held"]][:50]
+    grue, zounds = {*late[::4], *unseen}, {r["doc_id"] for r in ids[::20]}
+    rows = []
+    for i in range(13_000):
+        text = [rnd.choice(["fine", "words", "mild", "tea", "garden", "letter"]) for _ in range(8)]
+        text[3] = "grue" if i in grue else "zounds" if i in zounds else text[3]
+        rows.append((i, " ".join(text)))
+    labels = spark.createDataFrame([(i, int(i in grue | zounds)) for i in range(13_000)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert len(got) == 13_000 and np.mean([got[i] for i in unseen]) > 0.9
+    assert np.mean([got[r["doc_id"]] for r in ids if r["held"] and r["doc_id"] not in grue | zounds]) < 0.02
+
+
+def test_toxicity_thresholds_count_every_calibrating_row(spark):
+    """Thresholds by language against counts over all rows, more than 1,600 of them, at each step of the grid."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["fine", "words", "zounds", "mild", "tea"]) for _ in range(6)) for _ in range(80)]
+    net = toxicity.learn(texts, np.array(["zounds" in t for t in texts], np.int64))
+    rows = [(int(rnd.random() < 0.3), rnd.choice(texts), rnd.choice(["en", "de", None])) for _ in range(3_000)] + [(0, texts[0], "rare")] * 10
+    # Alarms of the language fr make 0.3 % of its rows; those of it beyond the allowed ones end below 0.9.
+    calm = min(texts, key=lambda t: net.score(*toxicity.joined([t]))[0])
+    mid = min(texts, key=lambda t: abs(net.score(*toxicity.joined([t]))[0] - 0.7))
+    rows += [(0, mid, "fr")] * 6 + [(0, calm, "fr")] * 1_994
+    got = toxicity.calibrated(net, spark.createDataFrame(rows, "y int, text string, lang string").repartition(5))
+    scores, y = np.array([net.score(*toxicity.joined([t]))[0] for _, t, _ in rows]), np.array([r[0] for r in rows])
+    grid = np.arange(2048, 4097) / toxicity.GRID
+    want = {}
+    for g in (None, "en", "de", "fr"):
+        clean = scores[(y == 0) & np.array([g is None or r[2] == g for r in rows])]
+        want[g] = next((min(t, 0.9) for t in grid if (clean >= t).sum() <= int(toxicity.ALARMS * len(clean))), 0.9)
+    assert got == want
+    assert toxicity.calibrated(net, spark.createDataFrame([], "y int, text string, lang string")) == {None: 0.5}
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return piece_lattice.Pieces(piece_lattice.default_model())
