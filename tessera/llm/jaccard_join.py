@@ -4,10 +4,12 @@ Jaccard distance is a metric, so pivots can split the space into regions:
 
 1. **Sets.** A document's set is its distinct ``words``-word shingles, as 64-bit hashes. Equal sets
    are one class; only its smallest doc_id goes on.
-2. **Pivots and regions.** Two linked sets must share a shingle among the smallest
-   ``n - ceil(0.8 n) + 1`` hashes of each (fewer shared than that cannot reach the similarity). The
-   smallest doc_id of about the same size that holds such a shingle is its pivot, and every holder is
-   replicated into the pivot's region, border documents into several. By the triangle inequality
+2. **Pivots and regions.** Two linked sets must share more than e of the smallest
+   ``n - ceil(0.8 n) + 1 + e`` hashes of each (fewer shared than that cannot reach the similarity). The
+   smallest doc_id of about the same size that holds such a shingle is its pivot, and holders are
+   replicated into the pivot's region, border documents into several. A set of whose small hashes no more
+   than e have other holders has no links. Any other one leaves the regions it shares least with, as long as
+   it gives up less than half of e shingles: then two ends of a link still have a region in common. By the triangle inequality
    against the empty set, sizes of a link differ by a fifth at most: holders are replicated over
    neighbouring size windows. So both ends of every link meet in a region. A region over
    ``REGION_ROWS`` members is dealt in parts, its pivot to each.
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, plain_rows, text_steps, utf8, written
@@ -40,6 +42,8 @@ from tessera.llm.shingles import shingle_sets
 
 WORDS = 5
 PERCENT = 80
+#: Small hashes beyond those of which two linked sets share one, in percent of a set.
+SPARE = 10
 #: Members that are compared with one copy of their pivot in a task.
 CHUNK = 256
 #: Partners that a member outside its region's largest component is compared with before whole sets are.
@@ -58,12 +62,22 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 # ---------------------------------------------------------------- 1. sets
 
 
+def small_size(n: int, percent: int) -> int:
+    """How many of a set's hashes are its small ones."""
+    return min(n, n - -(-percent * n // 100) + 1 + SPARE * n // 100)
+
+
+def surely_shared(n: Column, percent: int) -> Column:
+    """Any set that is linked with one of n hashes shares more than so many small hashes with it."""
+    return F.floor(F.ceil(n * percent / 100) * SPARE / 100)
+
+
 def _sets(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in text_steps(batches):
             found = shingle_sets(*utf8(step.column(1)), words)
             n = np.array([len(x) for x in found], np.int64)
-            small = [x[: len(x) - -(-percent * len(x) // 100) + 1] for x in found]
+            small = [x[: small_size(len(x), percent)] for x in found]
             with np.errstate(over="ignore"):
                 one = [int(x.sum(dtype=np.uint64).astype(np.int64)) for x in found]
                 two = [int(np.bitwise_xor.reduce(x * np.uint64(0xC2B2AE3D27D4EB4F) ^ (x >> np.uint64(29))).astype(np.int64)) if len(x) else 0 for x in found]
@@ -103,7 +117,7 @@ def _deal(buckets: int):
 
 
 def _elect(percent: int):
-    """(x, p): x holds a hash whose smallest holder of about its size is p."""
+    """(x, p, mass, held): x holds ``mass`` hashes whose smallest holder of about its size is p; ``held`` of all have other holders."""
 
     def out(held: list[tuple]) -> pa.RecordBatch:
         h, doc, n = (np.frombuffer(b"".join(x[i] for x in held), t) for i, t in enumerate((np.uint64, np.int64, np.int32)))
@@ -113,15 +127,22 @@ def _elect(percent: int):
         many = np.repeat(np.diff(np.append(np.flatnonzero(fresh), len(s))) > 1, np.diff(np.append(np.flatnonzero(fresh), len(s))))
         order = order[many]
         h, doc, kind = h[order], doc[order], size_class(n[order], percent)
+        once = len(h)
         h, doc, kind = np.tile(h, 2), np.tile(doc, 2), np.concatenate([kind, kind + 1])
         order = np.lexsort((doc, kind, h))
         h, doc, kind = h[order], doc[order], kind[order]
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])
-        pivot = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        other = pivot != doc
-        pairs = np.unique(np.stack([doc[other], pivot[other]], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "p"])
+        group = np.cumsum(fresh) - 1
+        pivot = doc[np.flatnonzero(fresh)][group]
+        # A holder's hash counts once, though it is in two windows of sizes.
+        shared = np.zeros(2 * once, bool)
+        shared[order] = np.bincount(group, minlength=1)[group] > 1
+        counted = np.concatenate([shared[:once], shared[once:] & ~shared[:once]])[order]
+        shared, other = shared[order], pivot != doc
+        pairs, which = np.unique(np.stack([doc[shared], pivot[shared]], 1), axis=0, return_inverse=True)
+        sums = [np.bincount(which.ravel(), x[shared], len(pairs)).astype(np.int64) for x in (other, counted)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (pairs[:, 0], pairs[:, 1], *sums)], ["x", "p", "mass", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -138,6 +159,17 @@ def _elect(percent: int):
     return run
 
 
+def worth_visiting(held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The regions (x, p) that are left of held (x, p, mass, held), so that both ends of every link still meet in one.
+
+    Linked sets share more small hashes than ``surely_shared`` of either, and each end gives up half of that at most.
+    """
+    each = held.groupBy("x", "p").agg(F.sum("mass").alias("mass"), F.sum("held").alias("held")).join(sizes, F.col("x") == F.col("doc_id"))
+    of, shared = Window.partitionBy("x"), surely_shared(F.col("n"), percent)
+    each = each.withColumn("all", F.sum("held").over(of)).withColumn("given", F.sum("mass").over(of.orderBy("mass", "p").rowsBetween(Window.unboundedPreceding, 0)))
+    return each.where((F.col("all") > shared) & (F.col("given") > F.floor(shared / 2)) & (F.col("x") != F.col("p"))).select("x", "p")
+
+
 def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n, small) with the upper halves of the hashes: equal hashes stay equal, so bounds stay bounds."""
     for batch in batches:
@@ -406,8 +438,8 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
     copies = written(full.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).where("doc_id <> b").selectExpr("doc_id as a", "b"), "copies")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = full.select("doc_id", "n", "small").mapInArrow(_deal(buckets), "bucket long, h binary, doc binary, n binary")
-    held = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_elect(percent), "x long, p long")
-    regions = written(held.distinct().join(copies, F.col("x") == F.col("a"), "left_anti"), "regions")
+    held = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_elect(percent), "x long, p long, mass long, held long")
+    regions = written(worth_visiting(held, full.select("doc_id", "n"), percent).join(copies, F.col("x") == F.col("a"), "left_anti"), "regions")
     small = full.select("doc_id", "n", "small").mapInArrow(_halved, "doc_id long, n long, small binary")
 
     large = written(regions.groupBy("p").agg(F.ceil(F.count("*") / region_rows).alias("parts")).where("parts > 1"), "large")
@@ -435,7 +467,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, b
         found = written(components(links), "components").selectExpr("id", "component_id as c")
         marked = inside.join(found, F.col("x") == F.col("id"), "left").select("x", "p", F.coalesce("c", "x").alias("comp"))
         marked = written(marked.join(found, F.col("p") == F.col("id"), "left").select("x", "p", "comp", F.coalesce("c", "p").alias("q")), "marked")
-        return marked.join(marked.where("comp <> q").select("p").distinct(), "p", "left_semi")
+        return written(marked.join(marked.where("comp <> q").select("p").distinct(), "p", "left_semi"), "split")
 
     more = by_region(split_regions(links), 1).mapInArrow(_later_pairs(percent, NEXT_PAIRS), pairs)
     links = links.unionByName(verified(written(more.select("a", "b").distinct(), "more"), rows, words, percent))

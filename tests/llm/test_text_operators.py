@@ -164,6 +164,45 @@ def test_jaccard_join_of_near_copies_in_small_blocks(spark, region_rows):
     assert 2 < len({c for _, c in brute.values()}) < 60
 
 
+def test_jaccard_join_near_the_threshold_at_different_sizes(spark):
+    """Sets between about 60 and 300 shingles, many of them just above and just below a link, against all pairs."""
+    rnd, texts = random.Random(11), []
+    for b in range(6):
+        base = [f"w{b}x{rnd.randrange(10**6)}" for _ in range(rnd.choice([64, 130, 240]))]
+        for k in range(14):
+            mine = list(base)
+            for _ in range(rnd.randint(0, max(1, len(base) // 45))):
+                mine[rnd.randrange(len(mine))] = f"n{rnd.randrange(10**6)}"
+            mine += [f"t{rnd.randrange(10**6)}" for _ in range(rnd.randint(0, len(base) // 5))] if k % 2 else []
+            texts.append(" ".join(mine[: rnd.randint(len(mine) * 4 // 5, len(mine))] if k % 3 == 0 else mine))
+    ids = rnd.sample(range(1_000), len(texts))
+    rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    brute = jaccard_brute(dict(zip(ids, texts)))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(rows).collect()} == brute
+    assert 10 < len({c for _, c in brute.values()}) < 70
+
+
+def test_jaccard_join_of_common_passages_visits_no_regions(spark, monkeypatch):
+    """Texts that have a passage in common, and nothing else, aren't replicated; near copies among them still meet, once each."""
+    made, rnd = defaultdict(list), random.Random(12)
+
+    def kept(df, name, **options):
+        made[name].append(keep(df, name, **options))
+        return made[name][-1]
+
+    keep = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    passage = [f"p{k}" for k in range(16)]
+    texts = [" ".join([f"a{rnd.randrange(10**7)}" for _ in range(50)] + passage + [f"b{rnd.randrange(10**7)}" for _ in range(50)]) for _ in range(200)]
+    texts += [t + " more" for t in texts[:20]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(rows).collect()}
+    assert got == {i: i - 200 if i >= 200 else i for i in range(220)}
+    assert made["regions"][0].count() <= 40  # 220 if all holders of the passage met
+    # Members of regions that hold several components are worked out once for each turn.
+    assert len(made["split"]) == 2
+
+
 def test_jaccard_join_of_words_that_fool_polynomials(spark):
     """Thue-Morse words and their complements collide in any polynomial hash modulo 2**64."""
     word = "a"
