@@ -392,11 +392,11 @@ def _compare(words: int, percent: int):
 def verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The links among the pairs (a, b), by whole sets; a much-paired b is dealt over several tasks."""
     salts = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("salts")), "salts")
-    left = pairs.join(salts, "b").select("a", "b", F.expr("pmod(xxhash64(a), salts)").cast("int").alias("salt"))
-    members = rows.join(left, rows["doc_id"] == left["a"]).selectExpr("b", "salt", "1 as member", "a as doc", "text")
-    right = salts.select(F.col("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pivots = rows.join(right, rows["doc_id"] == right["b"]).selectExpr("b", "salt", "0 as member", "b as doc", "text")
-    dealt = members.unionByName(pivots).repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
+    members = pairs.join(salts, "b").select("b", F.expr("pmod(xxhash64(a), salts)").cast("int").alias("salt"), F.lit(1).alias("member"), F.col("a").alias("doc"))
+    pivots = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("b").alias("doc"))
+    # One join, so that the texts are shuffled once.
+    asked = members.unionByName(pivots).join(rows, F.col("doc") == F.col("doc_id")).select("b", "salt", "member", "doc", "text")
+    dealt = asked.repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
     return written(dealt.mapInArrow(_compare(words, percent), "a long, b long"), "links")
 
 
