@@ -3,9 +3,11 @@
 A word's embedding is the sum of those of its whole form and its first 4 and 5 bytes, each hashed into
 ``BITS`` bits; buckets that at least ``MIN_DOCS`` training documents hold have one, others are zero. Filters of several widths slide over the words, the largest response
 of each over the whole text feeds a logistic unit. All labelled rows outside the held-out fold are learned
-from: learners of parts of them are mixed after each round. Thresholds are calibrated by language on a fifth of
-these rows, which isn't fitted: the smallest threshold whose false alarms stay within ``ALARMS`` there, but not
+from: each half of them by a net of its own, in which learners of parts are mixed after each round. A text's
+logit is the mean of both nets'. Thresholds are calibrated by language on all these rows, each scored by the net
+that hasn't seen it: the smallest threshold whose false alarms stay within ``ALARMS``, but not
 below 0.5; languages with few rows take the threshold of all. The score itself sees only the text.
+Where a half has labels of one class alone, one net learns all rows and scores them for the thresholds.
 
 A null or empty text responds as no words do. Repeated rows score alike; an empty table gives no
 rows; without labels of both classes every score is near 0 or 1, as the labels are, or 0.5.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_steps, utf8
+from tessera.llm.common import passing, shuffles_go, text_steps, utf8
 from tessera.llm.labelled import held_out, joined, labelled_parts, words
 
 BITS = 20
@@ -196,6 +198,24 @@ def fresh(keys: np.ndarray, share: float, seed: int = 7) -> Learner:
     return Learner(net, np.full(net.table.shape, 1e-3, np.float32), np.full(len(net.dense()), 1e-3, np.float32), share)
 
 
+def combined(nets: list[Net]) -> Net:
+    """One net whose logit is the mean of those of the given ones."""
+    size, count = SIZE * len(nets), FILTERS * len(nets)
+    keys = np.unique(np.concatenate([net.keys for net in nets]))
+    table = np.zeros((len(keys) + 1, size), np.float32)
+    filters = [np.zeros((w, size, count), np.float32) for w in WIDTHS]
+    shifts = [np.zeros(count, np.float32) for _ in WIDTHS]
+    out = np.zeros((len(WIDTHS), count), np.float32)
+    for i, net in enumerate(nets):
+        mine, own = slice(i * SIZE, (i + 1) * SIZE), slice(i * FILTERS, (i + 1) * FILTERS)
+        table[1 + np.searchsorted(keys, net.keys), mine] = net.table[1:]
+        for j, w in enumerate(WIDTHS):
+            filters[j][:, mine, own] = net.filters[j].reshape(w, SIZE, FILTERS)
+            shifts[j][own] = net.shifts[j]
+            out[j, own] = net.out[j * FILTERS : (j + 1) * FILTERS] / len(nets)
+    return Net(keys, table, [f.reshape(-1, count) for f in filters], shifts, out.ravel(), sum(net.bias for net in nets) / len(nets))
+
+
 def learn(texts: list[str], y: np.ndarray, seed: int = 7) -> Net:
     """A net fitted to a few texts where it is called: one part, without Spark."""
     hashed = [buckets(words(*joined([t]))[0]) for t in texts]
@@ -279,29 +299,44 @@ def fitted(fit: DataFrame, share: float) -> Net:
     columns = [f"v{k}" for k in range(2 * SIZE)]
     for _ in range(EPOCHS):
         changes = fit.select("part", "y", "text").mapInArrow(_pass(learner), ", ".join(f"{c} long" for c in ["row", "parts", *columns]))
-        got = changes.groupBy("row").agg(*(F.sum(c).alias(c) for c in ["parts", *columns])).toArrow()
+        means = [(F.sum(c) / UNIT / F.sum("parts")).cast("float").alias(c) for c in columns]
+        got = changes.groupBy("row").agg(*means).select(F.col("row").cast("int"), *columns).toArrow()
         row = got.column(0).to_numpy()
-        mean = np.stack([got.column(c).to_numpy() for c in columns], 1) / UNIT / got.column("parts").to_numpy()[:, None]
-        sparse = row >= 0
-        learner.net.table[row[sparse]] += mean[sparse, :SIZE].astype(np.float32)
-        learner.square[row[sparse]] += mean[sparse, SIZE:].astype(np.float32)
+        sparse, late = row >= 0, np.flatnonzero(row < 0)
+        late = late[np.argsort(-row[late])]
+        dense = np.empty((2, len(late), SIZE), np.float32)
+        # A column at a time: what the driver holds beside the weights is one round's means.
+        for k in range(2 * SIZE):
+            column = got.column(1 + k).to_numpy()
+            (learner.net.table if k < SIZE else learner.square)[row[sparse], k % SIZE] += column[sparse]
+            dense[k // SIZE, :, k % SIZE] = column[late]
+        del got, column, changes
         learner.net.table[0] = 0
-        dense = mean[~sparse][np.argsort(-row[~sparse])]
         n = len(learner.dense_square)
-        learner.net.set_dense(learner.net.dense() + dense[:, :SIZE].ravel()[:n].astype(np.float32))
-        learner.dense_square += dense[:, SIZE:].ravel()[:n].astype(np.float32)
+        learner.net.set_dense(learner.net.dense() + dense[0].ravel()[:n])
+        learner.dense_square += dense[1].ravel()[:n]
+        shuffles_go(fit.sparkSession)
     return learner.net
 
 
 def calibrated(net: Net, rows: DataFrame) -> dict:
-    """Threshold by language (None: all) from all rows (y, text, lang), none of them fitted.
+    """Threshold by language (None: all) from a net's scores of all rows (y, text, lang)."""
+    return thresholds(judged(net, rows))
+
+
+def judged(net: Net, rows: DataFrame) -> DataFrame:
+    """(y, lang, toxicity_score) of rows (y, text, lang)."""
+    return scored(rows.select("y", "text", F.coalesce("lang", F.lit("")).alias("lang")), net).select("y", "lang", "toxicity_score")
+
+
+def thresholds(rows: DataFrame) -> dict:
+    """Threshold by language (None: all) from all rows (y, lang, toxicity_score).
 
     Counts of clean rows by language and grid step of the score come to the driver; steps are 1 / ``GRID`` wide.
     """
     at = F.floor(F.greatest(F.lit(THRESHOLD), F.least(F.col("toxicity_score"), F.lit(MOST))) * GRID)
     clean = (F.col("y") == 0).cast("long")
-    got = scored(rows.select("y", "text", F.coalesce("lang", F.lit("")).alias("lang")), net).groupBy("lang", at.alias("step"))
-    got = got.agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxicity_score") >= THRESHOLD, clean).otherwise(0)).alias("alarms"), F.sum(clean).alias("clean")).collect()
+    got = rows.groupBy("lang", at.alias("step")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxicity_score") >= THRESHOLD, clean).otherwise(0)).alias("alarms"), F.sum(clean).alias("clean")).collect()
 
     def least(mine: list) -> float:
         allowed, alarms = int(ALARMS * sum(r["clean"] for r in mine)), Counter()
@@ -320,12 +355,21 @@ def calibrated(net: Net, rows: DataFrame) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Net:
-    """A net from every labelled row outside the held-out fold; every fifth by hash calibrates and the others are fitted."""
-    rows = labelled_parts(docs, labels, "toxic", PART_ROWS)
-    tuned = F.pmod("turn", F.lit(5)) == 0
-    n, positive = rows.where(~tuned).agg(F.count("*"), F.sum("y")).first()
-    net = fitted(rows.where(~tuned), positive / n) if n else fresh(np.zeros(0, np.uint32), 0.5).net
-    net.thresholds = calibrated(net, rows.where(tuned))
+    """A net from every labelled row outside the held-out fold; every such row is fitted and calibrates."""
+    with passing(docs.sparkSession):
+        rows = labelled_parts(docs, labels, "toxic", PART_ROWS)
+        shuffles_go(docs.sparkSession)
+        half = F.pmod("part", F.lit(2))
+        sizes = {h: (n, y) for h, n, y in rows.groupBy(half.alias("half")).agg(F.count("*"), F.sum("y")).collect()}
+        halves = [rows.where(half == h) for h in sorted(sizes)]
+        if len(sizes) == 2 and all(0 < y < n for n, y in sizes.values()):
+            nets = [fitted(mine, sizes[h][1] / sizes[h][0]) for h, mine in enumerate(halves)]
+            net = combined(nets)
+            net.thresholds = thresholds(judged(nets[0], halves[1]).unionByName(judged(nets[1], halves[0])))
+        else:
+            n, positive = (sum(x) for x in zip((0, 0), *sizes.values()))
+            net = fitted(rows, positive / n) if n else fresh(np.zeros(0, np.uint32), 0.5).net
+            net.thresholds = calibrated(net, rows)
     return net
 
 

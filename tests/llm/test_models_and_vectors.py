@@ -275,6 +275,26 @@ def test_toxicity_thresholds_count_every_calibrating_row(spark):
     assert toxicity.calibrated(net, spark.createDataFrame([], "y int, text string, lang string")) == {None: 0.5}
 
 
+def test_toxicity_fits_and_calibrates_on_every_labelled_row(spark, monkeypatch):
+    """Each labelled row outside the held-out fold is fitted by one net and scored by the other for the thresholds."""
+    docs, labels = documents(spark)
+    fits, judges = [], []
+    fitted, judged = toxicity.fitted, toxicity.judged
+    ids = lambda rows: {r["doc_id"] for r in rows.select("doc_id").collect()}
+    monkeypatch.setattr(toxicity, "fitted", lambda rows, share: fits.append((net := fitted(rows, share), ids(rows))) or net)
+    monkeypatch.setattr(toxicity, "judged", lambda net, rows: judges.append((net, ids(rows))) or judged(net, rows))
+    net = toxicity.train(docs, labels)
+    from tessera.llm.labelled import held_out
+
+    have = ids(docs.join(labels, "doc_id").where("toxic in (0, 1)").where(~held_out(docs["doc_id"])).select("doc_id"))
+    assert len(fits) == len(judges) == 2 and fits[0][1] | fits[1][1] == have == judges[0][1] | judges[1][1]
+    for one, seen in fits:
+        assert not any(seen & rows for by, rows in judges if by is one)
+    raw, off = toxicity.joined(["", "a few words", *(r["text"] or "" for r in docs.limit(20).collect())])
+    logit = lambda p: np.log(p / (1 - p))
+    assert np.allclose(logit(net.score(raw, off)), np.mean([logit(one.score(raw, off)) for one, _ in fits], 0), atol=1e-3)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return piece_lattice.Pieces(piece_lattice.default_model())
