@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import passing, written
 from tessera.llm.jaccard_join import jaccard_components
 from tessera.llm.packing import pack
 from tessera.llm.pii import sanitise
@@ -24,7 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each component of similar ones."""
-    gone = written(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    with passing(spark, "gone"):
+        gone = written(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, plain_rows, text_steps, utf8, written
+from tessera.llm.common import components, hand_back, plain_rows, text_steps, utf8, written
 from tessera.llm.shingles import shingle_sets
 
 WORDS = 5
@@ -229,6 +229,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
             held.append(row[keys:])
     if held:
         yield now, [list(x) for x in zip(*held)]
+    del held
+    hand_back()
 
 
 def _each_region(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, _Region]]:

@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Prefixes, mix, text_steps, utf8, written
+from tessera.llm.common import Prefixes, hand_back, mix, passing, text_steps, utf8, written
 
 LENGTH = 100
 GRAM = 24
@@ -56,10 +56,9 @@ def segments_of(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: in
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, np.zeros(0, np.uint64)
-    at = np.arange(n - gram + 1)
-    marks = Prefixes(raw).hash(at, at + gram)
+    marks = Prefixes(raw).grams(gram)
     # The place in the low half: the leftmost of equal minima, so a run has one occurrence of it.
-    low = (marks & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    low = (marks & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(marks), dtype=np.uint64)
     width = 1
     while width * 2 <= span:
         low = np.minimum(low[: len(low) - width], low[width:])
@@ -144,6 +143,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((kind, h, ids, place))
     if held:
         yield out(held)
+    del held
+    hand_back()
 
 
 def _cut(length: int):
@@ -367,6 +368,8 @@ def _merge(length: int):
                 windows += int(sizes[-1] - (sizes[begin - 1] if begin else 0))
         if held:
             yield _flush(pa.Table.from_batches(held), length)
+        del held
+        hand_back()
 
     return run
 
@@ -430,6 +433,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = rows.where(F.octet_length("text") >= length).mapInArrow(_deal(length, gram, buckets), "bucket long, kind long, h binary, row_id binary, place binary")
     hits = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "row_id long, place long, h long")
+    with passing(docs.sparkSession, "covers"):
+        covers = _covers(rows, hits, length, gram, hot_segments)
+    kinds = dict(docs.dtypes)
+    schema = f"doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * bool(carry) + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    joined = every.join(covers, "row_id", "left").select("doc_id", "text", "places", "firsts", "spans", *[f"carried_{c}" for c in carry])
+    return joined.mapInArrow(_strip(length, carry), schema)
+
+
+def _covers(rows: DataFrame, hits: DataFrame, length: int, gram: int, hot_segments: int) -> DataFrame:
+    """A written table (row_id, places, firsts, spans) of rows (row_id, text) and the shared places (row_id, place, h)."""
     places = written(hits.groupBy("row_id").agg(F.collect_list(F.struct("place", "h")).alias("places")), "places")
     cut = rows.join(places, "row_id").select("row_id", "text", "places").mapInArrow(_cut(length), "h long, same long, row_id long, place long, seg binary")
     hot = written(places.select(F.explode("places.h").alias("h")).groupBy("h").agg(F.count("*").alias("hot")).where(F.col("hot") > hot_segments), "hot")
@@ -441,11 +454,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
         F.collect_list(F.when(F.col("place") < 0, F.struct("begin", "end"))).alias("spans"),
     )
     covers = places.select("row_id", F.transform("places", lambda p: p["place"]).alias("places")).join(found, "row_id", "left")
-    covers = written(covers, "covers")
-    kinds = dict(docs.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * bool(carry) + "".join(f", `{c}` {kinds[c]}" for c in carry)
-    joined = every.join(covers, "row_id", "left").select("doc_id", "text", "places", "firsts", "spans", *[f"carried_{c}" for c in carry])
-    return joined.mapInArrow(_strip(length, carry), schema)
+    return written(covers, "covers")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,20 @@ def test_empty_tables(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_tables_go_with_their_stage(spark, tmp_path):
+    """After the stages toxicity and jaccard only the table that the latter's result reads is left."""
+    from pathlib import Path
+
+    from tessera.llm import common
+
+    tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(common.scratch_dir(spark).removeprefix("file://")) / "tables"
+    before = set(folder.glob("*"))
+    kept = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert set(folder.glob("*")) == before
+    left = corpus_pipeline.jaccard(spark, docs, str(tmp_path))
+    assert [p.name.split("-")[0] for p in set(folder.glob("*")) - before] == ["gone"]
+    assert 0 < kept.count() < docs.count() and 0 < left.count() < docs.count()
