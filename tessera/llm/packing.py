@@ -66,6 +66,7 @@ class WordEncoder(dict):
         if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
             raise ValueError("added tokens that take in their surroundings are not supported")
         self.added = {t["content"]: np.array([t["id"]], "<u2").tobytes() for t in added}
+        self.marks = list(self.added)
         # Of tokens that start at one place the longest counts, as in the tokenizer.
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
 
@@ -79,9 +80,9 @@ class WordEncoder(dict):
 
     def ids(self, text: str) -> bytes:
         """All ids of a text; equal to encoding it whole, since added tokens, then the pattern, cut before any merge."""
-        parts = self.cut(text)
-        if len(parts) == 1:
+        if not any(mark in text for mark in self.marks):
             return b"".join(map(self.__getitem__, self.words(text)))
+        parts = self.cut(text)
         return b"".join(self.added[part] if i % 2 else b"".join(map(self.__getitem__, self.words(part))) for i, part in enumerate(parts))
 
 
