@@ -34,8 +34,8 @@ from tessera.llm.common import plain_rows, text_steps, written
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: White space, in characters on end, from which a text is cut into words before it is encoded: the encoder's stack ends at a million.
+LONG_RUN = 1 << 16
 #: Rests of one length that are numbered together, about.
 GROUP_ROWS = 250_000
 
@@ -47,8 +47,8 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class WordEncoder(dict):
-    """Ids of a word (as the vocabulary's pattern cuts them) as little-endian 16-bit bytes, remembered."""
+class TextEncoder:
+    """Ids of whole texts as little-endian 16-bit bytes, from the vocabulary's ranks."""
 
     def __init__(self, tokenizer_file: str, ranks_file: str):
         import base64
@@ -59,8 +59,11 @@ class WordEncoder(dict):
 
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        # What the pattern has cut already, whatever its length.
+        self.encode_word = tiktoken.Encoding("word", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.words = regex.compile(public_tokenizers.PATTERN).finditer
+        self.long_run = re.compile(r"(?<!\s)\s{%d}" % LONG_RUN).search
         with open(tokenizer_file, encoding="utf-8") as file:
             added = json.load(file).get("added_tokens") or []
         if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
@@ -70,28 +73,26 @@ class WordEncoder(dict):
         # Of tokens that start at one place the longest counts, as in the tokenizer.
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        found = np.array(self.encoding.encode_ordinary(word), "<u2").tobytes()
-        if len(word) < 64:
-            self[word] = found
-        return found
+    def plain(self, text: str) -> bytes:
+        """All ids of a text without added tokens."""
+        if len(text) >= LONG_RUN and self.long_run(text):
+            return b"".join(np.array(self.encode_word(word.group()), "<u2").tobytes() for word in self.words(text))
+        return np.array(self.encode(text), "<u2").tobytes()
 
     def ids(self, text: str) -> bytes:
         """All ids of a text; equal to encoding it whole, since added tokens, then the pattern, cut before any merge."""
         if not any(mark in text for mark in self.marks):
-            return b"".join(map(self.__getitem__, self.words(text)))
+            return self.plain(text)
         parts = self.cut(text)
-        return b"".join(self.added[part] if i % 2 else b"".join(map(self.__getitem__, self.words(part))) for i, part in enumerate(parts))
+        return b"".join(self.added[part] if i % 2 else self.plain(part) for i, part in enumerate(parts))
 
 
-_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
 def _tokens(files: tuple[str, str], end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(files) or _ENCODERS.setdefault(files, WordEncoder(*files))
+        encoder = _ENCODERS.get(files) or _ENCODERS.setdefault(files, TextEncoder(*files))
         end = np.array([end_id], "<u2").tobytes()
         at = TaskContext.get().partitionId() << 40
         for step in text_steps(batches):

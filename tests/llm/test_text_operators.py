@@ -286,6 +286,46 @@ def test_packing_gives_added_tokens_their_own_id(spark):
         assert r["doc_tokens"] == len(x) and r["ids_crc32"] == zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes())
 
 
+def test_packing_takes_long_runs_of_white_space(spark):
+    """A million blanks on end; the tokenizer encodes them, tiktoken's pattern overflows its stack."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_files()[0])
+    blanks = " " * 1_100_000
+    texts = [f"a{blanks}b  c", f"it's{blanks}\n", f"x{blanks}<|endoftext|>\u3000{' ' * 70_000}\u00e9 1\x1c" + "\t" * 70_000, "plain"]
+    ids = [np.array(tokenizer.encode(t, add_special_tokens=False).ids + [1], "<u4") for t in texts]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(texts)))
+    for r in rows:
+        x = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(x) and r["ids_crc32"] == zlib.crc32(x[r["start"] : r["start"] + r["length"]].tobytes())
+
+
+def test_packing_encodes_unseen_words_without_python_for_each():
+    """CPU of whole texts of new words against that of cutting these into words alone."""
+    import time
+
+    import public_tokenizers
+    import regex
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(11)
+    texts = [" ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(4, 9))) for _ in range(20_000)) for _ in range(4)]
+    encoder = packing.TextEncoder(*packing.default_files())
+    cut = regex.compile(public_tokenizers.PATTERN).findall
+    assert encoder.ids("warm up") and cut("warm up")
+    shares = []
+    for text in texts:
+        begin = time.process_time()
+        words = cut(text)
+        between = time.process_time()
+        ids = encoder.ids(text)
+        shares.append((time.process_time() - between) / (between - begin))
+        assert len(words) == 20_000
+    assert ids == np.array(Tokenizer.from_file(packing.default_files()[0]).encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    assert min(shares) < 4
+
+
 def test_least_squares_fill_the_window():
     histogram = np.zeros(2048, np.int64)
     histogram[[1000, 1048, 500, 700, 848]] = [10, 7, 20, 20, 20]
