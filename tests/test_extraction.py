@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.dom import NodeMatch
 from tessera.operators import clean, extract, features, nodes as N, paging, rank, score, segment
 from tessera.plans.query import ExtractQuery, best_records
-from tessera.queries import nodes as nodes_queries
+from tessera.queries import nodes as nodes_queries, records as records_queries
 from tessera.sources import exports
 from tessera.sources.html import page_rows, parse_pages
 from tessera.streaming import extract as stream
@@ -44,6 +44,24 @@ def test_child_text_of_odd_pages(spark):
     assert {r["page_id"]: r["title"] for r in nodes_queries.QUERIES["child_text"](spark, folder).collect()} == wanted
 
 
+def twice_captured(spark):
+    """Pages as a table of a new folder: a url captured three times, no url, no html."""
+    rows = [(0, "http://h.example/a", "x"), (1, "http://h.example/a", "yy"), (2, "http://h.example/a", "zzz"), (3, None, "vvvv"), (4, None, "wwwww"), (6, "http://h.example/b", None)]
+    folder = tempfile.mkdtemp()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{folder}/pages.parquet")
+    return folder, pages
+
+
+def test_pages_are_enriched_by_their_own_captures(spark):
+    folder, pages = twice_captured(spark)
+    got = [tuple(r) for r in records_queries.QUERIES["fetch_enrich"](spark, folder).select("page_id", "n").orderBy("page_id").collect()]
+    assert got == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (6, None)]
+    # By url alone, a record meets one of the captures.
+    one = paging.enriched(spark.createDataFrame([("http://h.example/a",)], "url string"), pages).collect()
+    assert [tuple(r) for r in one] == [("http://h.example/a", "x")]
+
+
 def test_records_of_tables_and_split_rows(spark):
     """A table's rows are records; a definition list's records are a term and what follows it."""
     table = "<table><tbody>" + "".join(f"<tr><td><a href='/t{i}'>Row title {i}</a></td><td>cell {i}</td></tr>" for i in range(6)) + "</tbody></table>"
