@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.dom import NodeMatch
-from tessera.operators import clean, extract, features, nodes as N, paging, rank, score, segment
+from tessera.operators import clean, extract, features, nodes as N, paging, rank, score, segment, staged
 from tessera.plans.query import ExtractQuery, best_records
 from tessera.queries import nodes as nodes_queries, records as records_queries
 from tessera.sources import exports
@@ -68,6 +68,22 @@ def test_fallback_is_for_pages_without_a_capture(spark):
     assert got == [(0, 1), (1, 6), (2, 3), (3, 6), (4, 5), (6, None)]
 
 
+def test_small_files_are_not_broadcast_unmeasured(spark, tmp_path):
+    """Rows that are many times as large in memory as in their files; the session's own limits are kept."""
+    spark.range(100000).selectExpr("id div 100000 as page_id", "repeat('x', 100) as a").write.parquet(f"{tmp_path}/like")
+    like = spark.read.parquet(f"{tmp_path}/like")
+    plan = lambda: spark.range(10).withColumnRenamed("id", "page_id").join(like, "page_id", "left")._jdf.queryExecution().executedPlan().toString()
+    limits = [spark.conf.get(f"spark.sql.{k}autoBroadcastJoinThreshold", None) for k in ("", "adaptive.")]
+    assert "Broadcast" in plan(), plan()
+    with staged.measured_joins(spark):
+        assert "Broadcast" not in plan()
+    assert [spark.conf.get(f"spark.sql.{k}autoBroadcastJoinThreshold", None) for k in ("", "adaptive.")] == limits
+
+
+def test_python_work_is_spread(spark):
+    assert staged.spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() >= 4
+
+
 def test_records_of_tables_and_split_rows(spark):
     """A table's rows are records; a definition list's records are a term and what follows it."""
     table = "<table><tbody>" + "".join(f"<tr><td><a href='/t{i}'>Row title {i}</a></td><td>cell {i}</td></tr>" for i in range(6)) + "</tbody></table>"
