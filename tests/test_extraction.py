@@ -84,6 +84,19 @@ def test_python_work_is_spread(spark):
     assert staged.spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() >= 4
 
 
+def test_equal_groups_of_texts_are_scored_alike(spark):
+    rows = [(g, i, f"http://h.example/{i}", f"word{i} of some title", "s" if g else f"summary {i} of that", None) for g in range(3) for i in range(4)] + [(5, 0, "u", "one", None, None), (6, 0, "u", "", "", None)]
+    got = {r["g"]: r["distance"] for r in score.field_scores(spark.createDataFrame(rows, "g int, pos int, url string, title string, summary string, date string"), ["g"]).collect()}
+    assert got[1] == got[2] > 0 and got[0] > 0 and got[5] == got[6] == 0
+    # Titles without their common words: stems are one edit apart, of 6 pairs.
+    text = ["word0 of some title", "word1 of some title"]
+    assert abs(got[1] - 1 / len(score_stem(spark, text[0]))) < 1e-12
+
+
+def score_stem(spark, text):
+    return spark.range(1).select(score.stemmed(F.lit(text)).alias("x")).first()["x"]
+
+
 def test_records_of_tables_and_split_rows(spark):
     """A table's rows are records; a definition list's records are a term and what follows it."""
     table = "<table><tbody>" + "".join(f"<tr><td><a href='/t{i}'>Row title {i}</a></td><td>cell {i}</td></tr>" for i in range(6)) + "</tbody></table>"
