@@ -115,3 +115,14 @@ def test_repeated_page_stops(spark):
     rows = [(1, p, i, f"u{i + (p if p < 3 else 2) * 10}", "t", "s") for p in range(1, 5) for i in range(4)]
     df = spark.createDataFrame(rows, "g int, page_no int, pos int, url string, title string, summary string")
     assert {r["page_no"] for r in paging.stop_at_repeat(df, ["g"]).collect()} == {1, 2}
+
+
+def test_pairs_of_few_groups_are_made_in_many_tasks(spark):
+    rows = [(i, float(i % 9), i % 2) for i in range(400)] + [(400, 1.0, None), (401, None, 0)]
+    left = spark.createDataFrame(rows, "a int, va double, g int")
+    right = left.withColumnsRenamed({"a": "b", "va": "vb"})
+    got = rank.pairs(left, right, "g")
+    want = left.join(right, "g").select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    busy = {r["t"] for r in got.select(F.spark_partition_id().alias("t")).distinct().collect()}
+    assert len(busy) > 2
