@@ -97,6 +97,17 @@ def score_stem(spark, text):
     return spark.range(1).select(score.stemmed(F.lit(text)).alias("x")).first()["x"]
 
 
+def test_pages_without_hidden_nodes_are_not_rebuilt(spark):
+    """The nodes are those that the removal of no subtree leaves, roots numbered; the plan has no join."""
+    pages = spark.createDataFrame([(0, "<p>a</p> b <ul><li>c<li>d</ul>"), (1, "x<i>y</i><!-- z --><b></b>")], "page_id long, html string")
+    nodes = parse_pages(pages).cache()
+    left = N.drop_hidden(nodes)
+    assert sorted(map(str, left.collect())) == sorted(map(str, N.without(nodes, F.lit(False)).collect()))
+    assert "Join" not in left._jdf.queryExecution().optimizedPlan().toString()
+    hidden = parse_pages(spark.createDataFrame([(0, "<p hidden>a<b>b</b></p><i>c</i>")], "page_id long, html string")).cache()
+    assert [r["tag"] for r in N.drop_hidden(hidden).orderBy("node_id").collect()] == ["i", "#text"]
+
+
 def test_records_of_tables_and_split_rows(spark):
     """A table's rows are records; a definition list's records are a term and what follows it."""
     table = "<table><tbody>" + "".join(f"<tr><td><a href='/t{i}'>Row title {i}</a></td><td>cell {i}</td></tr>" for i in range(6)) + "</tbody></table>"
