@@ -30,6 +30,8 @@ DEGREE = 28
 ALPHA = 1.2
 BUILD_BEAM = 48
 SEARCH_BEAM = 160
+#: Tasks that a search should have at least.
+SEARCH_TASKS = 64
 #: Nodes that one step of a beam search expands.
 STRIDE = 4
 
@@ -287,7 +289,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = D
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     packed = asked.withColumn("block", F.expr(f"pmod(xxhash64(vec_id), {blocks})").cast("int")).groupBy("dim", "block").applyInPandas(_block, "dim int, block int, queries binary, points binary")
     sent = written(packed, "blocks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = index.join(sent, ["dim", "shard"]).repartition("shard", "block")
+    # A shard meets its blocks where it is; only where shards are few it is sent to several tasks, with a part of the blocks each.
+    parts = min(blocks, -(-SEARCH_TASKS // shards))
+    key = ["dim", "shard", "part"]
+    there = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(max(SEARCH_TASKS, 2 * shards), *key)
+    met = there.join(sent.withColumn("part", F.col("block") % parts).repartition(max(SEARCH_TASKS, 2 * shards), *key), key)
     found = met.mapInPandas(_search(k, degree, beam, np.float32 if kind == "array<float>" else np.float64), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

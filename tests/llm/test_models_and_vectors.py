@@ -40,6 +40,20 @@ def test_graph_search_recall(vectors):
     assert graph_index.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_shards_are_not_dealt_out_with_each_block(vectors, monkeypatch):
+    """A shard meets all its blocks of queries where it is: what is shuffled is shards and blocks, not their pairs. Few shards go to several tasks."""
+    df, _ = vectors
+    monkeypatch.setattr(graph_index, "BLOCK_ROWS", 64)
+    rows = []
+    for tasks in (2, 64):
+        monkeypatch.setattr(graph_index, "SEARCH_TASKS", tasks)
+        got = graph_index.nearest(df, df.where("vec_id % 4 = 0"), shard_rows=300)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" not in plan[plan.index("MapInPandas") : plan.index("Join")]
+        rows.append(sorted(map(str, got.collect())))
+    assert rows[0] == rows[1] and len(rows[0]) == 10 * 225
+
+
 def clustered(rng):
     """Tight clusters far apart, each of which float32 takes for one point."""
     return np.repeat(rng.normal(size=(20, 12)), 60, axis=0) + rng.normal(scale=1e-9, size=(1200, 12))
